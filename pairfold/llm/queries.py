@@ -10,6 +10,7 @@ import public_tokenizers
 from pairfold.llm.bpe import bpe_round_trip
 from pairfold.llm.chat import format_chat, read_back
 from pairfold.llm.exact_dedup import exact_dedup
+from pairfold.llm.near_dedup import near_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +28,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_near_dedup, op9_exact_dedup, op10_byte_bpe)}
 
 SQL = {
     "op1_chat_format": r"""
@@ -47,6 +52,29 @@ SQL = {
             sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id
     """,
+    "op3_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w
+            FROM documents
+        ),
+        s AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))
+                WHEN len(w) > 0 THEN [w] ELSE [] END) AS shingle FROM w
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        common AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
+        ),
+        linked AS (
+            SELECT a, b FROM common c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)
+        ),
+        edge AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON r.other = e.a),
+        part AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept
+        FROM documents d JOIN part USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
     "op9_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
