@@ -14,6 +14,7 @@ from pairfold.llm.html_text import extract_text
 from pairfold.llm.near_dedup import near_dedup
 from pairfold.llm.packing import pack
 from pairfold.llm.topk import top_k
+from pairfold.llm.warc import through_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_archives(_table(spark, sf_dir, "pages"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -52,7 +57,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_text, op3_near_dedup, op4_packing, op8_top_k, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_text, op3_near_dedup, op4_packing, op5_warc, op8_top_k, op9_exact_dedup, op10_byte_bpe)}
 
 SQL = {
     "op1_chat_format": r"""
@@ -91,6 +96,20 @@ SQL = {
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept
         FROM documents d JOIN part USING (doc_id) LEFT JOIN n USING (doc_id)
     """,
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (
+            SELECT page_id, octet_length(b) AS payload_bytes,
+                list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_transform([15, 10, 5, 0],
+                    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * i::INT + 1, 5))::BIGINT >> s) & 31) + 1)::INT, 1)),
+                    lambda x, y: x || y)), lambda x, y: x || y) AS payload_digest
+            FROM p
+        ),
+        g AS (SELECT payload_digest, max(page_id) AS first FROM d GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id != first THEN first END AS refers_to
+        FROM d JOIN g USING (payload_digest)
+    """,
     "op8_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
