@@ -11,6 +11,7 @@ from pairfold.llm.bpe import bpe_round_trip
 from pairfold.llm.chat import format_chat, read_back
 from pairfold.llm.exact_dedup import exact_dedup
 from pairfold.llm.html_text import extract_text
+from pairfold.llm.langid import held_out, identify, train
 from pairfold.llm.near_dedup import near_dedup
 from pairfold.llm.packing import pack
 from pairfold.llm.topk import top_k
@@ -48,6 +49,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_archives(_table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = identify(docs, train(docs.where(~held_out()).where("doc_id is not null")))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -57,7 +64,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_text, op3_near_dedup, op4_packing, op5_warc, op8_top_k, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_text, op3_near_dedup, op4_packing, op5_warc, op6_language_id, op8_top_k, op9_exact_dedup, op10_byte_bpe)}
 
 SQL = {
     "op1_chat_format": r"""
