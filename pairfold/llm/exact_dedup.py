@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.llm.common import attach, blocks, forget, save
+from pairfold.llm.common import attach, blocks, save
 
 _RECORD = "digest binary, content binary, keep_id long, copies long"
 
@@ -162,7 +162,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 48 << 20) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns as they came.
 
-    Dropped rows are found by id, so a null id (never the largest) is judged as in :func:`exact_dedup` by joining on null.
+    As :func:`exact_dedup`, but of rows that repeat both the id and the text of the one that stays, one is left.
     """
-    found = exact_dedup(docs, id_col, text_col, budget).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col, budget).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    stay = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    twice = save(stay.groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice"), "twice")
+    if twice.isEmpty():
+        return stay
+    match = F.col(id_col).eqNullSafe(F.col("_twice"))
+    return stay.join(twice, match, "left_anti").union(stay.join(twice, match, "left_semi").dropDuplicates([id_col, text_col]))

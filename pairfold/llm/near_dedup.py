@@ -185,7 +185,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, miss: float = 1e-9, batch: int = 20) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 4, miss: float = 1e-9, batch: int = 20) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_shingles, component_id, kept).
 
     Documents are linked when 100 * intersection >= percent * union of their sets of distinct ``shingle``-word shingles;
@@ -193,7 +193,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one, so such texts link only with texts of the same words.  Null, empty and blank texts have n_shingles 0 and link
     with nothing.  Rows with the same id are the same document: links of each count for all.  A row with a null id takes
     no part in links, has a null component_id and stays.  An empty table gives an empty result.  Other columns are not
-    read.  A pair at the threshold is missed by all bands with probability (1 - t ** rows) ** bands (8e-7 at 0.85), and
+    read.  A pair at the threshold is missed by all bands with probability (1 - t ** rows) ** bands (1.4e-7 at 0.8), and
     pruned with at most ``miss`` after each batch; nothing is capped.
     """
     threshold, sketcher = percent / 100, Sketcher(shingle, bands, rows)

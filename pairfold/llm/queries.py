@@ -12,6 +12,7 @@ from pairfold.llm.chat import format_chat, read_back
 from pairfold.llm.exact_dedup import exact_dedup
 from pairfold.llm.html_text import extract_text
 from pairfold.llm.langid import held_out, identify, train
+from pairfold.llm.lm import held_out_part, score_documents
 from pairfold.llm.near_dedup import near_dedup
 from pairfold.llm.packing import pack
 from pairfold.llm.topk import top_k
@@ -38,7 +39,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, percent=85, bands=24, rows=5)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), held_out_part())
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -64,7 +69,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_text, op3_near_dedup, op4_packing, op5_warc, op6_language_id, op8_top_k, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_text, op3_near_dedup, op4_packing, op5_warc, op6_language_id, op7_lm_score, op8_top_k, op9_exact_dedup, op10_byte_bpe)}
 
 SQL = {
     "op1_chat_format": r"""
