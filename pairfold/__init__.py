@@ -1,0 +1 @@
+"""Image catalogues and human-similarity studies as Spark tables."""
