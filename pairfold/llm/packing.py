@@ -12,6 +12,8 @@ which a monotone queue gives in constant amortised time; the second is at most a
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import deque
 from functools import lru_cache
@@ -23,7 +25,12 @@ from pyspark.sql import functions as F
 
 from pairfold.llm.common import blocks
 
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+#: Letters whose lower case is one letter and which no mark joins, of ASCII, Latin-1 and Latin Extended-A; then ASCII signs.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-`{-~]*)")
+#: The byte alphabet: bytes that are visible in Latin-1 stand for themselves, the others for code points from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -32,15 +39,16 @@ class WordTokenizer:
 
     That is exact for a tokenizer that splits at white space and whose normalizer treats characters on their own, NFC
     apart, which never joins across white space.  Texts with information separators, which Python alone takes for white
-    space, are encoded as a whole.
+    space, are encoded as a whole.  Of a chunk of plain letters, in any case, and then signs other than an apostrophe, the
+    tokenizer's splitter makes one word and one run of signs, so new ones go straight to its model, in its byte alphabet.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.new, self.old = keep, {}, {}
+        self.keep, self.new, self.old, self.parts = keep, {}, {}, {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a sentence
         for token, i in vocab.items():
@@ -50,29 +58,50 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks) -> None:
+        """Encodes chunks that the cache lacks."""
+        if len(self.parts) > self.keep:
+            self.parts = {}
+        plain, other, lack = [], [], set()
+        for c in chunks:
+            if m := _PLAIN.fullmatch(c):
+                word, signs = m[1].lower(), m[2]
+                plain.append((c, word, signs))
+                lack.update(x for x in (word, signs) if x and x not in self.parts)
+            else:
+                other.append(c)
+        tokenize = self.tokenizer.model.tokenize
+        for x in lack:
+            shown = x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN)
+            ids = [t.id for t in tokenize(shown)]
+            self.parts[x] = struct.pack(f"<{len(ids)}I", *ids)
+        parts = self.parts
+        self.new.update((c, parts[w] + parts[s] if s else parts[w]) for c, w, s in plain)
+        self.new.update(zip(other, self._ids(other), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit integers."""
         if len(self.new) >= self.keep:
             self.old, self.new = {k: v for k, v in self.new.items() if len(k) <= 64}, {}
         get, out, pending, missing = self.new.get, [], [], set()
         for text in texts:
-            if not _SEPARATORS.isdisjoint(text):
+            if _SEPARATORS.search(text):
                 out += self._ids([text])
                 continue
             chunks = text.split()
             found = list(map(get, chunks))
             if None in found:
-                missing.update(c for c, x in zip(chunks, found, strict=True) if x is None)
-                pending.append((len(out), chunks))
+                missing.update([c for c, x in zip(chunks, found, strict=True) if x is None])
+                pending.append((len(out), chunks, found))
                 out.append(None)
             else:
                 out.append(b"".join(found))
         known = {c: x for c in missing if (x := self.old.get(c)) is not None}
         self.new.update(known)
-        missing = sorted(missing - known.keys())
-        self.new.update(zip(missing, self._ids(missing), strict=True))
-        for i, chunks in pending:
-            out[i] = b"".join(map(self.new.__getitem__, chunks))
+        self._learn(missing - known.keys())
+        new = self.new
+        for i, chunks, found in pending:
+            out[i] = b"".join([new[c] if x is None else x for x, c in zip(found, chunks, strict=True)])
         return out
 
 
@@ -83,12 +112,20 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def choose_cuts(cuts, penalties, full: int) -> list[int]:
     """The cuts of least cost, from ``cuts[0]`` (a cut already) to ``cuts[-1]``; neighbours are at most ``full`` apart."""
-    n = len(cuts)
-    best, back = [0.0] * n, [0] * n
-    at = {cuts[0]: 0}
-    powers = [1 << k for k in range(full.bit_length()) if 1 << k <= full]
+    n, place = len(cuts), np.asarray(cuts, np.int64)
+    numbers = np.full(int(place[-1] - place[0]) + 1, -1, np.int64)  # of the cut at each position
+    numbers[place - place[0]] = np.arange(n)
+    whole_to, whole_from = [], []  # pairs of cuts that are a power of two apart
+    for p in (1 << k for k in range(full.bit_length()) if 1 << k <= full):
+        at = np.flatnonzero(place - place[0] >= p)
+        source = numbers[place[at] - place[0] - p]
+        whole_to.append(at[source >= 0])
+        whole_from.append(source[source >= 0])
+    order = np.argsort(np.concatenate(whole_to), kind="stable")
+    whole_to = [*np.concatenate(whole_to)[order].tolist(), n]
+    whole_from = np.concatenate(whole_from)[order].tolist()
+    best, back, w = [0.0] * n, [0] * n, 0
     queue = deque([(cuts[0], 0, cuts[0])])  # best[j] + cuts[j], j, cuts[j]: values rise from left to right
-    look = at.get
     for i in range(1, n):
         c = cuts[i]
         low = c - full
@@ -96,12 +133,13 @@ def choose_cuts(cuts, penalties, full: int) -> list[int]:
             queue.popleft()
         value, j, _ = queue[0]
         value += full - c
-        for p in powers:
-            k = look(c - p)
-            if k is not None and best[k] < value:
+        while whole_to[w] == i:
+            k = whole_from[w]
+            w += 1
+            if best[k] < value:
                 value, j = best[k], k
         value += penalties[i]
-        best[i], back[i], at[c] = value, j, i
+        best[i], back[i] = value, j
         value += c
         while queue and queue[-1][0] >= value:
             queue.pop()

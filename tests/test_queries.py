@@ -1,7 +1,7 @@
 """Every registered query of the reference's operators against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import DATA, same_rows
+from helpers import DATA, same_rows
 
 from pairfold.plans import queries
 
