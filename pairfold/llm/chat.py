@@ -47,7 +47,7 @@ class Mapping:
         if self.each:
             array, role, text = self.each
             found |= {f"{array}[].{role}", f"{array}[].{text}"}
-        return found | set(self.rows or ())
+        return found | set((self.rows or ())[1:])
 
 
 MAPPINGS = (
@@ -97,7 +97,14 @@ def json_paths(value, prefix: str = "") -> set[str]:
 
 
 def mapping_for(paths) -> Mapping | None:
-    return _BY_FINGERPRINT.get(fingerprint(paths))
+    """The mapping of a record's fingerprint; failing that, the first one whose own paths alone have one of its fingerprints.
+
+    The second covers records with extra fields that happen to have the name of another layout's field.
+    """
+    paths = set(paths)
+    if m := _BY_FINGERPRINT.get(fingerprint(paths)):
+        return m
+    return next((m for m in MAPPINGS if _BY_FINGERPRINT.get(fingerprint(paths & m.paths())) is m), None)
 
 
 def _text(value) -> str:
@@ -150,7 +157,7 @@ def turns_from_columns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     empty, and repeated rows stay repeated turns.  A null conversation id is a conversation of its own.  A table of
     records gives one conversation a row.  An unknown schema raises ValueError.
     """
-    m = mapping_for(schema_paths(df.schema) - ({id_col} if id_col != "conv_id" else set()))
+    m = mapping_for(schema_paths(df.schema))
     if m is None:
         raise ValueError(f"no mapping has the fingerprint of {sorted(schema_paths(df.schema))}")
     empty = F.lit("")
