@@ -74,13 +74,17 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
 
 
 class _Page:
-    """Cuts a page into blocks: (text, characters in links, container); container 0 is outside any article."""
+    """Cuts a page into blocks: (text, characters in links, container).
+
+    Articles and main elements are containers 1, 2, ...; elements whose class or id speaks of content are -1, -2, ...,
+    which tell less; 0 is outside any.
+    """
 
     def __init__(self, page: str) -> None:
         self.blocks: list[tuple[str, int, int]] = []
         self.stack: list[tuple[str, bool, int]] = []  # tag, furniture, container
         self.text: list[str] = []
-        self.linked, self.in_link, self.containers = 0, False, 0
+        self.linked, self.in_link, self.containers, self.contents = 0, False, 0, 0
         self.loose = False  # within an inline or paragraph element that is furniture; ends with the next block
         self.loose_tag = ""
         at = 0
@@ -148,15 +152,16 @@ class _Page:
                 self.loose, self.loose_tag = True, tag
             return
         if tag in ("article", "main"):
-            if away and not any(t in _FURNITURE for t, _, _ in self.stack) and not container:
+            if away and not any(t in _FURNITURE for t, _, _ in self.stack) and container <= 0:
                 away = False  # an advert or a notice that was left open
-            if not container and not away:
+            if container <= 0 and not away:
                 self.containers += 1
                 container = self.containers
         else:
-            gone |= tag in _FURNITURE or not _HINTS.isdisjoint(words) or not container and (tag == "header" or not _PAGE_HINTS.isdisjoint(words))
-            if container and not gone and tag in ("div", "section") and words and not _PAGE_HINTS.isdisjoint(words):
-                gone = "footer" in words
+            gone |= tag in _FURNITURE or not _HINTS.isdisjoint(words) or not container and (tag == "header" or not _PAGE_HINTS.isdisjoint(words)) or "footer" in words
+            if not container and not gone and not away and not _CONTENT_HINTS.isdisjoint(words):
+                self.contents += 1
+                container = -self.contents
         self.stack.append((tag, away or gone, container))
 
     def _close(self, tag: str) -> None:
@@ -174,41 +179,40 @@ class _Page:
                     break
 
 
-def _first_pass(text: str, linked: int, inside: bool) -> bool | None:
-    """True for main text, False for other text, None if ambiguous."""
+def _first_pass(text: str, linked: int, inside: bool) -> tuple[bool | None, bool]:
+    """True for main text, False for other text, None if ambiguous; and whether it leans to main text."""
     size = len(text) - text.count(" ")
     found = _WORDS.findall(text)
     stops = sum(w.lower() in STOP_WORDS for w in found) / max(1, len(found))
     if linked > (0.6 if inside else 0.3) * size:
-        return False
+        return False, False
     if len(text) < 70 or not found:
-        return None
+        return None, False
     if stops >= 0.2 and (len(text) >= 140 or inside):
-        return True
-    return None if inside or stops >= 0.08 else False
+        return True, True
+    return (None if inside or stops >= 0.08 else False), stops >= 0.2
 
 
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by blank lines; empty if there are none."""
     found = _Page(page).blocks
-    inside = any(c for _, _, c in found)
-    if inside:
-        found = [b for b in found if b[2]]
-    labels = [_first_pass(text, linked, inside) for text, linked, _ in found]
-    decided = [i for i, x in enumerate(labels) if x is not None]
+    if any(c > 0 for _, _, c in found):
+        found = [b for b in found if b[2] > 0]
+    first = [_first_pass(text, linked, container != 0) for text, linked, container in found]
+    decided = [i for i, (x, _) in enumerate(first) if x is not None]
     out, k = [], 0
     for i, (text, linked, container) in enumerate(found):
-        label = labels[i]
+        label, leans = first[i]
         if label is None:
             while k < len(decided) and decided[k] < i:
                 k += 1
             near = [j for j in (decided[k - 1] if k else None, decided[k] if k < len(decided) else None) if j is not None and found[j][2] == container]
             if near:
                 least = min(abs(i - j) for j in near)
-                label = any(labels[j] for j in near if abs(i - j) == least or inside)
+                label = any(first[j][0] for j in near if abs(i - j) == least or leans)
             else:
-                label = inside
-            label = label or inside and not linked
+                label = leans
+            label = label or container != 0 and not linked
         if label:
             out.append(text)
     return "\n\n".join(out)
