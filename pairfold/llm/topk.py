@@ -83,8 +83,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, pivots: int =
     Components become floor(1024 * x), x as double; the score is the integer inner product, ties go to smaller ids, and
     rows with the query's own id are no candidates.  Vectors that are null, empty, or hold null or non-finite components
     take no part, nor do rows with a null id; vectors of another length than a query's are no candidates for it.  A
-    candidate row that occurs twice counts twice, and so does a query's.  Scores beyond a long are cut to its range.  No
-    queries or no candidates give no rows.
+    candidate row that occurs twice counts twice, and so does a query's.  Scores beyond a long are cut to its range, and
+    those beyond 38 digits tie.  No queries or no candidates give no rows.
 
     Queries are written in files of at most ``block`` rows, so what is broadcast at once is bounded whatever their number;
     each file makes one pass over the candidates, and the passes' results, k rows a query and task, are merged by query.
@@ -98,14 +98,14 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, pivots: int =
     asked.repartition(files).write.option("maxRecordsPerFile", block).parquet(at)
     done = None
     for number, file in enumerate(spark.read.schema(asked.schema).parquet(at).inputFiles()):
-        found = spark.read.schema(asked.schema).parquet(file).orderBy("id").collect()
+        found, first = spark.read.schema(asked.schema).parquet(file).orderBy("id").collect(), number << 32
         for size in sorted({len(r["v"]) for r in found}):
             same = [r for r in found if len(r["v"]) == size]
             own = candidates.where(F.size("v") == size)
             drawn = np.array([r["v"] for r in own.orderBy(F.xxhash64("id")).limit(sample).collect()], np.float64).reshape(-1, size)
             ids, vectors = np.array([r["id"] for r in same], np.int64), np.array([r["v"] for r in same], np.float64)
-            part = own.mapInArrow(_pass(number, ids, _floored(vectors), _sample_pivots(_floored(drawn), pivots), k, rows), "query long, query_id long, vec_id long, score decimal(38,0)")
-            done = part if done is None else done.union(part)
+            part = own.mapInArrow(_pass(first, ids, _floored(vectors), _sample_pivots(_floored(drawn), pivots), k, rows), "query long, query_id long, vec_id long, score decimal(38,0)")
+            done, first = part if done is None else done.union(part), first + len(same)
     if done is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
@@ -119,7 +119,7 @@ def _valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return out.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
 
 
-def _pass(number: int, query_ids: np.ndarray, query_vectors: np.ndarray, pivots: np.ndarray, k: int, rows: int):
+def _pass(first: int, query_ids: np.ndarray, query_vectors: np.ndarray, pivots: np.ndarray, k: int, rows: int):
     limit = 10**38 - 1
 
     def run(batches):
@@ -131,7 +131,7 @@ def _pass(number: int, query_ids: np.ndarray, query_vectors: np.ndarray, pivots:
                 search.add(part.column(0).to_numpy(zero_copy_only=False), _floored(vectors))
         for i, (ids, scores) in enumerate(search.best):
             if len(ids):
-                q = pa.array([number << 32 | i] * len(ids), pa.int64())
+                q = pa.array([first + i] * len(ids), pa.int64())
                 exact = [Decimal(max(-limit, min(limit, int(s)))) for s in scores]
                 yield pa.record_batch([q, pa.array([int(query_ids[i])] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(exact, pa.decimal128(38, 0))], ["query", "query_id", "vec_id", "score"])
 
