@@ -1,12 +1,15 @@
 """Near-duplicate groups by MinHash: banded candidates, sequential Bayesian pruning, exact verification.
 
 Documents with the same words are one class.  Class representatives get MinHash signatures, whose bands put them into
-buckets.  In each bucket, members are first paired with one centre, so a group of m near copies gives m - 1 candidates
-instead of m * (m - 1) / 2.  A candidate's signatures are compared batch by batch: with m of n hashes equal and a uniform
+buckets.  In each bucket, members are first paired with one centre, the smallest id, so a group of m near copies gives m - 1
+candidates instead of m * (m - 1) / 2.  A candidate's signatures are compared batch by batch: with m of n hashes equal and a uniform
 prior, the posterior probability that the similarity reaches the threshold is that of at most m successes in n + 1 trials;
 below the chosen miss probability the pair is dropped.  Survivors are verified on their full shingle sets.  Verified links
-give components; of each bucket, only members of different components are then still compared, all of them, since pairs
-within a component can't change the result.
+give components.  Pairs within a component can't change the result, so what is left are members of a bucket outside its
+largest component.  They find their partners among all members of such buckets by their rarest shingles: two sets with the
+similarity asked for share at least o shingles, so with each set's shingles in order of rising frequency, the first that
+both have is among the first n - o + 1 of either.  That is exact, and near copies that differ from all others by more than
+the threshold allows have nothing but shingles of their own there, so they meet nobody.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairfold.llm.common import attach, blocks, forget, save
@@ -200,7 +203,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     done = save(sketch(docs, sketcher, id_col, text_col), "sketch")
     classes = save(done.where("digest is not null and id is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("id")), "classes")
     total = done.count()
-    reps = save(done.where("signature is not null").join(classes.select("id"), "id", "left_semi").select("id", "signature"), "reps")
+    reps = save(done.where("signature is not null").join(classes.select("id"), "id", "left_semi").select("id", "signature", F.col("n_shingles").alias("size")), "reps")
 
     def keys(batches):
         for b in batches:
@@ -209,29 +212,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found = sketcher.band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1))
                 yield pa.record_batch([pa.array(found.ravel()), pa.array(np.repeat(ids, sketcher.bands))], ["key", "id"])
 
-    in_band = reps.mapInArrow(keys, "key long, id long")
-    buckets = save(in_band.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("centre")).where("n > 1"), "buckets")
+    in_band = reps.select("id", "signature").mapInArrow(keys, "key long, id long")
+    buckets = save(in_band.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1"), "buckets")
     members = save(attach(in_band, buckets, "key", "n", total * bands, F.col("id")).where("centre is not null").select("key", "id", "centre"), "members")
-    stars = save(members.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "stars")
+    stars = save(members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = save(texts.join(members.select("id").distinct(), "id", "left_semi"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
         likely = save(prune(pairs, reps, threshold, miss, batch, bands * rows), "likely")
-        ends = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-        found = save(texts.join(ends, "id", "left_semi"), "texts")
-        out = save(verify(likely, found, shingle, percent), "links")
-        forget(likely, found)
+        out = save(verify(likely, texts, shingle, percent), "links")
+        forget(likely)
         return out
 
     linked = links(stars)
     of = save(components(linked), "labels")
-    rest = save(_across(members, of, stars), "rest")
-    if not rest.isEmpty():
+    rest = _across(members, of, reps, texts, stars, shingle, percent)
+    if rest is not None:
         more = links(rest)
         if not more.isEmpty():
-            both = linked.union(more)
-            of = save(components(both), "labels")
-    forget(members, stars, rest)
+            of = save(components(linked.union(more)), "labels")
+        forget(rest)
+    forget(members, stars, texts)
 
     merged = classes.join(of, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"), "id")
     merged = save(merged.where("n > 1 or component != id").select("digest", "n", "component"), "merged")
@@ -240,20 +242,41 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), "n_shingles", part.alias("component_id"), F.col("id").eqNullSafe(part).alias("kept"))
 
 
-def _across(members: DataFrame, of: DataFrame, compared: DataFrame) -> DataFrame:
-    """Pairs of bucket members in different components that are not compared yet.
-
-    Of each bucket with several components, the members outside its largest one are paired with all members of others.
-    """
+def _across(members: DataFrame, of: DataFrame, reps: DataFrame, texts: DataFrame, compared: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Pairs in different components that may reach the threshold and are not compared yet; None if no bucket is mixed."""
     placed = members.select("key", "id").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = save(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("component", "n").alias("largest")).where("parts > 1"), "mixed")
-    total = mixed.agg(F.sum("n")).first()[0] or 0
-    inside = save(attach(placed, mixed.select("key", "n", "largest"), "key", "n", total, F.col("id")).where("largest is not null"), "inside")
-    outer = inside.where("component != largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    both = outer.join(inside.select("key", "id", "component"), "key").where("cx != component")
+    if mixed.isEmpty():
+        return None
+    total = mixed.agg(F.sum("n")).first()[0]
+    inside = attach(placed, mixed.select("key", "n", "largest"), "key", "n", total, F.col("id")).where("largest is not null")
+    inside = inside.groupBy("id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("outer"))
+    inside = save(inside.join(reps.select("id", "size"), "id"), "inside")
+
+    def shingles(batches):
+        for ids, sizes, components_, outer, found in blocks(batches, ["id", "size", "component", "outer", "text"]):
+            hashes = [shingle_hashes(words(t), k).view(np.int64) for t in found]
+            n = np.array([len(h) for h in hashes])
+            spread = lambda x, kind: pa.array(np.repeat(np.array(x), n), kind)
+            yield pa.record_batch([pa.array(np.concatenate(hashes)), spread(ids, pa.int64()), spread(sizes, pa.int64()), spread(components_, pa.int64()), spread(outer, pa.bool_())], ["shingle", "id", "size", "component", "outer"])
+
+    rows = inside.join(texts, "id").select("id", "size", "component", "outer", "text").mapInArrow(shingles, "shingle long, id long, size long, component long, outer boolean")
+    rows = save(rows, "shingles")
+    often = save(rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    shared = attach(rows, often, "shingle", "often", rows.count(), F.col("id")).where("often is not null")
+    shared = save(shared, "shared")
+    own = Window.partitionBy("id")
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "shingle")) - 1
+    first = save(shared.withColumn("place", place).where(f"place <= size - ceil({percent} * size / 100)"), "first")
+    probes = first.where("outer").select("shingle", F.col("id").alias("x"), F.col("size").alias("nx"), F.col("component").alias("cx"), F.col("place").alias("px"))
+    both = probes.join(first.select("shingle", "id", "size", "component", "place"), "shingle").where(
+        f"cx != component and least(nx - px, size - place) >= ceil({percent} * (nx + size) / {100 + percent})"
+    )
     pairs = both.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    return pairs.join(compared, ["a", "b"], "left_anti")
+    out = save(pairs.join(compared, ["a", "b"], "left_anti"), "rest")
+    forget(mixed, inside, rows, often, shared, first)
+    return out
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
