@@ -1,5 +1,7 @@
 """Order-preserving packing: a dynamic program chooses window cuts at document or sentence ends.
 
+Within sentences of more than 1/64 of a sequence it may cut too, at a higher penalty, so text without sentences packs as well.
+
 Documents follow each other as they are read; a sequence is a window of their tokens.  The cost of a set of cuts is the
 padding of its sequences (none where the length is a power of two, else what is missing to the full length) plus a
 penalty for every cut that truncates a document.  Over the possible cuts c[0] < c[1] < ..., the best cost up to c[i] is
@@ -173,7 +175,7 @@ class Packer:
             yield from self._pack(last=True)
 
     def _possible(self):
-        """Cuts (document and sentence ends, and in longer stretches every word of them as needed) and their penalties."""
+        """Cuts and their penalties: document and sentence ends, and places within sentences of over 1/64 of a sequence."""
         places, costs, at = [np.zeros(1, np.int64)], [np.zeros(1)], 0
         for _, tokens, start in self.docs:
             left = tokens[start:]
@@ -183,10 +185,12 @@ class Packer:
             costs += [np.full(len(inner), self.sentence_penalty), [0.0]]
             at += len(left)
         place, cost = np.concatenate(places), np.concatenate(costs)
-        gaps = np.flatnonzero(np.diff(place) > self.full)
-        if len(gaps):  # sentences longer than a sequence may be cut anywhere; each full length of them is enough
-            more = np.concatenate([np.arange(place[g] + self.full, place[g + 1], self.full) for g in gaps])
-            place, cost = np.append(place, more), np.append(cost, np.full(len(more), self.word_penalty))
+        step = max(1, self.full // 64)
+        more = (np.diff(place) - 1) // step  # cuts within longer stretches, as many steps after what goes before
+        if more.any():
+            gap = np.repeat(np.arange(len(more)), more)
+            turn = np.arange(len(gap)) - np.repeat(np.cumsum(more) - more, more) + 1
+            place, cost = np.append(place, place[gap] + step * turn), np.append(cost, np.full(len(gap), self.word_penalty))
             order = np.argsort(place, kind="stable")
             place, cost = place[order], cost[order]
         return place.tolist(), cost.tolist()
