@@ -222,7 +222,18 @@ def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
     return cat.tree_nodes(cat.as_counts(study.stand_in_catalogue(spark, d))).select(_path("node").alias("node"), "depth", "n")
 
 
-@query()
+def _fold(depth: int) -> str:
+    """CTEs t<depth>..t0 that fold the tree's levels from the deepest up."""
+    out = [f"t{depth} AS (SELECT node, node[-1] AS name, '''' || node[-1] || '-' || n || '''' AS text FROM nodes WHERE depth = {depth})"]
+    for level in range(depth - 1, -1, -1):
+        name = "node[-1]" if level else "'ROOT'"
+        kids = f"SELECT node[:-2] AS parent, string_agg(text, ',' ORDER BY name, text) AS kids FROM t{level + 1} GROUP BY 1"
+        label = f"'''' || {name} || '-' || n || ''''"
+        out.append(f"t{level} AS (SELECT node, {name} AS name, coalesce('(' || kids || ')', '') || {label} AS text FROM nodes LEFT JOIN ({kids}) ON node = parent WHERE depth = {level})")
+    return ", ".join(out)
+
+
+@query(f"WITH {_IMAGES}, {_fold(4)} SELECT text || ';' AS newick FROM t0")
 def newick(spark: SparkSession, d: str) -> DataFrame:
     return cat.newick(cat.as_counts(study.stand_in_catalogue(spark, d)))
 
