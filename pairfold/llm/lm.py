@@ -99,7 +99,7 @@ class Network:
             "wc": normal(h, groups), "bc": np.log(mass / mass.sum()).astype(np.float32),
             "wo": normal(v.classes, h, v.members), "bo": inner.astype(np.float32),
         }
-        self.group = np.concatenate([np.repeat(np.arange(v.classes), v.members), v.classes + np.arange(TAILS + 1)])
+        self.group = np.concatenate([np.repeat(np.arange(v.classes), v.members), v.classes + np.arange(TAILS + 1)]).astype(np.int16)
         self.moments, self.steps = None, 0
 
     def window(self, tokens: np.ndarray, keep: np.ndarray, valid: np.ndarray, state: np.ndarray, rate: float = 0.0):
@@ -108,7 +108,7 @@ class Network:
         ``keep`` is 0 where a text begins; with a ``rate`` the parameters take a training step.
         """
         p, h, (steps, lanes) = self.p, self.hidden, tokens.shape
-        before, gates = np.empty((steps, lanes, h), np.float32), p["wx"][tokens] + p["b"]
+        before, gates = np.empty((steps, lanes, h), np.float32), (p["wx"] + p["b"])[tokens]
         trace = [] if rate else None
         for t in range(steps):
             hp = before[t] = state * keep[t][:, None]
@@ -117,7 +117,7 @@ class Network:
             n = np.tanh(g[:, 2 * h :] + zr[:, h:] * a[:, 2 * h :])
             state = n + zr[:, :h] * (hp - n)
             if rate:
-                trace.append((hp, a[:, 2 * h :], zr, n))
+                trace.append((a[:, 2 * h :], zr, n))
         flat, said, seen = before.reshape(-1, h), tokens.ravel(), valid.ravel()
         group = self.group[said]
         raw = flat @ p["wc"] + p["bc"]
@@ -151,15 +151,15 @@ class Network:
                 grads["wo"][c], grads["bo"][c] = x.T @ err, err.sum(0)
                 back[at] += err @ p["wo"][c].T
         if rate:
-            self._backward(tokens, keep, trace, back.reshape(steps, lanes, h), grads, rate)
+            self._backward(tokens, keep, before, trace, back.reshape(steps, lanes, h), grads, rate)
         return out.reshape(steps, lanes), state
 
-    def _backward(self, tokens, keep, trace, back, grads, rate: float) -> None:
+    def _backward(self, tokens, keep, before, trace, back, grads, rate: float) -> None:
         p, h, (steps, lanes) = self.p, self.hidden, tokens.shape
         dh = np.zeros((lanes, h), np.float32)
         into_gates, into_state = np.empty((2, steps, lanes, 3 * h), np.float32)
         for t in range(steps - 1, -1, -1):
-            hp, a, zr, n = trace[t]
+            hp, (a, zr, n) = before[t], trace[t]
             z, r = zr[:, :h], zr[:, h:]
             dn = dh * (1 - z) * (1 - n * n)
             g, s = into_gates[t], into_state[t]
@@ -169,8 +169,7 @@ class Network:
             s[:, : 2 * h] = g[:, : 2 * h]
             s[:, 2 * h :] = dn * r
             dh = (dh * z + s @ p["u"].T + back[t]) * keep[t][:, None]
-        hps = np.stack([x[0] for x in trace]).reshape(-1, h)
-        grads["u"] = hps.T @ into_state.reshape(-1, 3 * h)
+        grads["u"] = before.reshape(-1, h).T @ into_state.reshape(-1, 3 * h)
         flat, said = into_gates.reshape(-1, 3 * h), tokens.ravel()
         grads["b"] = flat.sum(0)
         order = np.argsort(said, kind="stable")
@@ -250,7 +249,7 @@ def word_counts(rows: DataFrame, held: int = 500_000) -> DataFrame:
         seen: list[Counter] = [Counter(), Counter()]
 
         def flush():
-            keys = sorted(seen[0].keys() | seen[1].keys())
+            keys = list(seen[0].keys() | seen[1].keys())
             for a in range(0, len(keys), 50_000):
                 part = keys[a : a + 50_000]
                 own, rest = ([s[w] for w in part] for s in seen)
@@ -286,14 +285,14 @@ def vocabulary(counts: DataFrame, docs: int, known: int, classes: int, members:
 
 
 def _train_round(rows: DataFrame, vocab, start: bytes, hidden: int, lanes: int, steps: int, rate: float, block: int) -> bytes:
-    """One pass of every task over its texts from the same weights; the mean of the weights by tokens seen."""
+    """One pass of every task over its encoded texts from the same weights; the mean of the weights by tokens seen."""
 
     def run(batches):
         v = vocab.value
         net, seen, docs, held = Network(v, hidden).unpack(start), 0, [], 0
-        for (texts,) in blocks(batches, ["text"], 2 << 20):
-            for text in texts:
-                docs.append(v.encode(words(text))[1])
+        for (texts,) in blocks(batches, ["tokens"]):
+            for tokens in texts:
+                docs.append(np.frombuffer(tokens, "<u2").astype(np.int64))
                 held += len(docs[-1])
             if held >= block:
                 read(net, docs, lanes, steps, rate)
@@ -312,13 +311,13 @@ def _train_round(rows: DataFrame, vocab, start: bytes, hidden: int, lanes: int,
             yield pa.record_batch([pa.array([seen]), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["seen", "weights"])
 
     parts = max(1, math.isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    trained = rows.select("text").mapInArrow(run, "seen double, weights binary")
+    trained = rows.select("tokens").mapInArrow(run, "seen double, weights binary")
     found = trained.repartition(parts).mapInArrow(add, "seen double, weights binary").collect()  # bounded by the root of the shuffle partitions
     seen = sum(r["seen"] for r in found)
     return start if not seen else sum(np.frombuffer(r["weights"], "<f4") * (r["seen"] / seen) for r in found).astype("<f4").tobytes()
 
 
-def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", known: int = 200_000, classes: int = 64, members: int = 32, hidden: int = 16, rounds: int = 2, rate: float = 0.02, train_lanes: int = 128, train_steps: int = 32, lanes: int = 256, steps: int = 64, block: int = 1 << 22) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", known: int = 200_000, classes: int = 32, members: int = 64, hidden: int = 16, rounds: int = 2, rate: float = 0.02, train_lanes: int = 256, train_steps: int = 64, lanes: int = 256, steps: int = 64, block: int = 1 << 22) -> DataFrame:
     """One row per row of ``docs``: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     ``held_out`` is a boolean column; all other rows are learned from, whole and each in one of ``rounds`` rounds.  Tokens
@@ -329,55 +328,66 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     The most frequent ``known`` words go to every task with their counts, a bound that does not depend on the input; the
     counts of all other words are looked up by a join.
     """
+    if classes * members + TAILS >= 1 << 16:
+        raise ValueError("tokens are kept in 16 bits: classes * members must be smaller")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = save(word_counts(rows), "words")
     ends = rows.where(~F.col("held_out")).count()
     vocab = spark.sparkContext.broadcast(vocabulary(counts, ends, known, classes, members))
-    weights = Network(vocab.value, hidden).pack()
-    turn = F.pmod(F.xxhash64("id", "text"), F.lit(rounds))
-    for k in range(rounds):
-        weights = _train_round(rows.where(~F.col("held_out") & (turn == k)), vocab, weights, hidden, train_lanes, train_steps, rate, block)
 
-    def score(batches):
+    def encode(batches):
+        """What the words at hand tell of each text, its tokens, and its other words."""
         from pyspark import TaskContext
 
-        v, place = vocab.value, TaskContext.get().partitionId() << 33
-        net = Network(v, hidden).unpack(weights)
+        v, row = vocab.value, TaskContext.get().partitionId() << 33
         end_count = math.log10(v.docs + 0.1)
-        held, tokens, size = [], [], 0
-
-        def scored():
-            nonlocal place
-            logs = read(net, tokens, lanes, steps) / math.log(10)
-            batch = [(place + i, *h[:4], h[4], x + h[5], h[6], h[7]) for i, (h, x) in enumerate(zip(held, logs.tolist(), strict=True))]
-            place += len(batch)
-            cols = list(zip(*batch, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times"])
-
         for ids, outs, texts in blocks(batches, ["id", "held_out", "text"], 2 << 20):
-            for i, out, text in zip(ids, outs, texts, strict=True):
+            out = []
+            for i, held, text in zip(ids, outs, texts, strict=True):
                 at, said, away = v.encode(words(text))
                 c = v.counts[at[at >= 0]]
                 in_tail = said[:-1] >= v.size
                 shares = np.log10(v.counts[at[in_tail & (at >= 0)]] + 0.1).sum() - v.tail_cost[said[:-1][in_tail] - v.size].sum()
                 more = Counter(away)
-                held.append((i, out, len(said), int((c > 0).sum()) + (v.docs > 0), float(np.log10(c + 0.1).sum() + end_count - v.base_cost * len(said)), float(shares), list(more.keys()), list(more.values())))
-                tokens.append(said)
-                size += len(said)
+                base = float(np.log10(c + 0.1).sum() + end_count - v.base_cost * len(said))
+                out.append((row, i, held, len(said), int((c > 0).sum()) + (v.docs > 0), base, float(shares), said.astype("<u2").tobytes(), list(more.keys()), list(more.values())))
+                row += 1
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "shares", "tokens", "words", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+    schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base double, shares double, tokens binary, words array<binary>, times array<int>"
+    encoded = save(rows.mapInArrow(encode, schema), "encoded")
+    weights = Network(vocab.value, hidden).pack()
+    turn = F.pmod(F.xxhash64("id", "tokens"), F.lit(rounds))
+    for k in range(rounds):
+        weights = _train_round(encoded.where(~F.col("held_out") & (turn == k)), vocab, weights, hidden, train_lanes, train_steps, rate, block)
+
+    def score(batches):
+        net = Network(vocab.value, hidden).unpack(weights)
+        held: list[tuple] = []
+        tokens, size = [], 0
+
+        def scored():
+            logs = read(net, tokens, lanes, steps) / math.log(10) + [x for _, x in held]
+            return pa.record_batch([pa.array([r for r, _ in held], pa.int64()), pa.array(logs)], ["row", "score"])
+
+        for found, shares, texts in blocks(batches, ["row", "shares", "tokens"]):
+            held += zip(found, shares, strict=True)
+            tokens += [np.frombuffer(t, "<u2").astype(np.int64) for t in texts]
+            size += sum(len(t) // 2 for t in texts)
             if size >= block:
                 yield scored()
                 held, tokens, size = [], [], 0
         if held:
             yield scored()
 
-    schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
-    scored = save(rows.mapInArrow(score, schema), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    scored = encoded.select("row", "shares", "tokens").mapInArrow(score, "row long, score double")
+    tail = encoded.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     found = tail.join(counts.where("c > 0").select("word", "c"), "word", "left")
     extra = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("logs"))
-    out = scored.drop("words", "times").join(extra, "row", "left")
+    out = encoded.drop("tokens", "words", "times").join(scored, "row").join(extra, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
