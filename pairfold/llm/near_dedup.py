@@ -121,7 +121,7 @@ def sketch(docs: DataFrame, sketcher: Sketcher, id_col: str, text_col: str) -> D
                 hashes = shingle_hashes(tokens, sketcher.k)
                 sizes.append(len(hashes))
                 digests.append(hashlib.blake2b(b" ".join(tokens), digest_size=16).digest() if tokens else None)
-                signatures.append(sketcher.signature(hashes).tobytes() if len(hashes) > 1 else None)
+                signatures.append(sketcher.signature(hashes).tobytes() if len(hashes) else None)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], ["id", "digest", "n_shingles", "signature"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -193,11 +193,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents are linked when 100 * intersection >= percent * union of their sets of distinct ``shingle``-word shingles;
     component_id is the smallest id reachable by links.  With fewer words than a shingle, the whole sequence is the only
-    one, so such texts link only with texts of the same words.  Null, empty and blank texts have n_shingles 0 and link
-    with nothing.  Rows with the same id are the same document: links of each count for all.  A row with a null id takes
-    no part in links, has a null component_id and stays.  An empty table gives an empty result.  Other columns are not
-    read.  A pair at the threshold is missed by all bands with probability (1 - t ** rows) ** bands (1.4e-7 at 0.8), and
-    pruned with at most ``miss`` after each batch; nothing is capped.
+    one, so such texts link only with texts of the same words.  Longer texts that repeat one word have the same set whatever
+    their length.  Null, empty and blank texts have n_shingles 0 and link with nothing.  Rows with the same id are the same
+    document: links of each count for all.  A row with a null id takes no part in links, has a null component_id and stays.
+    An empty table gives an empty result.  Other columns are not read.  A pair at the threshold is missed by all bands with
+    probability (1 - t ** rows) ** bands (1.4e-7 at 0.8), and pruned with at most ``miss`` after each batch; nothing is capped.
     """
     threshold, sketcher = percent / 100, Sketcher(shingle, bands, rows)
     done = save(sketch(docs, sketcher, id_col, text_col), "sketch")

@@ -90,6 +90,16 @@ def test_near_against_brute_force(spark, documents):
         assert sorted(map(tuple, got.collect()), key=str) == _near(rows, k, percent)
 
 
+def test_near_links_repeated_words(spark, documents):
+    """Texts of several lengths whose only shingle is one word over and over are the same set; shorter ones are not."""
+    rows = [(10 * n + k, " ".join([w] * n)) for n in (1, 2, 3, 4, 5, 6, 9, 40, 5000) for k, w in enumerate(("ha", "HO"))]
+    rows += [(7, "ha ha ha ho"), (8, "ha ho ha ho ha ho"), (9, "ho ha ho ha"), (3, "ha ha"), (None, "ha ha ha ha"), (2, "ho " * 4)]
+    for k, percent in ((3, 85), (5, 80)):
+        got = near_dedup(documents(rows), shingle=k, percent=percent)
+        assert sorted(map(tuple, got.collect()), key=str) == _near(rows, k, percent)
+    assert {r["doc_id"] for r in keep_one_each(documents([(1, "ha ha ha ha ha"), (2, "ha " * 7), (3, "ha ha")])).collect()} == {1, 3}
+
+
 def test_near_edges(spark, documents):
     assert near_dedup(documents([]).where("false")).count() == 0
     blank = near_dedup(documents([(1, None), (2, " "), (None, None)]))
