@@ -51,8 +51,7 @@ class Study:
 
 
 MAIN = Study()
-SCALING = Study(num_subjects=(3, 4), trials_per_subject=(4,), images_per_trial=(5,), subjects_noise_df=(5,))
-MAX_ITERS, MAX_DIMS = 500, 4
+MAX_ITERS = 500
 
 
 def create_simulation(spark: SparkSession, folder: str, n_images: int, n_dims: int, study: Study) -> str:
@@ -64,8 +63,9 @@ def create_simulation(spark: SparkSession, folder: str, n_images: int, n_dims: i
     return store.write_snapshot(study.observations(spark, vectors).join(grid, "config").drop("config"), folder)
 
 
-def scaling_outcomes(spark: SparkSession, vectors: DataFrame, study: Study = SCALING, max_dims: int = MAX_DIMS, max_iters: int = MAX_ITERS) -> DataFrame:
-    """Outcomes of the scaling sweep over a study: mask, gate, solver, failures as rows."""
+def scaling_outcomes(spark: SparkSession, vectors: DataFrame, study: Study = MAIN, max_dims: int | None = None, max_iters: int = MAX_ITERS) -> DataFrame:
+    """Outcomes of the scaling sweep over a study: mask, gate, solver, failures as rows; up to the vectors' own dimensions if none are given."""
+    max_dims = distances.size_of(vectors).first()["dimensions"] if max_dims is None else max_dims
     experiments = study.experiments(spark)
     masked = mds.mask(study.observations(spark, vectors))
     gates = mds.gate(masked, experiments, vectors)

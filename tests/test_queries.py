@@ -18,6 +18,19 @@ def test_runs_without_sql(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_fit_has_every_task(spark):
+    """An outcome for each task of the study over the images themselves, with the gate's errors as rows."""
+    fit = {(r["config"], r["rep"], r["ndim"]): r["error"] for r in queries.QUERIES["mds_fit"](spark, SF).collect()}
+    tasks = {(r["config"], r["rep"], r["ndim"]) for r in queries.QUERIES["mds_tasks"](spark, SF).collect()}
+    gates = {(r["config"], r["rep"]): r["error"] for r in queries.QUERIES["mds_gate"](spark, SF).collect()}
+    assert set(fit) == tasks and all(fit[k] == gates[k[:2]] for k in fit if gates[k[:2]])
+
+
+def test_scree_sweeps_all_dimensions(spark):
+    top = queries.QUERIES["embedding_size"](spark, SF).first()["dimensions"]
+    assert {r["ndim"] for r in queries.QUERIES["scree"](spark, SF).collect()} == set(range(2, top + 1))
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
