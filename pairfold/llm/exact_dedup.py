@@ -162,10 +162,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 48 << 20) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns as they came.
 
-    As :func:`exact_dedup`, but of rows that repeat both the id and the text of the one that stays, one is left.
+    As :func:`exact_dedup`, but of rows that repeat both the id and the text of the one that stays, one is left.  Rows of
+    one id with other texts are judged by their own.
     """
-    gone = exact_dedup(docs, id_col, text_col, budget).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    stay = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col, budget).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
+    stay = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
     twice = save(stay.groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice"), "twice")
     if twice.isEmpty():
         return stay

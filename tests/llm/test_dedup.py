@@ -42,6 +42,12 @@ def test_exact_edges(spark, documents):
     assert kept.columns == documents(ROWS).columns
 
 
+def test_drop_copies_judges_each_text(spark, documents):
+    """A row goes for its own text: another text of its id stays."""
+    kept = drop_copies(documents([(5, "A"), (5, "B"), (9, "B"), (None, "B"), (None, "C")]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == [(5, "A"), (9, "B"), (None, "C")]
+
+
 def test_exact_equals_sql(spark):
     same_rows(queries.QUERIES["op9_exact_dedup"](spark, SF), queries.SQL["op9_exact_dedup"], SF)
 
