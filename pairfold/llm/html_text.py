@@ -4,6 +4,8 @@ Markup is cut into blocks of text.  What stands in page furniture (menus, page h
 adverts, forms, comments of readers), as tags, roles, classes and ids tell, is left out at once.  The first pass decides
 each block that is left by its link density, its density of stop words and its length; short blocks and blocks with few
 stop words stay ambiguous.  The second pass gives ambiguous blocks the label of the nearest decided neighbour.
+Containers replace it for blocks without links: what is ambiguous and has no link stays wherever it stands in an article,
+main or content container, even if its neighbours go, so short boilerplate without links stays there.
 """
 
 from __future__ import annotations
