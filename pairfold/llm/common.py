@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,17 +17,30 @@ HOT_SHARE = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests in local mode), one is made and put in the session.
+    Where the session names none, a local one is made and put in the session if the master is local, that is if driver and
+    executors are one process; on a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"shared-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the application's own part of the shared folder, which goes when the driver's JVM ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    path, fs = _hadoop(spark, own)
+    fs.mkdirs(path)  # what isn't there is not deleted
+    fs.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _hadoop(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -43,9 +57,8 @@ def forget(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_saved_at", None)
         if path:
-            jvm, spark = t.sparkSession._jvm, t.sparkSession
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            at, fs = _hadoop(t.sparkSession, path)
+            fs.delete(at, True)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, spread: Column) -> DataFrame:

@@ -44,4 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         now, before, seen = new, seen, mark(new)
         if seen == before:
             break
-    return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
+    out = save(now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select("a", "a").distinct()), "components")
+    forget(now)
+    return out

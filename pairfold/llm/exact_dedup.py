@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.llm.common import attach, blocks, save
+from pairfold.llm.common import attach, blocks, forget, save
 
 _RECORD = "digest binary, content binary, keep_id long, copies long"
 
@@ -143,9 +143,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``budget`` bounds the bytes of content in a table; a single longer content still fits, alone.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    classes, _ = content_classes(rows.select("id", F.col("text").cast("binary").alias("content")), budget)
+    classes, behind = content_classes(rows.select("id", F.col("text").cast("binary").alias("content")), budget)
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    repeated = classes.where("copies > 1").select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", F.col("copies").alias("group_size"))
+    repeated = save(classes.where("copies > 1").select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", F.col("copies").alias("group_size")), "repeated")
+    forget(*behind)
     own = rows.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     out = attach(own, repeated, "text_sha256", "group_size", total, F.col("id"))
     single = F.col("group_size").isNull()
@@ -163,13 +164,15 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all columns as they came.
 
     As :func:`exact_dedup`, but of rows that repeat both the id and the text of the one that stays, one is left.  Rows of
-    one id with other texts are judged by their own.
+    one id with other texts are judged by their own.  A row with a null id goes if its text has a row with an id, else one
+    row of its text stays.  An empty table stays empty.
     """
-    gone = exact_dedup(docs, id_col, text_col, budget).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    of_copies = exact_dedup(docs.select(id_col, text_col), id_col, text_col, budget).where("group_size > 1")
+    marked = save(of_copies.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept")), "marked")
+    gone = marked.where(~F.col("_kept")).select("_id", "_sha").distinct()
+    twice = save(marked.where("_kept").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "twice")
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
-    stay = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
-    twice = save(stay.groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice"), "twice")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
     if twice.isEmpty():
-        return stay
-    match = F.col(id_col).eqNullSafe(F.col("_twice"))
-    return stay.join(twice, match, "left_anti").union(stay.join(twice, match, "left_semi").dropDuplicates([id_col, text_col]))
+        return docs.join(gone, same, "left_anti")
+    return docs.join(gone.union(twice), same, "left_anti").union(docs.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

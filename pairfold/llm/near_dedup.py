@@ -8,8 +8,9 @@ below the chosen miss probability the pair is dropped.  Survivors are verified o
 give components.  Pairs within a component can't change the result, so what is left are members of a bucket outside its
 largest component.  They find their partners among all members of such buckets by their rarest shingles: two sets with the
 similarity asked for share at least o shingles, so with each set's shingles in order of rising frequency, the first that
-both have is among the first n - o + 1 of either.  That is exact, and near copies that differ from all others by more than
-the threshold allows have nothing but shingles of their own there, so they meet nobody.
+both have is among the first n - o + 1 of either.  Those that meet so are pairs only if their parity sketches, of which
+every shingle that one set alone has turns one bit, differ in no more bits than the sets may differ in shingles.  Both
+filters are exact.
 """
 
 from __future__ import annotations
@@ -84,6 +85,17 @@ def shingle_hashes(tokens: list[bytes], k: int) -> np.ndarray:
     return np.unique(out)
 
 
+#: Columns of a set's parity sketch.
+_PARITIES = [f"odd{i}" for i in range(16)]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """1024 bits: whether each has an odd number of the set's hashes.  A shingle that only one of two sets has turns one bit, so
+    their difference has at least as many shingles as the sketches have different bits."""
+    odd = np.bincount((hashes & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Sketcher:
     """MinHash signatures of bands * rows 32-bit values, by affine permutations of the shingles' high halves."""
 
@@ -114,7 +126,7 @@ def sketch(docs: DataFrame, sketcher: Sketcher, id_col: str, text_col: str) -> D
     """(id, digest of the word sequence, n_shingles, signature) of each row; null digest and signature without words."""
 
     def run(batches):
-        for ids, texts in blocks(batches, ["id", "text"]):
+        for ids, texts in blocks(batches, ["id", "text"], 2 << 20):
             digests, sizes, signatures = [], [], []
             for t in texts:
                 tokens = words(t)
@@ -162,25 +174,38 @@ def prune(pairs: DataFrame, sketches: DataFrame, threshold: float, miss: float,
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def set_sizes(left: list[bytes], right: list[bytes], k: int) -> tuple[int, int, int]:
+    """Sizes of two word sequences' shingle sets and of their intersection.
+
+    Sets of tuples take some hundred bytes a word; in longer texts, words and then shingles get numbers instead, which
+    takes a few dozen, so texts of any length fit one pair at a time.
+    """
+    if min(len(left), len(right)) < k or len(left) + len(right) < 1 << 13:
+        x, y = shingle_set(left, k), shingle_set(right, k)
+        return len(x), len(y), len(x & y)
+    number = {w: i for i, w in enumerate({*left, *right})}
+    w = np.fromiter(map(number.__getitem__, left + right), np.int64, len(left) + len(right))
+    now = w
+    for i in range(1, k):  # numbers of the sequences of i + 1 words; those that straddle the texts are left out below
+        now = now[:-1] * len(number) + w[i:]
+        now = np.unique(now, return_inverse=True)[1]
+    x, y = np.unique(now[: len(left) - k + 1]), np.unique(now[len(left) :])
+    return len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets; texts: (id, text)."""
 
     def run(batches):
-        held: dict = {}
+        last = None, []  # a centre's pairs often follow each other
 
-        def shingles(i, text):
-            if (i, text) not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[i, text] = shingle_set(words(text), k)
-            return held[i, text]
-
-        for a, b, ta, tb in blocks(batches, ["a", "b", "ta", "tb"]):
+        for a, b, ta, tb in blocks(batches, ["a", "b", "ta", "tb"], 2 << 20):
             ok = []
-            for row in zip(a, ta, b, tb, strict=True):
-                x, y = shingles(*row[:2]), shingles(*row[2:])
-                both = len(x & y)
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            for i, x, y in zip(a, ta, tb, strict=True):
+                if last[0] != (i, x):
+                    last = (i, x), words(x)
+                nx, ny, both = set_sizes(last[1], words(y), k)
+                ok.append(100 * both >= percent * (nx + ny - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.record_batch([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], ["a", "b"])
 
@@ -226,17 +251,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return out
 
     linked = links(stars)
-    of = save(components(linked), "labels")
+    of = components(linked)
     rest = _across(members, of, reps, texts, stars, shingle, percent)
     if rest is not None:
         more = links(rest)
         if not more.isEmpty():
-            of = save(components(linked.union(more)), "labels")
-        forget(rest)
-    forget(members, stars, texts)
+            parts, of = of, components(linked.union(more))
+            forget(parts)
+        forget(rest, more)
+    forget(members, buckets, stars, texts, linked)
 
     merged = classes.join(of, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"), "id")
     merged = save(merged.where("n > 1 or component != id").select("digest", "n", "component"), "merged")
+    forget(classes, reps, of)
     out = attach(done.select("id", "digest", "n_shingles"), merged, "digest", "n", total, F.col("id"))
     part = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", part.alias("component_id"), F.col("id").eqNullSafe(part).alias("kept"))
@@ -252,30 +279,37 @@ def _across(members: DataFrame, of: DataFrame, reps: DataFrame, texts: DataFrame
     total = mixed.agg(F.sum("n")).first()[0]
     inside = attach(placed, mixed.select("key", "n", "largest"), "key", "n", total, F.col("id")).where("largest is not null")
     inside = inside.groupBy("id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("outer"))
-    inside = save(inside.join(reps.select("id", "size"), "id"), "inside")
+    inside = scored = save(inside.join(reps.select("id", "size"), "id"), "inside")
 
     def shingles(batches):
-        for ids, sizes, components_, outer, found in blocks(batches, ["id", "size", "component", "outer", "text"]):
+        for ids, found in blocks(batches, ["id", "text"], 1 << 20):
             hashes = [shingle_hashes(words(t), k).view(np.int64) for t in found]
             n = np.array([len(h) for h in hashes])
-            spread = lambda x, kind: pa.array(np.repeat(np.array(x), n), kind)
-            yield pa.record_batch([pa.array(np.concatenate(hashes)), spread(ids, pa.int64()), spread(sizes, pa.int64()), spread(components_, pa.int64()), spread(outer, pa.bool_())], ["shingle", "id", "size", "component", "outer"])
+            yield pa.record_batch([pa.array(np.concatenate(hashes)), pa.array(np.repeat(np.array(ids), n), pa.int64())], ["shingle", "id"])
+
+    def parities(batches):
+        for ids, found in blocks(batches, ["id", "text"], 1 << 20):
+            odd = np.array([parity(shingle_hashes(words(t), k)) for t in found])
+            yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(c) for c in np.ascontiguousarray(odd.T))], ["id", *_PARITIES])
 
-    rows = inside.join(texts, "id").select("id", "size", "component", "outer", "text").mapInArrow(shingles, "shingle long, id long, size long, component long, outer boolean")
-    rows = save(rows, "shingles")
+    inner = inside.join(texts, "id").select("id", "text")
+    rows = save(inner.mapInArrow(shingles, "shingle long, id long"), "shingles")
+    odd = save(inner.mapInArrow(parities, ", ".join(["id long", *(f"{c} long" for c in _PARITIES)])), "parities")
+    inside = inside.join(odd, "id")
     often = save(rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
     shared = attach(rows, often, "shingle", "often", rows.count(), F.col("id")).where("often is not null")
     shared = save(shared, "shared")
     own = Window.partitionBy("id")
-    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "shingle")) - 1
-    first = save(shared.withColumn("place", place).where(f"place <= size - ceil({percent} * size / 100)"), "first")
-    probes = first.where("outer").select("shingle", F.col("id").alias("x"), F.col("size").alias("nx"), F.col("component").alias("cx"), F.col("place").alias("px"))
-    both = probes.join(first.select("shingle", "id", "size", "component", "place"), "shingle").where(
-        f"cx != component and least(nx - px, size - place) >= ceil({percent} * (nx + size) / {100 + percent})"
-    )
+    order = shared.withColumns({"own": F.count("*").over(own), "turn": F.row_number().over(own.orderBy("often", "shingle"))})
+    order = order.join(inside, "id").withColumn("place", F.col("size") - F.col("own") + F.col("turn") - 1)
+    first = save(order.where(f"place <= size - ceil({percent} * size / 100)").select("shingle", "id", "size", "component", "outer", "place", *_PARITIES), "first")
+    probes = first.where("outer").select("shingle", F.col("id").alias("x"), F.col("size").alias("nx"), F.col("component").alias("cx"), F.col("place").alias("px"), *[F.col(c).alias(f"x_{c}") for c in _PARITIES])
+    least = f"ceil({percent} * (nx + size) / {100 + percent})"
+    differ = " + ".join(f"bit_count({c} ^ x_{c})" for c in _PARITIES)
+    both = probes.join(first.drop("outer"), "shingle").where(f"cx != component and least(nx - px, size - place) >= {least} and {differ} <= nx + size - 2 * {least}")
     pairs = both.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     out = save(pairs.join(compared, ["a", "b"], "left_anti"), "rest")
-    forget(mixed, inside, rows, often, shared, first)
+    forget(mixed, scored, rows, odd, often, shared, first)
     return out
 
 

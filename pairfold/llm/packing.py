@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections import deque
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -27,30 +28,64 @@ from pyspark.sql import functions as F
 
 from pairfold.llm.common import blocks
 
-#: Letters whose lower case is one letter and which no mark joins, of ASCII, Latin-1 and Latin Extended-A; then ASCII signs.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters whose lower case is one letter and which no mark joins, of ASCII, Latin-1 and Latin Extended-A.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+#: ASCII signs but for the apostrophe, which may start a contraction.
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+#: A chunk between white space that holds any other character.
+_ODD_CHUNK = re.compile(rf"((?<!\S)[{_LETTERS}{_SIGNS}0-9]*+[^\s{_LETTERS}{_SIGNS}0-9]\S*+)")
+_PIECE = re.compile(rf"[{_LETTERS}]+|[{_SIGNS}]+|[0-9]")
 #: The byte alphabet: bytes that are visible in Latin-1 stand for themselves, the others for code points from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 _SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Bytes that a cached string and its ids take beside their contents, about.
+_ENTRY_BYTES = 200
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Cache:
+    """Ids of strings in two generations of at most about ``budget`` bytes each; the older one goes when the newer is full."""
+
+    def __init__(self, budget: int, encode: Callable[[list[str]], list[bytes]]) -> None:
+        self.budget, self.encode, self.new, self.old, self.size = budget, encode, {}, {}, 0
+
+    def look_up(self, strings: list[str]) -> list[bytes]:
+        found = list(map(self.new.get, strings))
+        if None not in found:
+            return found
+        lack = {s for s, x in zip(strings, found, strict=True) if x is None}
+        known = {s: x for s in lack if (x := self.old.get(s)) is not None}
+        unknown = list(lack - known.keys())
+        known.update(zip(unknown, self.encode(unknown), strict=True))
+        found = [known[s] if x is None else x for s, x in zip(strings, found, strict=True)]
+        self.size += sum(map(len, known)) + sum(map(len, known.values())) + _ENTRY_BYTES * len(known)
+        if self.size > self.budget:
+            self.old, self.new, self.size = self.new, {}, 0
+        else:
+            self.new.update(known)
+        return found
+
+
 class WordTokenizer:
-    """Token ids by the tokenizers library; chunks between white space are encoded once and cached.
+    """Token ids by the tokenizers library, which is asked once for words and chunks that a bounded cache holds.
 
     That is exact for a tokenizer that splits at white space and whose normalizer treats characters on their own, NFC
-    apart, which never joins across white space.  Texts with information separators, which Python alone takes for white
-    space, are encoded as a whole.  Of a chunk of plain letters, in any case, and then signs other than an apostrophe, the
-    tokenizer's splitter makes one word and one run of signs, so new ones go straight to its model, in its byte alphabet.
+    apart, which never joins across white space.  Its splitter makes runs of letters, runs of signs and single digits
+    pieces of their own, so in stretches of plain letters, signs other than an apostrophe and digits, pieces go straight to
+    the tokenizer's model, in its byte alphabet.  Chunks between white space with any other character are encoded as they
+    are.  Texts with the string of a special token, which the library looks for before all else, and with information
+    separators, which Python alone takes for white space, are encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, budget: int = 20 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.keep, self.new, self.old, self.parts = keep, {}, {}, {}
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([*special, _SEPARATORS.pattern]))
+        self.model = self.tokenizer.model
+        self.pieces, self.chunks = Cache(budget, self._piece_ids), Cache(budget // 4, self._ids)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a sentence
         for token, i in vocab.items():
@@ -60,52 +95,25 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks) -> None:
-        """Encodes chunks that the cache lacks."""
-        if len(self.parts) > self.keep:
-            self.parts = {}
-        plain, other, lack = [], [], set()
-        for c in chunks:
-            if m := _PLAIN.fullmatch(c):
-                word, signs = m[1].lower(), m[2]
-                plain.append((c, word, signs))
-                lack.update(x for x in (word, signs) if x and x not in self.parts)
-            else:
-                other.append(c)
-        tokenize = self.tokenizer.model.tokenize
-        for x in lack:
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        tokenize, out = self.model.tokenize, []
+        for x in pieces:
             shown = x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN)
             ids = [t.id for t in tokenize(shown)]
-            self.parts[x] = struct.pack(f"<{len(ids)}I", *ids)
-        parts = self.parts
-        self.new.update((c, parts[w] + parts[s] if s else parts[w]) for c, w, s in plain)
-        self.new.update(zip(other, self._ids(other), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts as little-endian unsigned 32-bit integers."""
-        if len(self.new) >= self.keep:
-            self.old, self.new = {k: v for k, v in self.new.items() if len(k) <= 64}, {}
-        get, out, pending, missing = self.new.get, [], [], set()
-        for text in texts:
-            if _SEPARATORS.search(text):
-                out += self._ids([text])
-                continue
-            chunks = text.split()
-            found = list(map(get, chunks))
-            if None in found:
-                missing.update([c for c, x in zip(chunks, found, strict=True) if x is None])
-                pending.append((len(out), chunks, found))
-                out.append(None)
-            else:
-                out.append(b"".join(found))
-        known = {c: x for c in missing if (x := self.old.get(c)) is not None}
-        self.new.update(known)
-        self._learn(missing - known.keys())
-        new = self.new
-        for i, chunks, found in pending:
-            out[i] = b"".join([new[c] if x is None else x for x, c in zip(found, chunks, strict=True)])
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if self.whole.search(text):
+            return self._ids([text])[0]
+        parts = _ODD_CHUNK.split(text)
+        out = self.pieces.look_up(_PIECE.findall(parts[0].lower()))
+        for odd, plain in zip(parts[1::2], parts[2::2], strict=True):
+            out += self.chunks.look_up([odd])
+            out += self.pieces.look_up(_PIECE.findall(plain.lower()))
+        return b"".join(out)
+
 
 @lru_cache(2)
 def tokenizer(path: str) -> WordTokenizer:
@@ -233,8 +241,8 @@ class Packer:
 def pack(docs: DataFrame, path: str, end_id: int = 2, full: int = 4096, id_col: str = "doc_id", text_col: str = "text", sentence_penalty: float = 8.0, word_penalty: float = 64.0, block: int = 1 << 20) -> DataFrame:
     """One row per piece of a document: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    A document's ids are those of the tokenizers file at ``path`` (special tokens are ordinary text) and then ``end_id``;
-    a null or empty text has that one alone.  Each id lies in exactly one piece, pieces of a sequence leave no gap, and no
+    A document's ids are those that a tokenizer of the file at ``path`` gives without adding special tokens (the string of
+    one in a text is that token, as the library has it) and then ``end_id``; a null or empty text has that one alone.  Each id lies in exactly one piece, pieces of a sequence leave no gap, and no
     sequence is longer than ``full``.  Documents keep the order in which a task reads them; rows with repeated or null ids
     are packed each on their own.  An empty table gives no pieces.  Only the last sequence of a task can't be filled from
     what follows; it is split into lengths of powers of two where that is cheaper.  sequence_id is unique in a result; it
@@ -249,8 +257,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, full: int = 4096, id_col:
 
         def pieces():
             for ids, texts in blocks(batches, ["id", "text"], 2 << 20):
-                for i, tokens in zip(ids, t.encode(texts), strict=True):
-                    yield from packer.add(i, tokens)
+                for i, text in zip(ids, texts, strict=True):
+                    yield from packer.add(i, t.encode(text))
             yield from packer.finish()
 
         rows = []

@@ -2,13 +2,14 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from helpers import DATA, same_rows
 
 from pairfold.llm import queries
 from pairfold.llm.components import components
 from pairfold.llm.exact_dedup import drop_copies, exact_dedup
-from pairfold.llm.near_dedup import Sketcher, fewest_matches, keep_one_each, near_dedup, shingle_hashes, shingle_set, words
+from pairfold.llm.near_dedup import Sketcher, fewest_matches, keep_one_each, near_dedup, parity, set_sizes, shingle_hashes, shingle_set, words
 
 SF = f"{DATA}/sf0.001"
 ROWS = [(1, "a b c d"), (2, None), (3, ""), (4, "a b c d"), (5, "A b c d"), (6, " \t"), (7, "x" * 300_000), (8, "x" * 300_000), (None, "a b c d"), (9, "hot")] + [(100 + k, "hot") for k in range(50)]
@@ -48,6 +49,11 @@ def test_drop_copies_judges_each_text(spark, documents):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == [(5, "A"), (9, "B"), (None, "C")]
 
 
+def test_drop_copies_with_null_ids(spark, documents):
+    got = drop_copies(documents([(5, "a"), (9, "a"), (5, "b"), (None, "a"), (None, "z"), (None, "z"), (None, None), (3, "")])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == [(3, ""), (5, "b"), (9, "a"), (None, "z")]
+
+
 def test_exact_equals_sql(spark):
     same_rows(queries.QUERIES["op9_exact_dedup"](spark, SF), queries.SQL["op9_exact_dedup"], SF)
 
@@ -119,6 +125,26 @@ def test_near_equals_sql(spark):
     same_rows(queries.QUERIES["op3_near_dedup"](spark, SF), queries.SQL["op3_near_dedup"], SF)
 
 
+@pytest.mark.parametrize("k", [3, 5])
+def test_set_sizes_by_numbers(k):
+    """Long texts are compared by numbered shingles, short ones by sets; both are exact."""
+    rng = random.Random(k)
+    for n in (2, k, 50, 6000):
+        a = [f"w{rng.randrange(40)}".encode() for _ in range(n)]
+        b = a[: n // 2] + [f"w{rng.randrange(60)}".encode() for _ in range(n // 2)]
+        x, y = shingle_set(a, k), shingle_set(b, k)
+        assert set_sizes(a, b, k) == (len(x), len(y), len(x & y))
+
+
+def test_parity_bounds_the_difference():
+    rng = random.Random(3)
+    for n in (1, 30, 300, 3000):
+        x = {rng.getrandbits(64) for _ in range(n)}
+        y = set(list(x)[: n - n // 5]) | {rng.getrandbits(64) for _ in range(n // 3)}
+        a, b = (parity(np.array(sorted(s), np.uint64)) for s in (x, y))
+        assert sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= len(x ^ y)
+
+
 def test_hashes_count_shingles():
     for text in ("a b c a b c a", "one", "one two", "ä ö ü ä", "x " * 500 + "y"):
         assert len(shingle_hashes(words(text), 3)) == len(shingle_set(words(text), 3))

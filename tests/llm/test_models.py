@@ -66,11 +66,21 @@ def test_language_edges(spark, documents):
     kept = langid.keep_known(docs, model)
     assert kept.count() == 5 and kept.columns == docs.columns
     nothing = langid.train(docs.where("false"))
+    assert sorted(r["text"] for r in langid.keep_known(docs, nothing).collect()) == sorted(r["text"] for r in kept.collect())
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.identify(docs.where("false"), model).count() == 0
     assert langid.identify(documents([(1, "the house " * 50_000)]), model).first()["lang_pred"] == "en"
 
 
+def test_unlearned_languages_are_rejected(spark):
+    """Labelled documents stay; scripts that no example has go."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    other = [(-1, "这是一个中文文本，用来测试语言识别。"), (-2, "Это русский текст для проверки определения языка."), (-3, "αυτό είναι ένα ελληνικό κείμενο"), (-4, "12 ?")]
+    both = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(*r, None) for r in other], "doc_id long, text string, lang string"))
+    kept = langid.keep_known(both, langid.train(both))
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in docs.where("lang is not null").select("doc_id").collect()}
+
+
 # --- language model -----------------------------------------------------------------------------------------------------
 
 

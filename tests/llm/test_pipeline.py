@@ -33,5 +33,5 @@ def test_run_packs_what_is_kept(spark):
     t = packing.tokenizer(pipeline.public_tokenizers.path("word_bpe_49k.json"))
     assert len({p["doc_id"] for p in pieces}) > 0.7 * len(docs)
     for p in pieces[:200]:
-        ids = np.append(np.frombuffer(t.encode([docs[p["doc_id"]]])[0], "<u4"), 2).astype("<u4")
+        ids = np.append(np.frombuffer(t.encode(docs[p["doc_id"]]), "<u4"), 2).astype("<u4")
         assert p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) and p["doc_tokens"] == len(ids)

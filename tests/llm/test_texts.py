@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import random
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
@@ -10,6 +11,7 @@ import pytest
 from helpers import DATA, same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from pairfold.llm import bpe, chat, html_text, packing, queries, warc
 
@@ -120,16 +122,57 @@ def test_bpe_tables(spark, documents):
     assert bpe.bpe_round_trip(docs.where("false"), RANKS, P.PATTERN).count() == 0
 
 
+@lru_cache(1)
+def _fresh_tokenizer():
+    return Tokenizer.from_file(WORDS)
+
+
 def _reference_ids(text):
-    t = packing.tokenizer(WORDS).tokenizer
-    return t.encode(text, add_special_tokens=False).ids
+    return _fresh_tokenizer().encode(text, add_special_tokens=False).ids
 
 
 def test_word_ids_equal_the_library(spark):
-    texts = [*_random_texts(1500, 2), "<|endoftext|> it's Don'T", "İstanbul ﬁne T̈ K"]
+    texts = [*_random_texts(1500, 2), "<|endoftext|> it's Don'T", "İstanbul ﬁne T̈ K", "a<|startoftext|>b <|EndOfText|>"]
     texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    for t, ids in zip(texts, packing.tokenizer(WORDS).encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == _reference_ids(t)
+    parts = ["a", "É", "ß", "İ", "ı", "ſ", "'s", "'", "’", "\u0301", "1", "٣", "!", "?.", "_", "<|endoftext|>", "\x1c", " ", "\u0085", "\xa0", "\n", "中", "Σ", "×", "ª", "don't", "\x00", "\x7f", "😀", "\u200b"]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    small = packing.WordTokenizer(WORDS, budget=50_000)  # its generations go again and again
+    for t in texts:
+        want = np.array(_reference_ids(t), "<u4").tobytes()
+        assert packing.tokenizer(WORDS).encode(t) == want == small.encode(t)
+    assert _reference_ids("<|endoftext|>") == [49407]
+
+
+def test_query_packs_with_little_padding(spark):
+    """Each id of every document is in one piece, in sequences of at most 4096 with under one per cent of padding."""
+    import zlib
+
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    pieces = queries.QUERIES["op4_packing"](spark, f"{DATA}/sf0.01").toPandas()
+    sums = pieces.groupby("sequence_id")["length"].sum()
+    assert sums.max() <= 4096
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in sums.tolist())
+    assert padding < 0.01 * sums.sum()
+    offsets = pieces.sort_values(["sequence_id", "offset"])
+    assert (offsets["offset"] == offsets.groupby("sequence_id")["length"].cumsum() - offsets["length"]).all()
+    by_doc = dict(list(pieces.sort_values("start").groupby("doc_id")))
+    for r in docs.collect():
+        ids, at = np.array([*_reference_ids(r["text"] or ""), 2], "<u4"), 0
+        for p in by_doc.pop(r["doc_id"]).itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    assert not by_doc
+
+
+def test_pack_repeats_and_nulls(spark, documents):
+    """Rows with the same or a null id are packed each on its own."""
+    rows = [(1, "one two"), (1, "one two"), (1, "other"), (None, "one two"), (None, None), (2, " \n")]
+    pieces = packing.pack(documents(rows), WORDS).collect()
+    want = sorted(((i, len(_reference_ids(t or "")) + 1) for i, t in rows), key=str)
+    assert sorted(((p["doc_id"], p["doc_tokens"]) for p in pieces if p["start"] == 0), key=str) == want
+    assert sum(p["length"] for p in pieces) == sum(n for _, n in want)
 
 
 def _best_cost(cuts, penalties, full):
