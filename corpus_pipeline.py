@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairfold.llm.common import save
+from pairfold.llm.common import forget, save
 from pairfold.llm.exact_dedup import drop_copies
 from pairfold.llm.langid import keep_known, train
 from pairfold.llm.near_dedup import keep_one_each
@@ -13,7 +13,7 @@ from pairfold.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents; texts that are null or have no letter, so no language, go."""
+    """Learns from the labelled documents; texts that are null, have no letter or are in a language not learned go."""
     return keep_known(docs, train(docs))
 
 
@@ -39,7 +39,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that all stages leave; each stage's rows are saved, and its input deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        out = save(stage(spark, docs, sf_dir), name)
+        forget(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
