@@ -34,7 +34,9 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _SIGNS = r"!-&(-/:-@\[-`{-~"
 #: A chunk between white space that holds any other character.
 _ODD_CHUNK = re.compile(rf"((?<!\S)[{_LETTERS}{_SIGNS}0-9]*+[^\s{_LETTERS}{_SIGNS}0-9]\S*+)")
-_PIECE = re.compile(rf"[{_LETTERS}]+|[{_SIGNS}]+|[0-9]")
+#: Runs of letters, runs of signs, single digits, and whatever else is no white space.
+_PIECE = re.compile(rf"[{_LETTERS}]+|[{_SIGNS}]+|[0-9]|[^\s{_LETTERS}{_SIGNS}0-9]|[\x1c-\x1f]")
+_PLAIN_START = re.compile(rf"[{_LETTERS}{_SIGNS}0-9]").match
 #: The byte alphabet: bytes that are visible in Latin-1 stand for themselves, the others for code points from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 _SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
@@ -44,27 +46,23 @@ _ENTRY_BYTES = 200
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Cache:
+class Cache(dict):
     """Ids of strings in two generations of at most about ``budget`` bytes each; the older one goes when the newer is full."""
 
-    def __init__(self, budget: int, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.budget, self.encode, self.new, self.old, self.size = budget, encode, {}, {}, 0
-
-    def look_up(self, strings: list[str]) -> list[bytes]:
-        found = list(map(self.new.get, strings))
-        if None not in found:
-            return found
-        lack = {s for s, x in zip(strings, found, strict=True) if x is None}
-        known = {s: x for s in lack if (x := self.old.get(s)) is not None}
-        unknown = list(lack - known.keys())
-        known.update(zip(unknown, self.encode(unknown), strict=True))
-        found = [known[s] if x is None else x for s, x in zip(strings, found, strict=True)]
-        self.size += sum(map(len, known)) + sum(map(len, known.values())) + _ENTRY_BYTES * len(known)
+    def __init__(self, budget: int, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.budget, self.encode, self.old, self.size = budget, encode, {}, 0
+
+    def __missing__(self, string: str) -> bytes:
+        ids = self.old.get(string)
+        if ids is None:
+            ids = self.encode(string)
+        self.size += len(string) + len(ids) + _ENTRY_BYTES
         if self.size > self.budget:
-            self.old, self.new, self.size = self.new, {}, 0
-        else:
-            self.new.update(known)
-        return found
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[string] = ids
+        return ids
 
 
 class WordTokenizer:
@@ -78,12 +76,11 @@ class WordTokenizer:
     separators, which Python alone takes for white space, are encoded as a whole.
     """
 
-    def __init__(self, path: str, budget: int = 20 << 20) -> None:
+    def __init__(self, path: str, budget: int = 64 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*special, _SEPARATORS.pattern]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.pieces, self.chunks = Cache(budget, self._piece_ids), Cache(budget // 4, self._ids)
         vocab = self.tokenizer.get_vocab()
@@ -92,26 +89,32 @@ class WordTokenizer:
             if token.endswith("</w>") and set(token[:-4]) & set(".!?") and not any(c.isalnum() for c in token[:-4]):
                 self.ends[i] = True
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        tokenize, out = self.model.tokenize, []
-        for x in pieces:
-            shown = x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN)
-            ids = [t.id for t in tokenize(shown)]
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
+    def _piece_ids(self, piece: str) -> bytes:
+        """Ids of a plain piece; KeyError for another."""
+        if not _PLAIN_START(piece):
+            raise KeyError(piece)
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self.whole.search(text):
-            return self._ids([text])[0]
+        if any(s in text for s in self.special):
+            return self._ids(text)
+        pieces, chunks = self.pieces.__getitem__, self.chunks.__getitem__
+        try:
+            return b"".join(map(pieces, _PIECE.findall(text.lower())))
+        except KeyError:  # it has other characters
+            pass
+        if _SEPARATORS.search(text):
+            return self._ids(text)
         parts = _ODD_CHUNK.split(text)
-        out = self.pieces.look_up(_PIECE.findall(parts[0].lower()))
+        out = [*map(pieces, _PIECE.findall(parts[0].lower()))]
         for odd, plain in zip(parts[1::2], parts[2::2], strict=True):
-            out += self.chunks.look_up([odd])
-            out += self.pieces.look_up(_PIECE.findall(plain.lower()))
+            out += [chunks(odd), *map(pieces, _PIECE.findall(plain.lower()))]
         return b"".join(out)
 
 
