@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairfold.sources import images
 
-#: Panels of the size histogram: name and category prefix.
+# Panels of the size histogram, by category prefix.
 PANELS = ("All Categories", "Animate", "Inanimate", "Animate/Animal", "Animate/Human", "Inanimate/Handmade", "Inanimate/Natural")
 
 
@@ -55,16 +58,23 @@ def tree_nodes(counts: DataFrame, update_internal_counts: bool = True) -> DataFr
     return up.groupBy("node", "depth").agg(F.sum("n").alias("n"))
 
 
+def as_tree(dataset: str | DataFrame, spark: SparkSession | None = None, order: str | None = None, update_internal_counts: bool = True) -> DataFrame:
+    """(node, depth, n) of a folder or a table, which :func:`as_counts` takes."""
+    return tree_nodes(as_counts(dataset, spark, order), update_internal_counts)
+
+
 def newick(counts: DataFrame) -> DataFrame:
     """One row (newick): the tree with labels '<name>-<count>', children by name, the root named ROOT.
 
+    An apostrophe within a name is doubled.
+
     The tree is folded from its deepest level up, one aggregation a level, so there are as many as the tree is deep.
     """
     nodes = tree_nodes(counts)
     depth = nodes.agg(F.max("depth")).first()[0]
     if depth is None:
         return counts.sparkSession.createDataFrame([("'ROOT-0';",)], "newick string")
-    label = lambda name: F.concat(F.lit("'"), name, F.lit("-"), F.col("n").cast("string"), F.lit("'"))
+    label = lambda name: F.concat(F.lit("'"), F.replace(name, F.lit("'"), F.lit("''")), F.lit("-"), F.col("n").cast("string"), F.lit("'"))
     below = None
     for level in range(depth, -1, -1):
         here = nodes.where(F.col("depth") == level)
@@ -84,46 +94,48 @@ def write_newick(counts: DataFrame, path: str) -> None:
     newick(counts).write.mode("overwrite").text(path)
 
 
+_NEWICK = re.compile(r"'(?:[^']|'')*'|[(),;]|[^(),;']+")
+
+
+def _tree(text: str) -> list[list]:
+    """[node, parent, name] of a Newick text; nodes are numbered as they end, parents after their children."""
+    rows: list[list] = []
+    levels: list[list[int]] = [[]]  # nodes that wait for their parent, at each depth
+    below: list[int] = []  # children of the node that comes next
+
+    def end(name: str) -> None:
+        nonlocal below
+        for k in below:
+            rows[k][1] = len(rows)
+        levels[-1].append(len(rows))
+        rows.append([len(rows), None, name])
+        below = []
+
+    before = ""
+    for token in _NEWICK.findall(text):
+        if token in "),;" and before == ")":
+            end("")  # an inner node without a label
+        if token == ";":
+            break
+        if token == "(":
+            levels.append([])
+        elif token == ")":
+            below = levels.pop()
+        elif token != ",":
+            end(token[1:-1].replace("''", "'") if token[0] == "'" else token)
+        before = token
+    return rows
+
+
 def parse_newick(texts: DataFrame, column: str = "newick") -> DataFrame:
-    """(node, parent, name) of trees in Newick text with labelled inner nodes; nodes are numbered in each text."""
+    """(tree, node, parent, name) of each text's tree, whose inner nodes have labels; ``tree`` is unique to a text."""
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for number, text in enumerate(pdf[column]):
-                waiting: list[list[int]] = [[]]
-                i, count = 0, 0
-                kids: list[int] = []
-                while i < len(text) and text[i] != ";":
-                    c = text[i]
-                    if c == "(":
-                        waiting.append([])
-                        i += 1
-                    elif c == ",":
-                        i += 1
-                    elif c == ")":
-                        kids = waiting.pop()
-                        i += 1
-                        if i >= len(text) or text[i] in ",);":
-                            waiting[-1].append(count)
-                            out.append([number, count, None, "", kids])
-                            count, kids = count + 1, []
-                    else:
-                        end = text.index("'", i + 1) + 1 if c == "'" else i
-                        while end < len(text) and text[end] not in ",();":
-                            end += 1
-                        waiting[-1].append(count)
-                        out.append([number, count, None, text[i:end].strip("'"), kids])
-                        count, kids, i = count + 1, [], end
-                index = {(r[0], r[1]): r for r in out}
-                for r in out:
-                    for k in r[4]:
-                        index[r[0], k][2] = r[1]
-            yield pd.DataFrame([r[:4] for r in out], columns=["tree", "node", "parent", "name"])
-
-    return texts.select(column).mapInPandas(run, "tree long, node long, parent long, name string")
+        for batch in batches:
+            rows = [[tree, *r] for tree, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True) for r in _tree(text or "")]
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["tree", "node", "parent", "name"])
+
+    return texts.select(F.monotonically_increasing_id().alias("tree"), column).mapInArrow(run, "tree long, node long, parent long, name string")
 
 
 def with_prefix(counts: DataFrame, prefix: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairfold.functions.draws import draw_key, normal
-from pairfold.functions.stats import euclidean
 
 
 def make_embeddings(spark: SparkSession, n: int, d: int, seed: int = 42) -> DataFrame:
@@ -24,24 +25,70 @@ def size_of(embeddings: DataFrame) -> DataFrame:
     return embeddings.agg(F.count("*").alias("num_images"), F.max(F.size("vec")).alias("dimensions"))
 
 
-def pairs(embeddings: DataFrame, blocks: int = 8) -> DataFrame:
-    """(i, j, d float) of all pairs of images, i < j.
+def _block_pairs(embeddings: DataFrame, per_block: int) -> DataFrame:
+    """(lo, hi, b, img, vec): each vector once for every pair of hash blocks that its own block is in.
 
-    Images are hashed into blocks, and every pair of blocks is a join key: an equi-join of ``blocks`` copies of each
-    vector, spread over blocks * (blocks + 1) / 2 keys, where a nested loop would need one side whole on each executor.
+    There are about N / ``per_block`` blocks, so a pair of blocks has about twice ``per_block`` vectors whatever N is, and N
+    only decides how many pairs of blocks there are.  An explicit exchange deals the pairs of blocks out.
     """
-    own = embeddings.select("img", "vec", F.pmod(F.xxhash64("img"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cell = own.select("img", "vec", "b", F.explode(every).alias("other")).select("img", "vec", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b")
-    x = cell.select(F.col("img").alias("i"), F.col("vec").alias("x"), "lo", "hi", F.col("b").alias("bx"))
-    y = cell.select(F.col("img").alias("j"), F.col("vec").alias("y"), "lo", "hi", F.col("b").alias("by"))
-    met = x.join(y, ["lo", "hi"]).where("i < j and (lo = hi or bx != by)")
-    return met.select("i", "j", euclidean(F.col("x"), F.col("y")).cast("float").alias("d"))
-
-
-def distance_spread(distances: DataFrame) -> DataFrame:
-    """One row (pairs, sd): the population standard deviation of the distances."""
-    return distances.agg(F.count("*").alias("pairs"), F.stddev_pop(F.col("d").cast("double")).alias("sd"))
+    blocks = max(1, -(-embeddings.count() // per_block))
+    own = embeddings.select(F.col("img").cast("long").alias("img"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("img"), F.lit(blocks)).cast("int").alias("b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    return own.select("img", "vec", "b", every).select(F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b", "img", "vec")
+
+
+def _distances(table: pa.Table):
+    """For each vector of a pair of blocks: its id, the ids it is paired with, and the distances, as single-precision numbers."""
+    lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+    ids, of = table["img"].to_numpy(), table["b"].to_numpy()
+    # vectors of another length than the first one's are an error, as reshaping is then
+    vectors = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    left, right = np.flatnonzero(of == lo), np.flatnonzero(of == hi)
+    for at in left:
+        other = right[ids[right] > ids[at]] if lo == hi else right
+        gaps = vectors[other] - vectors[at]
+        yield ids[at], ids[other], np.sqrt(np.einsum("ij,ij->i", gaps, gaps)).astype(np.float32)
+
+
+def pairs(embeddings: DataFrame, per_block: int = 512) -> DataFrame:
+    """(i, j, d float) of all pairs of images, i < j, by one numpy kernel for each pair of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [(np.minimum(i, js), np.maximum(i, js), d) for i, js, d in _distances(table)]
+        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        return pa.table({"i": i, "j": j, "d": d})
+
+    return _block_pairs(embeddings, per_block).groupBy("lo", "hi").applyInArrow(run, "i long, j long, d float")
+
+
+def distance_spread(embeddings: DataFrame, per_block: int = 512) -> DataFrame:
+    """One row (pairs, sd): the population standard deviation of the distances of all pairs; null without pairs.
+
+    Each pair of blocks gives its count, mean and squared deviations; no pair of images becomes a row.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        d = np.concatenate([np.zeros(0, np.float32), *(d for _, _, d in _distances(table))]).astype(np.float64)
+        mean = d.mean() if len(d) else 0.0
+        return pa.table({"n": [len(d)], "mean": [mean], "off": [((d - mean) ** 2).sum()]})
+
+    parts = _block_pairs(embeddings, per_block).groupBy("lo", "hi").applyInArrow(run, "n long, mean double, off double")
+    # squared deviations from the mean of all are those from a part's own mean and those of the means
+    sums = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.sum("off").alias("off"), F.sum(F.col("n") * F.col("mean")).alias("first"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("second"))
+    square = F.col("off") + F.col("second") - F.try_divide(F.col("first") * F.col("first"), F.col("pairs"))
+    return sums.select("pairs", F.sqrt(F.try_divide(F.greatest(square, F.lit(0.0)), F.col("pairs"))).alias("sd"))
+
+
+def numbered(embeddings: DataFrame, span: int = 4096) -> DataFrame:
+    """(img, place): images numbered from 0 in the order of their ids.
+
+    Ids are numbered within stretches of ``span`` ids; the running count of stretches alone is made in one task.
+    """
+    own = embeddings.select(F.col("img").cast("long").alias("img")).withColumn("stretch", F.floor(F.col("img") / span))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy("stretch").agg(F.count("*").alias("n")).select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    turn = F.row_number().over(Window.partitionBy("stretch").orderBy("img"))
+    return own.withColumn("turn", turn).join(starts, "stretch").select("img", (F.col("start") + F.col("turn") - 1).alias("place"))
 
 
 def condensed_index(i: Column, j: Column, n: Column) -> Column:

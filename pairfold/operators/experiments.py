@@ -1,17 +1,18 @@
 """Simulated arrangement experiments over a parameter grid, all configurations in one plan.
 
-An experiment is a configuration (``config``: its place in the grid) and a repetition (``rep``).  All draws are functions
-of the seed and the ids, so any part of a study can be computed again, alone and on any partitioning.
+An experiment is a configuration (``config``: its place in a grid) and a repetition (``rep``).  All draws are functions of
+the seed, the configuration's five parameters and the ids within the experiment, so any part of a study can be computed
+again, alone, from another grid and on any partitioning.
 """
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairfold.functions.draws import abs_student_t, draw_key, normal
+from pairfold.functions.draws import abs_student_t, draw_key, normal, uniform
 from pairfold.functions.stats import euclidean
 from pairfold.operators import distances
 
@@ -26,8 +27,10 @@ def check_params(num_subjects: int, trials_per_subject: int, images_per_trial: i
             raise ValueError(f"{name} must be positive (got {value})")
     if subjects_noise_scale < 0:
         raise ValueError(f"subjects_noise_scale must be non-negative (got {subjects_noise_scale})")
-    if images_per_trial <= 0 or (n_images is not None and images_per_trial >= n_images):
-        raise ValueError(f"images_per_trial must be between 0 and the number of images (got {images_per_trial} of {n_images})")
+    if images_per_trial <= 0:
+        raise ValueError(f"a trial needs at least one image (got images_per_trial={images_per_trial})")
+    if n_images is not None and images_per_trial >= n_images:
+        raise ValueError(f"a trial must leave images out (got images_per_trial={images_per_trial} of {n_images} images)")
 
 
 def param_grid(spark: SparkSession, num_subjects, trials_per_subject, images_per_trial, subjects_noise_scale, subjects_noise_df) -> DataFrame:
@@ -48,19 +51,33 @@ def mds_tasks(experiments: DataFrame, max_dims: int) -> DataFrame:
     return experiments.withColumn("ndim", F.explode(F.sequence(F.lit(2), F.lit(max_dims))))
 
 
+def own_key() -> Column:
+    """What tells an experiment's draws from those of all others: its parameters and repetition, not its place in a grid."""
+    return F.concat_ws("|", *[F.col(p).cast("string") for p in [*PARAMS, "rep"]])
+
+
 def trial_selection(experiments: DataFrame, embeddings: DataFrame, seed: int = 42) -> DataFrame:
     """(config, rep, subject, trial, img): the images of each trial, without replacement.
 
-    Images are ranked by the hash of (trial, image); the limit on ranks is pushed below the shuffle.  The images are the
-    broadcast side only where Spark finds them small, as it does for any join.
+    Each trial draws k of the n images' places by Floyd's method: for j from n - k to n - 1, one place of 0..j, or j itself if
+    that is drawn already.  So a trial costs k draws, and only what is drawn is joined with the images.  ValueError if a
+    trial would have all images.
     """
+    n = embeddings.count()
+    most = experiments.agg(F.max("images_per_trial")).first()[0]
+    if most is not None:
+        check_params(1, 1, most, 0.0, 1, n)
     subjects = experiments.withColumn("subject", F.explode(F.expr("sequence(0, num_subjects - 1)")))
-    trials = subjects.withColumn("trial", F.explode(F.expr("sequence(0, trials_per_subject - 1)"))).select("config", "rep", "subject", "trial", "images_per_trial")
-    candidates = trials.join(embeddings.select("img"))
-    key = F.md5(draw_key(seed, "trial", "config", "rep", "subject", "trial", "img"))
-    ranked = Window.partitionBy("config", "rep", "subject", "trial").orderBy("key", "img")
-    chosen = candidates.withColumn("key", key).withColumn("place", F.row_number().over(ranked)).where("place <= images_per_trial")
-    return chosen.select("config", "rep", "subject", "trial", "img")
+    trials = subjects.withColumn("trial", F.explode(F.expr("sequence(0, trials_per_subject - 1)"))).withColumn("own", own_key())
+
+    def draw(chosen, j):
+        place = F.floor(uniform(draw_key(seed, "trial", "own", "subject", "trial", j)) * (j + 1)).cast("long")
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, place), j).otherwise(place)))
+
+    steps = F.sequence(F.lit(n) - F.col("images_per_trial"), F.lit(n - 1))
+    places = F.aggregate(steps.cast("array<long>"), F.array().cast("array<long>"), draw)
+    drawn = trials.select("config", "rep", "subject", "trial", F.explode(places).alias("place"))
+    return drawn.join(distances.numbered(embeddings), "place").select("config", "rep", "subject", "trial", "img")
 
 
 def trial_pairs(selection: DataFrame) -> DataFrame:
@@ -71,16 +88,16 @@ def trial_pairs(selection: DataFrame) -> DataFrame:
 
 
 def subject_noises(experiments: DataFrame, spread: DataFrame, seed: int = 42) -> DataFrame:
-    """(config, rep, subject, noise): half-t draws, scaled so that their mean in an experiment is scale * sd of distances.
+    """(config, rep, subject, noise, own): half-t draws, scaled so that their mean in an experiment is scale * sd of distances.
 
-    ``spread`` is one row with ``sd``.  A scale of 0 gives 0 for all.
+    ``spread`` is one row with ``sd``.  A scale of 0 gives 0 for all.  ``own`` is the experiment's key for draws.
     """
-    rows = experiments.withColumn("subject", F.explode(F.expr("sequence(0, num_subjects - 1)")))
-    raw = rows.withColumn("raw", abs_student_t(draw_key(seed, "subject", "config", "rep", "subject"), F.col("subjects_noise_df")))
+    rows = experiments.withColumn("subject", F.explode(F.expr("sequence(0, num_subjects - 1)"))).withColumn("own", own_key())
+    raw = rows.withColumn("raw", abs_student_t(draw_key(seed, "subject", "own", "subject"), F.col("subjects_noise_df")))
     mean = F.avg("raw").over(Window.partitionBy("config", "rep"))
     target = F.col("subjects_noise_scale") * F.col("sd")
     noise = F.when(target == 0, 0.0).otherwise(target * F.col("raw") / mean)
-    return raw.join(F.broadcast(spread.select("sd").limit(1))).select("config", "rep", "subject", noise.alias("noise"))
+    return raw.join(F.broadcast(spread.select("sd").limit(1))).select("config", "rep", "subject", noise.alias("noise"), "own")
 
 
 def pair_observations(pairs: DataFrame, noises: DataFrame, embeddings: DataFrame, seed: int = 42) -> DataFrame:
@@ -92,14 +109,14 @@ def pair_observations(pairs: DataFrame, noises: DataFrame, embeddings: DataFrame
     v = embeddings.select("img", "vec")
     rows = pairs.join(v.withColumnsRenamed({"img": "i", "vec": "x"}), "i").join(v.withColumnsRenamed({"img": "j", "vec": "y"}), "j").join(noises, ["config", "rep", "subject"])
     true = euclidean(F.col("x"), F.col("y")).cast("float").cast("double")
-    error = F.when(F.col("noise") == 0, 0.0).otherwise(F.col("noise") * normal(draw_key(seed, "noise", "config", "rep", "subject", "trial", "i", "j")))
+    error = F.when(F.col("noise") == 0, 0.0).otherwise(F.col("noise") * normal(draw_key(seed, "noise", "own", "subject", "trial", "i", "j")))
     summed = rows.withColumn("noisy", F.greatest(F.lit(0.0), true + error)).groupBy("config", "rep", "i", "j").agg(F.sum("noisy").alias("s"), F.count("*").cast("int").alias("n_obs"))
     return summed.select("config", "rep", "i", "j", F.when(F.col("s") > 0, F.col("s")).alias("dist_sum"), "n_obs")
 
 
 def simulate(experiments: DataFrame, embeddings: DataFrame, seed: int = 42, spread: DataFrame | None = None) -> DataFrame:
     """Pair observations of all experiments."""
-    spread = spread if spread is not None else distances.distance_spread(distances.pairs(embeddings))
+    spread = spread if spread is not None else distances.distance_spread(embeddings)
     chosen = trial_pairs(trial_selection(experiments, embeddings, seed))
     return pair_observations(chosen, subject_noises(experiments, spread, seed), embeddings, seed)
 

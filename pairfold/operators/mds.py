@@ -37,14 +37,42 @@ def gate(masked: DataFrame, experiments: DataFrame, images: DataFrame) -> DataFr
     return rows.withColumn("error", F.when(F.col("n_components") > 1, text))
 
 
-def classical_start(d: np.ndarray, ndim: int) -> np.ndarray:
-    """Coordinates from the leading eigenvectors of the doubly centred squares; missing distances get the mean."""
-    full = np.where(d > 0, d, d[d > 0].mean() if (d > 0).any() else 1.0)
-    np.fill_diagonal(full, 0)
-    sq = -0.5 * full**2
-    b = sq - sq.mean(0) - sq.mean(1)[:, None] + sq.mean()
-    values, vectors = np.linalg.eigh(b)
-    return vectors[:, ::-1][:, :ndim] * np.sqrt(np.maximum(values[::-1][:ndim], 1e-12))
+def isotonic(values: np.ndarray) -> np.ndarray:
+    """The rising sequence closest to ``values`` in squares: falling runs of block means are pooled until none falls."""
+    start, mean = np.arange(len(values)), np.asarray(values, float)
+    total = np.append(0.0, np.cumsum(mean))
+    while len(mean) > 1 and (falls := np.diff(mean) < 0).any():
+        start = start[np.append(True, ~falls)]
+        ends = np.append(start[1:], len(values))
+        mean = (total[ends] - total[start]) / (ends - start)
+    return np.repeat(mean, np.diff(np.append(start, len(values))))
+
+
+def nonmetric_start(d: np.ndarray, ndim: int, max_iters: int, tol: float, seed: int = 42) -> np.ndarray:
+    """Coordinates by non-metric scaling from a random start; distances of 0 are missing and take what the map has."""
+    n = len(d)
+    upper = np.triu_indices(n, 1)
+    order = np.argsort(d[upper], kind="stable")
+    order = order[d[upper][order] > 0]
+    before = np.inf
+    x = np.random.default_rng(seed).standard_normal((n, ndim))
+    for _ in range(max_iters):
+        gaps = np.sqrt(((x[upper[0]] - x[upper[1]]) ** 2).sum(1))
+        wanted = gaps.copy()
+        wanted[order] = isotonic(gaps[order])
+        wanted *= np.sqrt((gaps**2).sum() / max((wanted**2).sum(), 1e-300))
+        stress = np.sqrt(((gaps - wanted) ** 2).sum() / max((gaps**2).sum(), 1e-300))
+        if before - stress < tol:
+            break
+        before = stress
+        b = np.zeros((n, n))
+        b[upper] = -np.divide(wanted, gaps, out=np.zeros_like(gaps), where=gaps > 0)
+        b += b.T
+        np.fill_diagonal(b, -b.sum(1))
+        x = b @ x / n
+    if not np.isfinite(x).all():
+        raise FloatingPointError("the non-metric start has no finite coordinates")
+    return x
 
 
 def smacof(d: np.ndarray, w: np.ndarray, ndim: int, max_iters: int = 1000, tol: float = 1e-6, start: np.ndarray | None = None, seed: int = 0):
@@ -83,6 +111,14 @@ def smacof(d: np.ndarray, w: np.ndarray, ndim: int, max_iters: int = 1000, tol:
     return niter, float(np.sqrt(stress)), x
 
 
+def _start(d: np.ndarray, ndim: int, max_iters: int, tol: float) -> np.ndarray | None:
+    """A non-metric start with a cap and a tolerance of its own, loose ones; None, so a random start, if it fails."""
+    try:
+        return nonmetric_start(d, ndim, min(50, max_iters // 10), min(tol, 1e-3))
+    except Exception:
+        return None
+
+
 def _solver(keys: list[str], max_iters: int, tol: float, precalc_init: bool, seed: int):
     def solve(pdf):
         nodes, at = np.unique(pdf[["i", "j"]].to_numpy().ravel(), return_inverse=True)
@@ -94,7 +130,7 @@ def _solver(keys: list[str], max_iters: int, tol: float, precalc_init: bool, see
             d[at[:, 0], at[:, 1]] = pdf["d"].fillna(0.0)
             w[at[:, 0], at[:, 1]] = pdf["w"]
             d, w = d + d.T, w + w.T
-            start = classical_start(d, ndim) if precalc_init else None
+            start = _start(d, ndim, max_iters, tol) if precalc_init else None
             own = zlib.crc32("|".join(str(out[k].iloc[0]) for k in keys).encode())
             niter, stress, x = smacof(d, w, ndim, max_iters, tol, start, seed ^ own)
             i, j = np.triu_indices(n, 1)
@@ -110,9 +146,11 @@ def _solver(keys: list[str], max_iters: int, tol: float, precalc_init: bool, see
     return solve
 
 
-def run_mds(masked: DataFrame, tasks: DataFrame, gates: DataFrame, max_iters: int = 500, tol: float = 1e-6, precalc_init: bool = False, seed: int = 42) -> DataFrame:
+def run_mds(masked: DataFrame, tasks: DataFrame, gates: DataFrame, max_iters: int = 500, tol: float = 1e-6, precalc_init: bool = True, seed: int = 42) -> DataFrame:
     """One row for each task (config, rep, ndim): niter, stress, confdist (condensed order of images), error, needs_more_iters.
 
+    With ``precalc_init``, tasks begin with a short non-metric scaling, else, or if that fails, with random coordinates.
+
     A task is a group, so tasks are solved in parallel and a lost one alone is solved again.  Tasks that the gate stops
     get its error; any other failure of a task is its error too.
     """
@@ -125,7 +163,12 @@ def run_mds(masked: DataFrame, tasks: DataFrame, gates: DataFrame, max_iters: in
     solved = inputs.groupBy(*keys).applyInPandas(_solver(keys, max_iters, tol, precalc_init, seed), f"config int, rep int, ndim int, {OUTCOME}")
     stopped = own.join(gates.where("error is not null"), EXPERIMENT)
     stopped = stopped.select(*keys, F.lit(None).cast("int").alias("niter"), F.lit(None).cast("double").alias("stress"), F.lit(None).cast("array<float>").alias("confdist"), "error")
-    return solved.unionByName(stopped).withColumn("needs_more_iters", F.col("niter") >= max_iters)
+    return solved.unionByName(stopped).withColumn("needs_more_iters", needs_more_iters(F.col("niter"), max_iters))
+
+
+def needs_more_iters(niter: Column, max_iters: int) -> Column:
+    """Whether a task used all its iterations; null for one that failed."""
+    return niter >= max_iters
 
 
 def status(error: Column, niter: Column, max_iters: int) -> Column:
@@ -151,6 +194,13 @@ def successes(outcomes: DataFrame, max_iters: int) -> DataFrame:
     return outcomes.where(status(F.col("error"), F.col("niter"), max_iters) == "success")
 
 
+def sorted_successes(outcomes: DataFrame, grid: DataFrame, max_iters: int) -> DataFrame:
+    """(params, rep, ndim, niter, stress, confdist) of the tasks that succeeded, in the order of those seven keys."""
+    order = ["trials_per_subject", "images_per_trial", "subjects_noise_scale", "subjects_noise_df", "num_subjects", "rep", "ndim"]
+    rows = successes(outcomes, max_iters).join(F.broadcast(grid.select("config", *PARAMS)), "config")
+    return rows.select(*order, "niter", "stress", "confdist").orderBy(*order)
+
+
 def scree(outcomes: DataFrame, grid: DataFrame, max_iters: int) -> DataFrame:
     """(params, ndim, N, mean, sem) of stress over the repetitions that succeeded."""
     rows = successes(outcomes, max_iters).join(F.broadcast(grid.select("config", *PARAMS)), "config")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The figures' names of measures.
 MEASURES = {"% IMG COVERAGE": "percent_img_coverage", "% PAIR COVERAGE": "percent_pair_coverage", "P[CONNECTED]": "p_is_connected"}
 
 
@@ -35,6 +36,11 @@ def embedding_long(stable: DataFrame) -> DataFrame:
     return stable.select("trials_per_subject", "images_per_trial", _label(n).alias("series"), "ndim", F.col("r_mean").alias("mean"), F.coalesce("r_sem", F.lit(0.0)).alias("sem"))
 
 
+def on_facets(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """Rows with num_subjects and the noise settings, on every facet of the grid: facets without rows stay, with nulls."""
+    return facets(grid).join(rows, ["num_subjects", "subjects_noise_scale", "subjects_noise_df"], "left")
+
+
 def facets(grid: DataFrame) -> DataFrame:
     """Every combination of the distinct noise settings and subject counts, so that empty facets are kept."""
     noise = grid.select("subjects_noise_scale", "subjects_noise_df").distinct()

@@ -11,7 +11,7 @@ from pairfold.operators import catalogue as cat
 from pairfold.operators import distances, mds, metrics
 from pairfold.operators import experiments as ex
 from pairfold.plans import plots, study
-from pairfold.plans.study import MAIN, MAX_ITERS
+from pairfold.plans.study import CONNECTED, CONNECTED_ITERS, MAIN, MAX_ITERS, Study
 from pairfold.sources import images, store
 
 QUERIES: dict = {}
@@ -61,16 +61,18 @@ _GRID = f"""
     grid(config, num_subjects, trials_per_subject, images_per_trial, subjects_noise_scale, subjects_noise_df) AS (VALUES {_ROWS}),
     experiments AS (SELECT g.*, r.rep::INT AS rep FROM grid g, (SELECT unnest(range(0, {MAIN.reps})) AS rep) r)
 """
+_OWN = "concat_ws('|', num_subjects, trials_per_subject, images_per_trial, subjects_noise_scale, subjects_noise_df, rep)"
 _SELECTION = f"""{_GRID},
-    subjects AS (SELECT *, unnest(range(0, num_subjects))::INT AS subject FROM experiments),
+    subjects AS (SELECT *, {_OWN} AS own, unnest(range(0, num_subjects))::INT AS subject FROM experiments),
     trials AS (SELECT *, unnest(range(0, trials_per_subject))::INT AS trial FROM subjects),
-    selection AS (
-        SELECT config, rep, subject, trial, img FROM (
-            SELECT t.*, vec_id AS img, row_number() OVER (PARTITION BY config, rep, subject, trial
-                ORDER BY md5({_key('trial', 'config', 'rep', 'subject', 'trial', 'vec_id')}), vec_id) AS place
-            FROM trials t, embeddings
-        ) WHERE place <= images_per_trial
+    numbered AS (SELECT vec_id AS img, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings),
+    drawn AS (
+        SELECT config, rep, subject, trial, unnest(list_reduce([[-1]] || list_transform(range(n - images_per_trial, n), lambda j: [j]), lambda chosen, j: chosen || [
+            CASE WHEN list_contains(chosen, floor({_u(_key('trial', 'own', 'subject', 'trial', 'j[1]'))} * (j[1] + 1))::BIGINT) THEN j[1]
+                ELSE floor({_u(_key('trial', 'own', 'subject', 'trial', 'j[1]'))} * (j[1] + 1))::BIGINT END])) AS place
+        FROM trials, (SELECT count(*) AS n FROM embeddings)
     ),
+    selection AS (SELECT config, rep, subject, trial, img FROM drawn JOIN numbered USING (place)),
     trial_pairs AS (
         SELECT config, rep, subject, trial, x.img AS i, y.img AS j
         FROM selection x JOIN selection y USING (config, rep, subject, trial) WHERE x.img < y.img
@@ -85,18 +87,18 @@ _DISTANCES = """
 """
 _NOISES = f"""{_SELECTION}, {_DISTANCES},
     raw AS (
-        SELECT config, rep, subject, subjects_noise_scale * (SELECT sd FROM spread) AS target,
-            abs({_z(_key('subject', 'config', 'rep', 'subject') + " || '|0'")}) / sqrt(list_sum(list_transform(range(1, subjects_noise_df + 1),
-                lambda k: pow({_z(_key('subject', 'config', 'rep', 'subject') + " || '|' || k")}, 2))) / subjects_noise_df) AS raw
+        SELECT config, rep, subject, own, subjects_noise_scale * (SELECT sd FROM spread) AS target,
+            abs({_z(_key('subject', 'own', 'subject') + " || '|0'")}) / sqrt(list_sum(list_transform(range(1, subjects_noise_df + 1),
+                lambda k: pow({_z(_key('subject', 'own', 'subject') + " || '|' || k")}, 2))) / subjects_noise_df) AS raw
         FROM subjects
     ),
-    noises AS (SELECT config, rep, subject, CASE WHEN target = 0 THEN 0 ELSE target * raw / avg(raw) OVER (PARTITION BY config, rep) END AS noise FROM raw)
+    noises AS (SELECT config, rep, subject, own, CASE WHEN target = 0 THEN 0 ELSE target * raw / avg(raw) OVER (PARTITION BY config, rep) END AS noise FROM raw)
 """
 _OBSERVED = f"""{_NOISES},
     observed AS (
         SELECT config, rep, i, j, CASE WHEN s > 0 THEN s END AS dist_sum, n_obs FROM (
             SELECT config, rep, i, j, count(*)::INT AS n_obs, sum(greatest(0, d::DOUBLE + CASE WHEN noise = 0 THEN 0 ELSE
-                noise * {_z(_key('noise', 'config', 'rep', 'subject', 'trial', 'i', 'j'))} END)) AS s
+                noise * {_z(_key('noise', 'own', 'subject', 'trial', 'i', 'j'))} END)) AS s
             FROM trial_pairs JOIN distances USING (i, j) JOIN noises USING (config, rep, subject) GROUP BY ALL
         )
     ),
@@ -219,7 +221,7 @@ def tree_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_IMAGES} SELECT array_to_string(node, '/') AS node, depth, n FROM nodes")
 def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return cat.tree_nodes(cat.as_counts(study.stand_in_catalogue(spark, d))).select(_path("node").alias("node"), "depth", "n")
+    return cat.as_tree(study.stand_in_catalogue(spark, d)).select(_path("node").alias("node"), "depth", "n")
 
 
 def _fold(depth: int) -> str:
@@ -238,6 +240,25 @@ def newick(spark: SparkSession, d: str) -> DataFrame:
     return cat.newick(cat.as_counts(study.stand_in_catalogue(spark, d)))
 
 
+@query(f"""WITH {_IMAGES}, named_nodes AS (SELECT node, coalesce(node[-1], 'ROOT') || '-' || n AS name FROM nodes)
+    SELECT c.name, p.name AS parent FROM named_nodes c LEFT JOIN named_nodes p ON len(c.node) > 0 AND p.node = c.node[:-2]""")
+def parsed_newick(spark: SparkSession, d: str) -> DataFrame:
+    """The tree's Newick text, read again as nodes and their parents."""
+    rows = cat.parse_newick(newick(spark, d))
+    parents = rows.select(F.col("tree"), F.col("node").alias("parent"), F.col("name").alias("of"))
+    return rows.join(parents, ["tree", "parent"], "left").select("name", F.col("of").alias("parent"))
+
+
+@query(f"""WITH {_IMAGES}, gaps AS (SELECT CASE WHEN instance % 2 = 0 THEN [cats[1], NULL, cats[2]] ELSE [cats[1], cats[2]] END AS raw, min(path) AS o, count(*) AS n FROM dataset WHERE len(cats) > 1 GROUP BY 1),
+    merged AS (SELECT list_filter(raw, lambda x: x IS NOT NULL) AS cats, n, o FROM gaps QUALIFY row_number() OVER (PARTITION BY list_filter(raw, lambda x: x IS NOT NULL) ORDER BY o) = 1)
+    SELECT array_to_string(cats, '/') AS category, n FROM merged""")
+def colliding_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that are equal once their gaps are closed: the one with the first file is counted."""
+    rows = study.stand_in_catalogue(spark, d).where(F.size("cats") > 1)
+    gap = F.when(F.col("instance") % 2 == 0, F.array(F.col("cats")[0], F.lit(None).cast("string"), F.col("cats")[1])).otherwise(F.slice("cats", 1, 2))
+    return cat.as_counts(rows.withColumn("cats", gap), order="path").select(_path("cats").alias("category"), "n")
+
+
 _PANEL_ROWS = ", ".join(f"('{p}', {0 if p == 'All Categories' else p.count('/') + 1}, '{p.lower()}')" for p in cat.PANELS)
 
 
@@ -267,7 +288,25 @@ def gt_distances(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_DISTANCES} SELECT pairs, round(sd, 6) AS sd FROM spread")
 def gt_distance_std(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(distances.distance_spread(distances.pairs(_vectors(spark, d))))
+    return _rounded(distances.distance_spread(_vectors(spark, d)))
+
+
+@query(f"""SELECT img, k, round({_z("concat_ws('|', '42', 'embedding', img, k)")}::FLOAT::DOUBLE, 5) AS x
+    FROM (SELECT unnest(range(0, (SELECT count(*) FROM embeddings))) AS img), (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS k)""")
+def seeded_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Drawn vectors, as many and as long as the table's."""
+    size = distances.size_of(_vectors(spark, d)).first()
+    long = distances.make_embeddings(spark, size["num_images"], size["dimensions"], 42).select("img", F.posexplode("vec").alias("k", "x"))
+    return long.select("img", (F.col("k") + 1).cast("long").alias("k"), F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+@query(f"WITH {_DISTANCES} SELECT i, j FROM distances WHERE (i + j) % 7 = 0 UNION ALL SELECT j, i FROM distances WHERE (i + j) % 7 = 0 AND (i + j) % 2 = 1")
+def asymmetric_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with a square form of which some mirrored entries have another value and some are missing."""
+    odd = (F.col("i") > F.col("j")) & ((F.col("i") + F.col("j")) % 7 == 0)
+    square = distances.square(distances.pairs(_vectors(spark, d)))
+    square = square.where(~odd | ((F.col("i") + F.col("j")) % 2 == 1)).withColumn("d", F.when(odd, F.col("d") + 1).otherwise(F.col("d")))
+    return distances.asymmetric(square)
 
 
 @query("SELECT count(*) AS num_images, max(len(embedding))::INT AS dimensions FROM embeddings")
@@ -320,8 +359,8 @@ def trial_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_NOISES} SELECT config, rep, subject, round(noise, 6) AS noise FROM noises")
 def subject_noises(spark: SparkSession, d: str) -> DataFrame:
-    spread = distances.distance_spread(distances.pairs(_vectors(spark, d)))
-    return _rounded(ex.subject_noises(MAIN.experiments(spark), spread, MAIN.seed))
+    spread = distances.distance_spread(_vectors(spark, d))
+    return _rounded(ex.subject_noises(MAIN.experiments(spark), spread, MAIN.seed).drop("own"))
 
 
 @query(f"WITH {_OBSERVED} SELECT config, rep, i, j, round(dist_sum, 5) AS dist_sum, n_obs FROM observed")
@@ -336,6 +375,35 @@ def missing_reps(spark: SparkSession, d: str) -> DataFrame:
     return ex.missing_reps(MAIN.grid(spark), MAIN.reps, have)
 
 
+_STORED = "config, rep, i, j, round(dist_sum, 5) AS dist_sum, n_obs, num_subjects, trials_per_subject, images_per_trial, subjects_noise_scale, subjects_noise_df"
+
+
+@query(f"WITH {_OBSERVED} SELECT {_STORED} FROM observed JOIN grid USING (config)")
+def snapshot_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The study written as a snapshot of its day and loaded as the latest one of its folder."""
+    at = study.scratch(spark, "snapshot")
+    grid = MAIN.grid(spark)
+    rows = store.load_or_create(spark, at, lambda: store.with_params(_observations(spark, d), grid))
+    return _rounded(store.load_latest(spark, at).drop("run_at").unionByName(rows.drop("run_at")).distinct().join(F.broadcast(grid), ex.PARAMS), 5).select("config", "rep", "i", "j", "dist_sum", "n_obs", *ex.PARAMS)
+
+
+@query(f"WITH {_OBSERVED} SELECT {_STORED} FROM observed JOIN grid USING (config)")
+def top_up(spark: SparkSession, d: str) -> DataFrame:
+    """A store with one repetition of half the configurations, run from a grid of their own, is topped up to the study."""
+    at, vectors = f"{study.scratch(spark, 'store')}/store", _vectors(spark, d)
+    half = Study(**{**MAIN.__dict__, "num_subjects": MAIN.num_subjects[1:]})
+    store.get_or_run(spark, at, half.grid(spark), vectors, 1, MAIN.seed)
+    return _rounded(store.get_or_run(spark, at, MAIN.grid(spark), vectors, MAIN.reps, MAIN.seed), 5)
+
+
+@query(f"WITH {_OBSERVED} SELECT {_STORED} FROM observed JOIN grid USING (config) WHERE rep = 1")
+def one_more_repetition(spark: SparkSession, d: str) -> DataFrame:
+    """The repetition that is appended to a store with one."""
+    at, vectors = f"{study.scratch(spark, 'store')}/store", _vectors(spark, d)
+    store.run_experiment(spark, at, MAIN.grid(spark), vectors, MAIN.seed)
+    return _rounded(store.run_experiment(spark, at, MAIN.grid(spark), vectors, MAIN.seed), 5)
+
+
 # --- metrics ----------------------------------------------------------------------------------------------------------
 
 
@@ -446,9 +514,9 @@ def log_compaction(spark: SparkSession, d: str) -> DataFrame:
     return _last(spark, d)
 
 
-@query(f"WITH {_LOG} SELECT user_id, event_type, status, coalesce(niter >= {MAX_ITERS}, false) AS needs_more_iters FROM judged")
+@query(f"WITH {_LOG} SELECT user_id, event_type, status, niter >= {MAX_ITERS} AS needs_more_iters FROM judged")
 def failure_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _last(spark, d).select("user_id", "event_type", mds.status(F.col("error"), F.col("niter"), MAX_ITERS).alias("status"), F.coalesce(F.col("niter") >= MAX_ITERS, F.lit(False)).alias("needs_more_iters"))
+    return _last(spark, d).select("user_id", "event_type", mds.status(F.col("error"), F.col("niter"), MAX_ITERS).alias("status"), mds.needs_more_iters(F.col("niter"), MAX_ITERS).alias("needs_more_iters"))
 
 
 @query(f"WITH {_LOG} SELECT status, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM judged), 6) AS percent FROM judged GROUP BY 1")
@@ -479,11 +547,6 @@ def mds_gate(spark: SparkSession, d: str) -> DataFrame:
     return mds.gate(mds.mask(_observations(spark, d)), MAIN.experiments(spark), _vectors(spark, d))
 
 
-def _outcomes(spark, d):
-    """Of the labels' mean vectors: graphs over all images are not connected in this study, so no task of theirs succeeds."""
-    return study.scaling_outcomes(spark, study.label_centroids(spark, d))
-
-
 @query()
 def mds_fit(spark: SparkSession, d: str) -> DataFrame:
     out = study.scaling_outcomes(spark, _vectors(spark, d))
@@ -491,18 +554,96 @@ def mds_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
+def mds_connected(spark: SparkSession, d: str) -> DataFrame:
+    """Scaling of all images from a study whose trials are so many and so large that its graph is connected."""
+    out = study.scaling_outcomes(spark, _vectors(spark, d), CONNECTED, max_dims=3, max_iters=CONNECTED_ITERS)
+    return out.select("config", "rep", "ndim", "niter", F.round("stress", 4).alias("stress"), F.size("confdist").alias("pairs"), "error", "needs_more_iters")
+
+
+@query(f"""WITH RECURSIVE {_MASKED}, weighted AS (SELECT * FROM masked WHERE w > 0), {_parts('weighted')}
+    SELECT config, rep, ndim::INT AS ndim, NULL::INT AS niter, 'The distance graph has ' || coalesce(num_connected_components, (SELECT count(*) FROM embeddings)) || ' connected components.' AS error
+    FROM experiments LEFT JOIN parts USING (config, rep), (SELECT unnest(range(2, 5)) AS ndim)""")
+def resumed_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """A sweep over two numbers of dimensions, gone on with for a third; the study's graphs are not connected."""
+    vectors, at = _vectors(spark, d), study.scratch(spark, "sweep")
+    observed = store.read_snapshot(spark, store.write_snapshot(store.with_params(_observations(spark, d), MAIN.grid(spark)), at))
+    observed = observed.join(F.broadcast(MAIN.grid(spark)), ex.PARAMS)
+    for top in (3, 4):
+        out = study.sweep(spark, f"{at}/log", observed, MAIN.experiments(spark), vectors, top)
+    return out.select("config", "rep", "ndim", "niter", "error")
+
+
+_SUCCESS = f"""{_GRID}, {_LOG},
+    tasks AS (
+        SELECT seq, (seq % 8)::INT AS config, ((seq // 8) % 3)::INT AS rep, (2 + (seq // 24) % 9)::INT AS ndim, niter, stress, error FROM log
+        QUALIFY row_number() OVER (PARTITION BY seq % 8, (seq // 8) % 3, (seq // 24) % 9 ORDER BY seq DESC) = 1
+    ),
+    success AS (SELECT * FROM tasks JOIN grid USING (config) WHERE error IS NULL AND niter != {MAX_ITERS}),
+    confdist AS (
+        SELECT config, rep, ndim, k, round({_u(_key('common', 'config', 'ndim', 'k'))} + {_u(_key('own', 'seq', 'k'))}, 6)::FLOAT AS v
+        FROM success, (SELECT unnest(range(1, 13)) AS k)
+    ),
+    scree AS (
+        SELECT num_subjects, trials_per_subject, images_per_trial, subjects_noise_scale, subjects_noise_df, ndim, count(*) AS N, avg(stress) AS mean, stddev_samp(stress) / sqrt(count(*)) AS sem
+        FROM success GROUP BY ALL
+    ),
+    met AS (
+        SELECT x.config, x.ndim, x.rep AS rep1, y.rep AS rep2, x.v AS x, y.v AS y
+        FROM confdist x JOIN confdist y ON x.config = y.config AND x.ndim = y.ndim AND x.k = y.k AND x.rep < y.rep
+    ),
+    placed AS (
+        SELECT *, rank() OVER (PARTITION BY config, ndim, rep1, rep2 ORDER BY x) + (count(*) OVER (PARTITION BY config, ndim, rep1, rep2, x) - 1) / 2::DOUBLE AS rx,
+            rank() OVER (PARTITION BY config, ndim, rep1, rep2 ORDER BY y) + (count(*) OVER (PARTITION BY config, ndim, rep1, rep2, y) - 1) / 2::DOUBLE AS ry
+        FROM met
+    ),
+    corrs AS (
+        SELECT config, ndim, rep1, rep2, count(*) AS n, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS r FROM placed GROUP BY ALL
+    ),
+    of_maps AS (
+        SELECT num_subjects, trials_per_subject, images_per_trial, subjects_noise_scale, subjects_noise_df, ndim, count(r) AS N, avg(r) AS r_mean, stddev_samp(r) / sqrt(count(r)) AS r_sem
+        FROM (SELECT DISTINCT config, ndim FROM success) JOIN grid USING (config) LEFT JOIN corrs USING (config, ndim) GROUP BY ALL
+    )
+"""
+
+
+def _outcomes(spark, d):
+    """Outcomes made from all events: what comes after the solver is compared with SQL on them."""
+    return study.stand_in_outcomes(spark, d)
+
+
+@query(f"WITH {_SUCCESS} SELECT config, rep, ndim, niter, stress, error FROM tasks")
+def outcome_log(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes appended to a log as two batches, the first with other values, and read again."""
+    at, rows = f"{study.scratch(spark, 'log')}/log", _outcomes(spark, d)
+    store.append_outcomes(rows.withColumn("error", F.lit("to be run again")), at)
+    store.append_outcomes(rows, at)
+    return store.load_outcomes(spark, at).select("config", "rep", "ndim", "niter", "stress", "error")
+
+
+@query(f"WITH {_SUCCESS} SELECT trials_per_subject, images_per_trial, subjects_noise_scale, subjects_noise_df, num_subjects, rep, ndim, niter, stress, 12 AS pairs FROM success")
+def sorted_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return mds.sorted_successes(_outcomes(spark, d), MAIN.grid(spark), MAX_ITERS).withColumn("confdist", F.size("confdist")).withColumnRenamed("confdist", "pairs")
+
+
+@query(f"WITH {_SUCCESS} SELECT * REPLACE (round(mean, 6) AS mean, round(sem, 6) AS sem) FROM scree")
 def scree(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(mds.scree(_outcomes(spark, d), MAIN.grid(spark), MAX_ITERS), 3)
+    return _rounded(mds.scree(_outcomes(spark, d), MAIN.grid(spark), MAX_ITERS))
 
 
-@query()
+@query(f"WITH {_SUCCESS} SELECT config, ndim, rep1, rep2, n, round(r, 6) AS r FROM corrs")
+def embedding_correlations(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(mds.embedding_correlations(_outcomes(spark, d), MAX_ITERS))
+
+
+@query(f"WITH {_SUCCESS} SELECT * REPLACE (round(r_mean, 6) AS r_mean, round(r_sem, 6) AS r_sem) FROM of_maps")
 def embedding_stability(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(mds.embedding_stability(_outcomes(spark, d), MAIN.grid(spark), MAX_ITERS), 3)
+    return _rounded(mds.embedding_stability(_outcomes(spark, d), MAIN.grid(spark), MAX_ITERS))
 
 
-@query()
+@query(f"""WITH {_SUCCESS} SELECT count(r) AS count, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS min, round(quantile_cont(r, 0.25), 6) AS q25,
+    round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75, round(max(r), 6) AS max FROM corrs""")
 def describe_embedding_corrs(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.describe(mds.embedding_correlations(_outcomes(spark, d), MAX_ITERS), "r"), 3)
+    return _rounded(metrics.describe(mds.embedding_correlations(_outcomes(spark, d), MAX_ITERS), "r"))
 
 
 # --- figures ----------------------------------------------------------------------------------------------------------
@@ -521,16 +662,29 @@ def stability_long(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(plots.stability_long(metrics.stability(_correlations(spark, d), MAIN.grid(spark))))
 
 
-@query()
+_MAP_SERIES = "'Scale=' || subjects_noise_scale || '<br>DFs=' || subjects_noise_df || '<br>N=' || num_subjects AS series"
+
+
+@query(f"WITH {_SUCCESS} SELECT trials_per_subject, images_per_trial, {_MAP_SERIES}, ndim, round(mean, 6) AS mean, round(coalesce(sem, 0), 6) AS sem FROM scree")
 def scree_long(spark: SparkSession, d: str) -> DataFrame:
     return plots.scree_long(scree(spark, d))
 
 
-@query()
+@query(f"WITH {_SUCCESS} SELECT trials_per_subject, images_per_trial, {_MAP_SERIES}, ndim, round(r_mean, 6) AS mean, round(coalesce(r_sem, 0), 6) AS sem FROM of_maps")
 def embedding_long(spark: SparkSession, d: str) -> DataFrame:
     return plots.embedding_long(embedding_stability(spark, d))
 
 
+@query(f"""WITH {_STABLE} SELECT f.num_subjects, f.subjects_noise_scale, f.subjects_noise_df, round(r_mean, 6) AS r_mean
+    FROM (SELECT DISTINCT a.num_subjects, b.subjects_noise_scale, b.subjects_noise_df FROM grid a, grid b) f
+    LEFT JOIN stable s ON n_subjects = f.num_subjects AND s.subjects_noise_scale = f.subjects_noise_scale AND s.subjects_noise_df = f.subjects_noise_df AND f.subjects_noise_df = 5""")
+def facet_means(spark: SparkSession, d: str) -> DataFrame:
+    """Stability where subjects differ little, on the facets of all settings: those of the other setting are empty."""
+    rows = store.rows_where(metrics.stability(_correlations(spark, d), MAIN.grid(spark)), subjects_noise_df=5)
+    rows = rows.select(F.col("n_subjects").alias("num_subjects"), "subjects_noise_scale", "subjects_noise_df", "r_mean")
+    return _rounded(plots.on_facets(rows, MAIN.grid(spark)))
+
+
 @query(f"""WITH {_GRID} SELECT num_subjects, subjects_noise_scale, subjects_noise_df FROM (SELECT DISTINCT num_subjects FROM grid),
     (SELECT DISTINCT subjects_noise_scale, subjects_noise_df FROM grid)""")
 def facet_grid(spark: SparkSession, d: str) -> DataFrame:

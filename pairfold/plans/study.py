@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairfold.functions.draws import draw_key, uniform
 from pairfold.operators import distances, mds, metrics
 from pairfold.operators import experiments as ex
 from pairfold.sources import images, store
@@ -20,14 +23,6 @@ def image_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.col("embedding").alias("vec"))
 
 
-def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, vec): the mean vector of each label."""
-    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
-    means = long.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("v"))
-    return ordered.select(F.col("label").cast("long").alias("img"), F.transform("v", lambda x: x["m"].cast("float")).alias("vec"))
-
-
 @dataclass(frozen=True)
 class Study:
     """A grid with its repetitions, over some images."""
@@ -52,6 +47,9 @@ class Study:
 
 MAIN = Study()
 MAX_ITERS = 500
+#: Trials so many and so large that up to some thousand images are connected.
+CONNECTED = Study(num_subjects=(12,), trials_per_subject=(30,), images_per_trial=(80,), subjects_noise_scale=(0.5,), subjects_noise_df=(5,), reps=1)
+CONNECTED_ITERS = 25
 
 
 def create_simulation(spark: SparkSession, folder: str, n_images: int, n_dims: int, study: Study) -> str:
@@ -69,7 +67,38 @@ def scaling_outcomes(spark: SparkSession, vectors: DataFrame, study: Study = MAI
     experiments = study.experiments(spark)
     masked = mds.mask(study.observations(spark, vectors))
     gates = mds.gate(masked, experiments, vectors)
-    return mds.run_mds(masked, ex.mds_tasks(experiments, max_dims), gates, max_iters, seed=study.seed)
+    return mds.run_mds(masked, ex.mds_tasks(experiments, max_dims), gates, max_iters, precalc_init=False, seed=study.seed)
+
+
+def sweep(spark: SparkSession, log: str, observations: DataFrame, experiments: DataFrame, images: DataFrame, max_dims: int, max_iters: int = MAX_ITERS, seed: int = 42, precalc_init: bool = False) -> DataFrame:
+    """Run the scaling tasks that ``log`` lacks, one number of dimensions after the other, and give the log's outcomes.
+
+    Each batch is appended when it is done, so a sweep that was broken off goes on from there.  ``observations`` are read once
+    for each batch and should be those of a store.
+    """
+    masked = mds.mask(observations)
+    gates = mds.gate(masked, experiments, images)
+    keys = ["config", "rep", "ndim"]
+    for ndim in range(2, max_dims + 1):
+        tasks = experiments.select("config", "rep", F.lit(ndim).alias("ndim")).join(store.load_outcomes(spark, log).select(*keys), keys, "left_anti")
+        if not tasks.isEmpty():
+            store.append_outcomes(mds.run_mds(masked, tasks, gates, max_iters, precalc_init=precalc_init, seed=seed), log)
+    return store.load_outcomes(spark, log)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query that writes and reads again, in the shared folder of the session; its own one only in local mode."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"file://{tempfile.gettempdir()}/scratch"
+    own = f"{at.rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return own
 
 
 def stand_in_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,5 +130,22 @@ def stand_in_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", "event_type", niter.alias("niter"), F.when(error.isNull(), F.col("value")).alias("stress"), error.alias("error"))
 
 
+def stand_in_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as outcomes of scaling tasks (config, rep, ndim, niter, stress, confdist, error): the last event of each task.
+
+    confdist has a drawn number for each of twelve pairs, part of it common to the repetitions.
+    """
+    at = F.col("seq")
+    common, own = uniform(draw_key(MAIN.seed, "common", "config", "ndim", "k")), uniform(draw_key(MAIN.seed, "own", "seq", "k"))
+    rows = stand_in_log(spark, sf_dir).select(
+        "seq", F.pmod(at, F.lit(8)).cast("int").alias("config"), F.pmod(F.floor(at / 8), F.lit(3)).cast("int").alias("rep"),
+        (2 + F.pmod(F.floor(at / 24), F.lit(9))).cast("int").alias("ndim"), "niter", "stress", "error",
+    )
+    last = store.compact(rows, ["config", "rep", "ndim"])
+    long = last.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("v", F.round(common + own, 6).cast("float"))
+    found = long.where("error is null").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("confdist"))
+    return last.join(found, "seq", "left").select("config", "rep", "ndim", "niter", "stress", "confdist", "error")
+
+
 def stand_in_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.coverage(MAIN.observations(spark, image_vectors(spark, sf_dir)), image_vectors(spark, sf_dir))

@@ -23,11 +23,21 @@ def png_header(content: Column) -> dict[str, Column]:
     return {"width": F.when(ok, number(17, 4)), "height": F.when(ok, number(21, 4)), "n_channels": F.when(ok, channels)}
 
 
+def _hidden(spark: SparkSession, fs, base) -> list[str]:
+    """Folders under ``base`` that begin with "_", by one listing for each depth of folders."""
+    path, found, depth = spark._jvm.org.apache.hadoop.fs.Path, [], ""
+    while len(fs.globStatus(path(base, f"{depth}*"))):
+        found += [s.getPath().toString() for s in fs.globStatus(path(base, f"{depth}_*")) if s.isDirectory()]
+        depth += "*/"
+    return found
+
+
 def scan(spark: SparkSession, folder: str, extensions: str | list[str] = "png") -> DataFrame:
     """(path, height, width, n_channels) of all image files under a folder, of any of the extensions.
 
     PNG files are read by their header alone; other formats go through Spark's image source.  Undecodable files have null
-    sizes.  Folders that begin with "_" or "." are passed over, as Spark's readers do.
+    sizes.  Folders that begin with "_" are read as well, which Spark's readers pass over unless they are named; files that do
+    are passed over, as those readers leave no way to name them.
     """
     names = [extensions] if isinstance(extensions, str) else list(extensions)
     if not names:
@@ -36,17 +46,18 @@ def scan(spark: SparkSession, folder: str, extensions: str | list[str] = "png")
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     if not (fs.exists(base) and fs.getFileStatus(base).isDirectory()):
         raise ValueError(f"{folder} is not a directory")
+    at = [folder, *_hidden(spark, fs, base)]
     root = fs.makeQualified(base).toString().rstrip("/") + "/"
     root = root.replace("file:///", "file:/") if root.startswith("file:///") else root
     parts = []
     if "png" in names:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(folder)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(at)
         parts.append(files.select("path", *[c.alias(k) for k, c in png_header(F.col("content")).items()]))
     others = [x for x in names if x != "png"]
     if others:
         glob = f"*.{{{','.join(others)}}}"
-        names_of = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path")
-        image = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("image.*")
+        names_of = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(at).select("path")
+        image = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(at).select("image.*")
         seen = image.where("height >= 0").select(F.url_decode(F.regexp_replace("origin", r"\+", "%2B")).alias("origin"), "width", "height", F.col("nChannels").alias("n_channels"))
         key = lambda c: F.regexp_replace(c, "^file:/+", "/")
         parts.append(names_of.join(seen, key(names_of["path"]) == key(seen["origin"]), "left").select("path", "width", "height", "n_channels"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairfold.operators import experiments as ex
 
 PREFIX, SUFFIX = "simulation_", ".parquet"
-LOG = "seq long, config int, rep int, ndim int, niter int, stress double, confdist array<float>, error string"
+LOG = "seq long, config int, rep int, ndim int, niter int, stress double, confdist array<float>, error string, logged_at timestamp"
 
 
 def _path(spark: SparkSession, path: str):
@@ -38,10 +38,19 @@ def latest(names: DataFrame, column: str = "name", prefix: str = PREFIX, suffix:
     return found.agg(F.max_by(F.col(column), F.struct(date_key(F.col(column)), F.col(column))).alias("name"))
 
 
+def with_params(observations: DataFrame, grid: DataFrame) -> DataFrame:
+    """Observations with their parameters in place of a grid's numbers."""
+    return observations.join(F.broadcast(grid), "config").drop("config")
+
+
 def write_snapshot(observations: DataFrame, folder: str, started: datetime | None = None) -> str:
-    """Write pair observations with their parameters, partitioned by them, so reading one configuration prunes the rest."""
-    path = f"{folder.rstrip('/')}/{snapshot_name(started or datetime.now())}"
-    observations.write.mode("overwrite").partitionBy(*ex.PARAMS).parquet(path)
+    """Write pair observations with their parameters, partitioned by them, so reading one configuration prunes the rest.
+
+    ``run_at`` says when.
+    """
+    started = started or datetime.now()
+    path = f"{folder.rstrip('/')}/{snapshot_name(started)}"
+    observations.withColumn("run_at", F.lit(started)).write.mode("overwrite").partitionBy(*ex.PARAMS).parquet(path)
     return path
 
 
@@ -69,35 +78,66 @@ def load_or_create(spark: SparkSession, folder: str, create) -> DataFrame:
         return read_snapshot(spark, write_snapshot(create(), folder))
 
 
+def rows_where(rows: DataFrame, **values) -> DataFrame:
+    """The rows of a store, summary or outcome table whose columns have these values (null is a value)."""
+    for name, value in values.items():
+        rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+    return rows
+
+
 def get_experiment(store: DataFrame, **params) -> DataFrame:
     """The rows of one configuration; none if it was not run."""
-    for name in ex.PARAMS:
-        if name in params:
-            store = store.where(F.col(name) == params[name])
-    return store
+    return rows_where(store, **{k: v for k, v in params.items() if k in ex.PARAMS})
+
+
+def _run(todo: DataFrame, embeddings: DataFrame, store: str, seed: int) -> None:
+    """Simulate experiments (config, params, rep) and append their observations, with the time, to a store."""
+    todo = todo.select("config", *ex.PARAMS, "rep")
+    new = ex.simulate(todo, embeddings, seed).join(F.broadcast(todo), ["config", "rep"]).drop("config")
+    new.withColumn("run_at", F.current_timestamp()).write.mode("append").partitionBy(*ex.PARAMS).parquet(store)
+
+
+def _of_grid(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(grid), ex.PARAMS).select("config", "rep", "i", "j", "dist_sum", "n_obs", *ex.PARAMS)
+
+
+def run_experiment(spark: SparkSession, store: str, grid: DataFrame, embeddings: DataFrame, seed: int = 42) -> DataFrame:
+    """One more repetition of each configuration of ``grid``, appended to the store; gives its observations.
+
+    A repetition's number is one more than the largest that the store has of its configuration, from 0 on.
+    """
+    if exists(spark, store):
+        last = read_snapshot(spark, store).groupBy(*ex.PARAMS).agg(F.max("rep").alias("last"))
+        todo = grid.join(last, ex.PARAMS, "left").withColumn("rep", F.coalesce(F.col("last") + 1, F.lit(0))).drop("last")
+    else:
+        todo = grid.withColumn("rep", F.lit(0))
+    # the numbers as they are now: the store is read again below, when it has the new rows
+    todo = spark.createDataFrame(todo.select("config", *ex.PARAMS, "rep").collect(), f"{ex.GRID}, rep int")
+    _run(todo, embeddings, store, seed)
+    return _of_grid(read_snapshot(spark, store).join(F.broadcast(todo.select(*ex.PARAMS, "rep")), [*ex.PARAMS, "rep"], "left_semi"), grid)
 
 
 def get_or_run(spark: SparkSession, store: str, grid: DataFrame, embeddings: DataFrame, reps: int, seed: int = 42) -> DataFrame:
-    """Observations of ``reps`` repetitions of each configuration; those that the store lacks are run and appended."""
+    """Observations of ``reps`` repetitions of each configuration; those that the store lacks are run and appended.
+
+    A configuration's draws depend on its parameters alone, so a repetition is the same whichever grid asked for it.
+    """
     if exists(spark, store):
         have = read_snapshot(spark, store)
         todo = ex.missing_reps(grid, reps, have)
     else:
         todo = ex.repetitions(grid, reps)
     if not todo.isEmpty():
-        todo = todo.select("config", *ex.PARAMS, "rep")
-        new = ex.simulate(todo, embeddings, seed).join(F.broadcast(todo.select("config", "rep", *ex.PARAMS)), ["config", "rep"]).drop("config")
-        new.write.mode("append").partitionBy(*ex.PARAMS).parquet(store)
-    rows = read_snapshot(spark, store).where(F.col("rep") < reps)
-    return rows.join(F.broadcast(grid), ex.PARAMS).select("config", "rep", "i", "j", "dist_sum", "n_obs", *ex.PARAMS)
+        _run(todo, embeddings, store, seed)
+    return _of_grid(read_snapshot(spark, store).where(F.col("rep") < reps), grid)
 
 
 def append_outcomes(outcomes: DataFrame, path: str) -> None:
-    """Append a batch of outcomes; later batches have larger ``seq``."""
+    """Append a batch of outcomes, with the time; later batches have larger ``seq``."""
     spark = outcomes.sparkSession
     last = spark.read.schema(LOG).parquet(path).agg(F.max("seq")).first()[0] if exists(spark, path) else None
     start = 0 if last is None else last + 1
-    rows = outcomes.select((F.monotonically_increasing_id() + start).alias("seq"), *[F.col(c.split()[0]) for c in LOG.split(", ")[1:]])
+    rows = outcomes.select((F.monotonically_increasing_id() + start).alias("seq"), *[F.col(c.split()[0]) for c in LOG.split(", ")[1:-1]], F.current_timestamp().alias("logged_at"))
     rows.write.mode("append").parquet(path)
 
 

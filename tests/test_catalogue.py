@@ -43,9 +43,11 @@ def test_folder(spark, tmp_path):
     _png(tmp_path / "animate/animal/dog 01.png", 30, 20, 2)
     _png(tmp_path / "animate/animal/cat02.png", 8, 9, 6)
     _png(tmp_path / "grey3.png", 8, 9, 0)
+    _png(tmp_path / "_new/deep/_more/owl05.png", 8, 9, 2)
     _png(tmp_path / "bad4.png", 8, 9, 2, data_ok=False)
     rows = {r["path"]: r for r in images.as_frame(spark, str(tmp_path), ["png"]).collect()}
-    assert set(rows) == {"animate/animal/dog 01.png", "animate/animal/cat02.png"}
+    assert set(rows) == {"animate/animal/dog 01.png", "animate/animal/cat02.png", "_new/deep/_more/owl05.png"}
+    assert {tuple(r["node"]): r["n"] for r in cat.as_tree(str(tmp_path), spark).collect()}[()] == 3
     r = rows["animate/animal/dog 01.png"]
     assert (r["cat1"], r["cat3"], r["height"], r["width"], r["n_channels"], r["has_alpha"]) == ("animate", "dog_", 20, 30, 3, False)
     why = {r["path"]: r["reason"] for r in images.rejects(images.scan(spark, str(tmp_path))).collect()}
@@ -70,6 +72,16 @@ def test_tree(spark):
     assert {tuple(r["node"]): r["n"] for r in cat.tree_nodes(counts, False).collect()} == {tuple(c): n for c, n in COUNTS[:3]}
 
 
+def test_newick_with_apostrophes(spark):
+    text = cat.newick(spark.createDataFrame([(["o'a", "b,(c"], 2), (["o'a", ""], 1)], "cats array<string>, n long"))
+    assert text.first()[0] == "('-1','b,(c-2')'o''a-3')'ROOT-3';".replace("(", "((", 1)
+    rows = cat.parse_newick(text).collect()
+    names = {r["node"]: r["name"] for r in rows}
+    assert {(r["name"], names.get(r["parent"])) for r in rows} == {("-1", "o'a-3"), ("b,(c-2", "o'a-3"), ("o'a-3", "ROOT-3"), ("ROOT-3", None)}
+    plain = cat.parse_newick(spark.createDataFrame([("((a,b),c)r;",), ("",), (None,)], "newick string"))
+    assert sorted((r["name"], r["parent"]) for r in plain.collect()) == [("", 4), ("a", 2), ("b", 2), ("c", 4), ("r", None)]
+
+
 def test_newick_of_nothing(spark):
     assert cat.newick(spark.createDataFrame([], "cats array<string>, n long")).first()[0] == "'ROOT-0';"
 

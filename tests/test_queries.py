@@ -26,9 +26,11 @@ def test_fit_has_every_task(spark):
     assert set(fit) == tasks and all(fit[k] == gates[k[:2]] for k in fit if gates[k[:2]])
 
 
-def test_scree_sweeps_all_dimensions(spark):
-    top = queries.QUERIES["embedding_size"](spark, SF).first()["dimensions"]
-    assert {r["ndim"] for r in queries.QUERIES["scree"](spark, SF).collect()} == set(range(2, top + 1))
+def test_connected_study_scales_all_images(spark):
+    n = queries.QUERIES["embedding_size"](spark, SF).first()["num_images"]
+    rows = queries.QUERIES["mds_connected"](spark, SF).collect()
+    assert [r["ndim"] for r in sorted(rows, key=lambda r: r["ndim"])] == [2, 3]
+    assert all(r["error"] is None and r["pairs"] == n * (n - 1) // 2 and 0 < r["stress"] < 1 for r in rows)
 
 
 def test_entry_and_names(spark):

@@ -38,6 +38,23 @@ def test_top_up(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == first
 
 
+def test_one_more(spark, tmp_path):
+    vectors, at = distances.make_embeddings(spark, 10, 3), str(tmp_path / "store")
+    grid = TINY.grid(spark)
+    for rep in range(3):
+        assert {r["rep"] for r in store.run_experiment(spark, at, grid, vectors).collect()} == {rep}
+    rows = store.read_snapshot(spark, at)
+    assert rows.where("run_at is null").count() == 0
+    assert store.get_or_run(spark, at, grid, vectors, reps=3).count() == rows.count()
+    with pytest.raises(ValueError):
+        store.run_experiment(spark, at, grid, distances.make_embeddings(spark, 4, 3))
+
+
+def test_rows_where(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
+    assert [r["x"] for r in store.rows_where(df, y=None).collect()] == [2] and store.rows_where(df, x=1, y="b").count() == 0
+
+
 def test_log(spark, tmp_path):
     at = str(tmp_path / "log")
     assert store.load_outcomes(spark, at).count() == 0

@@ -23,9 +23,44 @@ def observed(spark, vectors):
 
 def test_pairs_are_all_pairs(spark, vectors):
     v = {r["img"]: np.array(r["vec"], np.float64) for r in vectors.collect()}
-    rows = distances.pairs(vectors, blocks=3).collect()
+    rows = distances.pairs(vectors, per_block=7).collect()
     assert len(rows) == N * (N - 1) // 2 == len({(r["i"], r["j"]) for r in rows})
     assert all(r["i"] < r["j"] and abs(np.linalg.norm(v[r["i"]] - v[r["j"]]) - r["d"]) < 1e-5 for r in rows)
+    spread = distances.distance_spread(vectors, per_block=7).first()
+    assert spread["pairs"] == len(rows) and abs(spread["sd"] - np.std([r["d"] for r in rows])) < 1e-9
+    assert distances.pairs(vectors.where("img < 1")).count() == 0
+    assert tuple(distances.distance_spread(vectors.where("img < 1")).first()) == (0, None) == tuple(distances.distance_spread(vectors.where("false")).first())
+
+
+def test_numbering(spark):
+    ids = [5, 4096, -3, 10**12, 4095, 17, 4097]
+    rows = distances.numbered(spark.createDataFrame([(i,) for i in ids], "img long")).collect()
+    assert {r["img"]: r["place"] for r in rows} == {i: k for k, i in enumerate(sorted(ids))}
+
+
+def test_trials_draw_without_replacement(spark, vectors):
+    rows = ex.trial_selection(SMALL.experiments(spark), vectors).collect()
+    trials = {}
+    for r in rows:
+        trials.setdefault((r["config"], r["rep"], r["subject"], r["trial"]), set()).add(r["img"])
+    assert len(rows) == 8 * len(trials) and all(len(x) == 8 for x in trials.values())  # no image twice
+    used = np.bincount([r["img"] for r in rows], minlength=N)
+    assert used.min() > 0 and used.max() < 3 * len(rows) / N
+
+
+def test_draws_are_keyed_by_parameters(spark, vectors):
+    """The same parameters give the same draws at another place of another grid, and others give others."""
+    other = Study(**{**SMALL.__dict__, "subjects_noise_df": (5, 7)})
+    key = ["num_subjects", "subjects_noise_scale", "subjects_noise_df", "rep", "i", "j"]
+    a, b = ({tuple(r[k] for k in key): r["dist_sum"] for r in s.observations(spark, vectors).join(s.grid(spark), "config").collect()} for s in (SMALL, other))
+    shared = {k for k in a if k[2] == 5}
+    assert shared == {k for k in b if k[2] == 5} and all(a[k] == b[k] or abs(a[k] - b[k]) < 1e-9 for k in shared)
+    assert {k[3:] for k in a if k[2] == 1} != {k[3:] for k in a if k[2] == 5}
+
+
+def test_trials_leave_images_out(spark, vectors):
+    with pytest.raises(ValueError, match="leave images out"):
+        ex.trial_selection(SMALL.experiments(spark), vectors.where("img < 8"))
 
 
 def test_bad_sizes(spark):
@@ -64,7 +99,7 @@ def test_coverage_identities(spark, vectors, observed):
 
 
 def test_noise_means(spark, vectors):
-    spread = distances.distance_spread(distances.pairs(vectors))
+    spread = distances.distance_spread(vectors)
     sd = spread.first()["sd"]
     noises = ex.subject_noises(SMALL.experiments(spark), spread).groupBy("config", "rep").avg("noise").collect()
     scale = {r["config"]: r["subjects_noise_scale"] for r in SMALL.grid(spark).collect()}
@@ -106,7 +141,56 @@ def test_smacof_recovers_a_configuration():
     assert best < 5e-3  # stress falls by less than the tolerance from there on
     niter, stress, _ = mds.smacof(d, w, 2, seed=5)
     assert stress > 0.05 and niter > 1
-    assert mds.smacof(d, w, 3, start=mds.classical_start(d, 3))[1] < 1e-6
+    assert mds.smacof(d, w, 3, start=x)[1] < 1e-6  # from the solution it stays there
+
+
+def test_smacof_of_closed_forms():
+    """A triangle of equal sides lies flat without stress; on a line, equal distances of three points have a known one."""
+    d = np.ones((3, 3)) - np.eye(3)
+    assert mds.smacof(d, d, 2, tol=1e-12, seed=1)[1] < 1e-5
+    # points at -a, 0, a: disparities 1, gaps a, a, 2a, best a = 2/3: raw stress 2 * (1/3)**2 + (1/3)**2 = 1/3 of 3 pairs
+    assert abs(mds.smacof(d, d, 1, tol=1e-12, seed=1)[1] - math.sqrt(1 / 9)) < 1e-6
+
+
+def test_smacof_ends_where_stress_is_flat():
+    rng = np.random.default_rng(2)
+    d = np.sqrt(((y := rng.standard_normal((15, 4)))[:, None] - y) ** 2).sum(-1)
+    w = np.triu(rng.random((15, 15)) < 0.7, 1).astype(float)
+    w[np.arange(14), np.arange(1, 15)] = 1  # connected
+    w += w.T
+    _, stress, x = mds.smacof(d, w, 2, max_iters=5000, tol=1e-14, seed=3)
+    delta = np.where(w > 0, d, 0) * np.sqrt(15 * 14 / 2 / ((w * d**2).sum() / 2))
+
+    def raw(x):
+        gaps = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+        return (w * (delta - gaps) ** 2).sum() / 2 / (15 * 14 / 2)
+
+    assert abs(raw(x) - stress**2) < 1e-9
+    for i, k in ((0, 0), (7, 1), (14, 0)):
+        step = np.zeros_like(x)
+        step[i, k] = 1e-5
+        assert abs(raw(x + step) - raw(x - step)) / 2e-5 < 1e-4
+
+
+def test_isotonic():
+    """Against the minimax form: the largest over starts of the smallest mean over ends."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 30):
+        for v in (rng.standard_normal(n), rng.integers(0, 3, n).astype(float), np.arange(n, 0, -1.0)):
+            want = [max(min(v[a : b + 1].mean() for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+            assert np.allclose(mds.isotonic(v), want)
+
+
+def test_nonmetric_start(monkeypatch):
+    x = np.random.default_rng(6).standard_normal((30, 2))
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1)) ** 3  # only the order counts
+    start = mds.nonmetric_start(d, 2, 50, 1e-6)
+    gaps, upper = np.sqrt(((start[:, None] - start) ** 2).sum(-1)), np.triu_indices(30, 1)
+    assert np.corrcoef(gaps[upper].argsort().argsort(), d[upper].argsort().argsort())[0, 1] > 0.9
+    asked = []
+    monkeypatch.setattr(mds, "nonmetric_start", lambda d, ndim, n, tol: asked.append((n, tol)) or 1 / 0)
+    assert mds._start(d, 2, 1000, 1e-6) is None and mds._start(d, 2, 100, 0.1) is None  # so the start is random
+    assert asked == [(50, 1e-6), (10, 1e-3)]
 
 
 def test_scaling_sweep(spark):
@@ -118,11 +202,27 @@ def test_scaling_sweep(spark):
     rows = scaling_outcomes(spark, cloud, study, max_dims=3).collect()
     assert len(rows) == 4 and all(r["error"] is None and len(r["confdist"]) == 66 for r in rows)
     assert all(r["stress"] < 0.01 for r in rows if r["ndim"] == 3)
+    begun = mds.run_mds(mds.mask(study.observations(spark, cloud)), ex.mds_tasks(study.experiments(spark), 3).where("ndim = 3"), mds.gate(mds.mask(study.observations(spark, cloud)), study.experiments(spark), cloud))
+    assert all(r["error"] is None and r["stress"] < 0.01 for r in begun.collect())
     stopped = scaling_outcomes(spark, cloud, lone, max_dims=2)
     assert [r["error"] for r in stopped.collect()] == ["The distance graph has 9 connected components."]
     assert [tuple(r) for r in mds.failure_counts(stopped, 500).collect()] == [("connected components", 1, 100.0)]
 
 
+def test_sweep_goes_on(spark, tmp_path, monkeypatch):
+    """Tasks that the log has are not run again."""
+    from pairfold.plans.study import sweep
+
+    cloud = distances.make_embeddings(spark, 12, 3, seed=5)
+    study = Study(num_subjects=(6,), trials_per_subject=(6,), images_per_trial=(6,), subjects_noise_scale=(0.0,), subjects_noise_df=(5,), reps=2)
+    how = (str(tmp_path / "log"), study.observations(spark, cloud), study.experiments(spark), cloud)
+    first = {(r["rep"], r["ndim"]): r["logged_at"] for r in sweep(spark, *how, 2).collect()}
+    ran, run_mds = [], mds.run_mds
+    monkeypatch.setattr(mds, "run_mds", lambda masked, tasks, *a, **b: ran.append(tasks.count()) or run_mds(masked, tasks, *a, **b))
+    both = {(r["rep"], r["ndim"]): r["logged_at"] for r in sweep(spark, *how, 3).collect()}
+    assert ran == [2] and len(both) == 4 and all(both[k] == t for k, t in first.items())
+
+
 def test_status(spark):
     rows = [("The distance graph has 3 connected components.", None), ("singular matrix", None), (None, 500), (None, 73)]
     df = spark.createDataFrame(rows, "error string, niter int")
