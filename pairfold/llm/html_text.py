@@ -1,17 +1,19 @@
 """Main text of HTML pages by two passes of block rules.
 
-Markup is cut into blocks of text.  What stands in page furniture (menus, page headers and footers, sidebars, notices,
-adverts, forms, comments of readers), as tags, roles, classes and ids tell, is left out at once.  The first pass decides
-each block that is left by its link density, its density of stop words and its length; short blocks and blocks with few
-stop words stay ambiguous.  The second pass gives ambiguous blocks the label of the nearest decided neighbour.
-Containers replace it for blocks without links: what is ambiguous and has no link stays wherever it stands in an article,
-main or content container, even if its neighbours go, so short boilerplate without links stays there.
+Markup is cut into blocks of text.  The first pass decides each block by its link density, its density of stop words, its
+length and where it stands: what is in page furniture (menus, page headers and footers, sidebars, notices, adverts, forms,
+comments of readers), as tags, roles, classes and ids tell, is no main text, and in articles, main and content containers
+the limits are wider.  Short blocks and blocks with few stop words stay ambiguous.  The second pass gives each of them the
+label of the nearest decided neighbour.  In a container, neighbours are the container's own blocks, without furniture;
+elsewhere they are all blocks of the page.  An ambiguous block of a container in which nothing is decided is main text
+if it has no link.  If a page has articles or main elements, only what is in one can be main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,11 +50,20 @@ _HINTS = frozenset(
     """.split()
 )
 _PAGE_HINTS = frozenset("header masthead footer colophon topbar bottombar meta tags".split())
+# Words of classes and ids of other pieces than the page's own, whose articles are never the page's.
+_OTHERS = frozenset(
+    "comment comments commentlist respond replies reply disqus related recommended recommendations trending popular teaser share sharing social".split()
+)
+_LEFT_OPEN = "!"  # before the tag of a furniture element whose closing tag is missing
 _CONTENT_HINTS = frozenset("content article post entry story main articlebody maincontent".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", re.S
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag, in which ">" in quotes doesn't end it.
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: Tags whose quotes don't close are ended by the first ">"; after so many in a page, all are, so a page is read a few times at most.
+_ODD_QUOTES = 16
+#: Elements in deeper nests are part of the one that holds them, as in browsers.
+_DEPTH = 512
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW}
 _MARKS = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/]|$))""", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -76,46 +87,40 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
 
 
 class _Page:
-    """Cuts a page into blocks: (text, characters in links, container).
+    """Cuts a page into blocks: (text, characters in links, container, furniture).
 
     Articles and main elements are containers 1, 2, ...; elements whose class or id speaks of content are -1, -2, ...,
     which tell less; 0 is outside any.
     """
 
     def __init__(self, page: str) -> None:
-        self.blocks: list[tuple[str, int, int]] = []
+        self.blocks: list[tuple[str, int, int, bool]] = []
         self.stack: list[tuple[str, bool, int]] = []  # tag, furniture, container
+        self.open: Counter[str] = Counter()  # tags of the stack
         self.text: list[str] = []
         self.linked, self.in_link, self.containers, self.contents = 0, False, 0, 0
         self.loose = False  # within an inline or paragraph element that is furniture; ends with the next block
         self.loose_tag = ""
+        tags = list(_tags(page))
+        ends = _closed(tags)
         at = 0
-        while at < len(page):
-            m = _TOKEN.search(page, at)
-            if not m:
-                self._say(page[at:])
-                break
-            if m.start() > at:
-                self._say(page[at : m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
-                continue
-            if m[1] or m[4]:
+        for number, (begin, end, closes, tag, attributes) in enumerate(tags):
+            if begin > at:
+                self._say(page[at:begin])
+            at = end
+            if closes:
                 self._close(tag)
-            else:
-                if tag in _RAW_END:
-                    end = _RAW_END[tag].search(page, at)
-                    at = end.end() if end else len(page)
-                    continue
-                self._open(tag, m[3] if m[2] else m[6])
+            elif tag:
+                self._open(tag, attributes, number in ends)
+        if at < len(page):
+            self._say(page[at:])
         self._flush()
 
     def _state(self) -> tuple[bool, int]:
         return self.stack[-1][1:] if self.stack else (False, 0)
 
     def _say(self, raw: str) -> None:
-        if not self.loose and not self._state()[0]:
+        if not self.loose:
             text = html.unescape(raw) if "&" in raw else raw
             self.text.append(text)
             if self.in_link:
@@ -124,14 +129,16 @@ class _Page:
     def _flush(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.blocks.append((text, self.linked, self._state()[1]))
+                away, container = self._state()
+                self.blocks.append((text, self.linked, container, away))
             self.text = []
         self.linked, self.loose = 0, False
 
     def _pop_to(self, i: int) -> None:
+        self.open.subtract(t for t, _, _ in self.stack[i:])
         del self.stack[i:]
 
-    def _open(self, tag: str, attributes: str) -> None:
+    def _open(self, tag: str, attributes: str, closed: bool) -> None:
         if tag in _BLOCK:
             self._flush()
         elif tag == "br":
@@ -153,18 +160,33 @@ class _Page:
             if (gone or not _HINTS.isdisjoint(words)) and not self.loose:
                 self.loose, self.loose_tag = True, tag
             return
+        if len(self.stack) >= _DEPTH:
+            return
         if tag in ("article", "main"):
-            if away and not any(t in _FURNITURE for t, _, _ in self.stack) and container <= 0:
-                away = False  # an advert or a notice that was left open
-            if container <= 0 and not away:
-                self.containers += 1
-                container = self.containers
+            gone |= not _HINTS.isdisjoint(words)
+            if not gone and container <= 0:
+                away &= not self._left_open()
+                if not away:
+                    self.containers += 1
+                    container = self.containers
         else:
             gone |= tag in _FURNITURE or not _HINTS.isdisjoint(words) or not container and (tag == "header" or not _PAGE_HINTS.isdisjoint(words)) or "footer" in words
+            if gone and not closed and tag not in _FURNITURE and _OTHERS.isdisjoint(words):
+                tag = _LEFT_OPEN + tag
             if not container and not gone and not away and not _CONTENT_HINTS.isdisjoint(words):
                 self.contents += 1
                 container = -self.contents
         self.stack.append((tag, away or gone, container))
+        self.open[tag] += 1
+
+    def _left_open(self) -> bool:
+        """Whether all furniture that is open are adverts and the like whose closing tag is missing in the page."""
+        inner = False
+        for tag, away, _ in self.stack:  # furniture makes all that it holds furniture
+            if away and not inner and not tag.startswith(_LEFT_OPEN) or tag in _FURNITURE:
+                return False
+            inner = away
+        return True
 
     def _close(self, tag: str) -> None:
         if tag in _BLOCK:
@@ -175,14 +197,61 @@ class _Page:
             self.loose = False
         if tag in _STRUCTURE:
             self.in_link = False
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag:
-                    self._pop_to(i)
-                    break
+            if self.open[tag] > 0:
+                self._pop_to(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag))
+
+
+def _tags(page: str):
+    """(begin, end, closing, name, attributes) of tags; names are empty for comments and declarations.  One pass."""
+    at, odd, size = 0, 0, len(page)
+    while (begin := page.find("<", at)) >= 0:
+        at = begin + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = end + 3 if end >= 0 else size
+            yield begin, at, "", "", ""
+        elif page.startswith(("!", "?"), at):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else size
+            yield begin, at, "", "", ""
+        elif m := _NAME.match(page, at):
+            rest = _REST.match(page, m.end()) if odd < _ODD_QUOTES else None
+            if rest:
+                at, attributes = rest.end(), rest[1]
+            else:
+                odd += 1
+                end = page.find(">", m.end())
+                if end < 0:  # a tag that never ends is dropped with what follows
+                    yield begin, size, "", "", ""
+                    return
+                at, attributes = end + 1, page[m.end() : end]
+            tag = m[2].lower()
+            if tag in _RAW_END and not m[1]:
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else size
+                tag = ""
+            yield begin, at, m[1], tag, attributes
 
 
-def _first_pass(text: str, linked: int, inside: bool) -> tuple[bool | None, bool]:
+def _closed(tags: list[tuple]) -> set[int]:
+    """Numbers of the structural opening tags that have a closing tag of their own."""
+    waiting: dict[str, list[int]] = {}
+    out = set()
+    for number, (_, _, closes, tag, _) in enumerate(tags):
+        if tag in _STRUCTURE:
+            if not closes:
+                waiting.setdefault(tag, []).append(number)
+            elif waiting.get(tag):
+                out.add(waiting[tag].pop())
+    return out
+
+
+def first_pass(block: tuple[str, int, int, bool]) -> tuple[bool | None, bool]:
     """True for main text, False for other text, None if ambiguous; and whether it leans to main text."""
+    text, linked, container, away = block
+    inside = container != 0
+    if away:
+        return False, False
     size = len(text) - text.count(" ")
     found = _WORDS.findall(text)
     stops = sum(w.lower() in STOP_WORDS for w in found) / max(1, len(found))
@@ -195,29 +264,40 @@ def _first_pass(text: str, linked: int, inside: bool) -> tuple[bool | None, bool
     return (None if inside or stops >= 0.08 else False), stops >= 0.2
 
 
+def second_pass(blocks: list[tuple], first: list[tuple]) -> list[bool]:
+    """Labels of all blocks: those of the first pass, and for ambiguous blocks those of the nearest decided neighbours.
+
+    Of two that are as near, one that is main text counts; a block that leans to main text follows a farther one as well.
+    """
+    own: dict[int, list[int]] = {0: list(range(len(blocks)))}  # blocks among which those of a container have neighbours
+    for i, (_, _, container, away) in enumerate(blocks):
+        if container and not away:
+            own.setdefault(container, []).append(i)
+    out = [bool(label) for label, _ in first]
+    for container, places in own.items():
+        decided = [k for k, i in enumerate(places) if first[i][0] is not None]
+        after = 0
+        for k, i in enumerate(places):
+            if first[i][0] is not None or blocks[i][2] != container:
+                continue
+            while after < len(decided) and decided[after] < k:
+                after += 1
+            near = decided[max(0, after - 1) : after + 1]
+            if near:
+                least = min(abs(j - k) for j in near)
+                out[i] = any(first[places[j]][0] for j in near if abs(j - k) == least or first[i][1])
+            else:
+                out[i] = not blocks[i][1] if container else first[i][1]
+    return out
+
+
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by blank lines; empty if there are none."""
     found = _Page(page).blocks
-    if any(c > 0 for _, _, c in found):
+    if any(c > 0 and not away for _, _, c, away in found):
         found = [b for b in found if b[2] > 0]
-    first = [_first_pass(text, linked, container != 0) for text, linked, container in found]
-    decided = [i for i, (x, _) in enumerate(first) if x is not None]
-    out, k = [], 0
-    for i, (text, linked, container) in enumerate(found):
-        label, leans = first[i]
-        if label is None:
-            while k < len(decided) and decided[k] < i:
-                k += 1
-            near = [j for j in (decided[k - 1] if k else None, decided[k] if k < len(decided) else None) if j is not None and found[j][2] == container]
-            if near:
-                least = min(abs(i - j) for j in near)
-                label = any(first[j][0] for j in near if abs(i - j) == least or leans)
-            else:
-                label = leans
-            label = label or container != 0 and not linked
-        if label:
-            out.append(text)
-    return "\n\n".join(out)
+    labels = second_pass(found, [first_pass(b) for b in found])
+    return "\n\n".join(text for (text, *_), label in zip(found, labels, strict=True) if label)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

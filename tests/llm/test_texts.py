@@ -260,6 +260,66 @@ def test_pages(spark):
     assert html_text.extract_text(df.where("false")).count() == 0
 
 
+SAID = "That is what the man of the house said to the king, and it was not what he had been asked for on that day, as we know."
+LINKS = "".join(f"<li><a href=/{k}>Link number {k}</a></li>" for k in range(6))
+WIDE = f"{LONG} {SAID}"
+#: Pages without containers, with comments, teasers, forums and left-open furniture: (html, main text).
+LAYOUTS = {
+    # no article, main or content class: the rules alone tell
+    "plain": (f"<body><ul>{LINKS}</ul><p>Menu</p><h1>The head of it</h1><p>{WIDE}</p><p>Yes.</p><p>{WIDE}</p><ul>{LINKS}</ul><p>Imprint</p>", f"The head of it\n\n{WIDE}\n\nYes.\n\n{WIDE}"),
+    "table": (f"<table><tr><td><a href=1>One</a> <a href=2>Two</a></td></tr><tr><td><b>News</b><p>{WIDE}<p>{WIDE}</td></tr><tr><td><a href=3>Three</a></td></tr><tr><td>(c) us</td></tr></table>", f"News\n\n{WIDE}\n\n{WIDE}"),
+    "comments": (f"<article><h1>Title</h1><p>{LONG}</p></article><div id='comments'><article class='comment'><p>{SAID}</p></article><article><p>{SAID}</p></article></div>", f"Title\n\n{LONG}"),
+    "comment list": (f"<div class='post'><h1>Title</h1><p>{LONG}</p></div><ol class='comment-list'><li><article class='comment-body'><p>{SAID}</p></article></ol>", f"Title\n\n{LONG}"),
+    "open comments": (f"<article><p>{LONG}</p></article><section class='comments'><article><p>{SAID}</p></article>", LONG),
+    "teasers": (f"<main><article><h1>Title</h1><p>{LONG}</p></article><div class='related'><article><h3><a href=1>More of this</a></h3><p>Short words.</p></article></div></main>", f"Title\n\n{LONG}"),
+    "teasers without a class": (f"<article><h1>Title</h1><p>{LONG}</p></article><article><h3><a href=1>Another story of the day</a></h3><p>Short words.</p></article>", f"Title\n\n{LONG}"),
+    "forum": (f"<div class='breadcrumb'><a href=/>All</a></div><div class='thread'><h1>How is it?</h1><div><p>{WIDE}</p><p>Thanks!</p></div></div><div class='pagination'><a href=2>2</a></div>", f"How is it?\n\n{WIDE}\n\nThanks!"),
+    "open advert": (f"<div class='ad'>buy this<article><p>{LONG}</p></article><footer>end</footer>", LONG),
+    "links within": (f"<article><p>{LONG}</p><p>See also</p><ul>{LINKS}</ul><p>Tags: x</p><ul>{LINKS}</ul><p>{SAID}</p></article>", f"{LONG}\n\nSee also\n\n{SAID}"),
+    "short article": ("<nav><a href=/>Home</a></nav><article><h1>News</h1><p>It rains.</p></article>", "News\n\nIt rains."),
+    "nothing": ("<p>Not found</p>", ""),
+    "entities": (f"<main><p>a &lt;p&gt; &amp;amp; &#x41;&nbsp;b</p><p>{LONG}</p></main>", f"a <p> &amp; A b\n\n{LONG}"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, want = LAYOUTS[name]
+    assert html_text.main_text(page) == want
+
+
+def test_both_passes_count(monkeypatch):
+    """Without either pass, pages come out otherwise: undecided blocks are lost, or link lists stay."""
+    right = {k for k, (page, want) in LAYOUTS.items() if html_text.main_text(page) == want}
+    assert right == set(LAYOUTS)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "second_pass", lambda blocks, first: [bool(x) for x, _ in first])
+        lost = {k for k, (page, want) in LAYOUTS.items() if html_text.main_text(page) != want}
+    assert {"plain", "table", "forum", "links within"} <= lost
+    for verdict in (True, None):
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "first_pass", lambda block, v=verdict: (v, False))
+            wrong = {k for k, (page, want) in LAYOUTS.items() if html_text.main_text(page) != want}
+        assert {"plain", "table", "links within"} <= wrong
+
+
+@pytest.mark.parametrize("page", [
+    "<p>x</p>" + "<a " * 700_000, "<div>" * 150_000 + "</section>" * 150_000, '<a "' * 500_000, '<a ">' * 400_000 + '"', "<dl><dt><dl>" + "<div>" * 100_000 + "<dt></dt>" * 100_000,
+    "<li><div>" * 150_000, "<" * 2_000_000, "<!--" * 500_000, "<p class" + " " * 2_000_000 + "x>a", "<script>" * 200_000, "&" * 2_000_000,
+])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 15
+
+
+def test_repeated_pages(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>"), (1, "u", f"<p>{LONG}</p>"), (None, None, f"<p>{LONG}</p>")], "page_id long, url string, html string")
+    assert [r["text"] for r in html_text.extract_text(df).collect()] == [LONG] * 3
+
+
 def test_pages_of_the_test_data(spark):
     """The articles by plain rules that fit these pages' markup."""
     import html
