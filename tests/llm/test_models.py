@@ -214,8 +214,8 @@ def test_top_k_against_brute_force(spark):
     rows += [(600, None), (601, []), (602, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (603, [math.nan] * 6), (604, [math.inf] * 6), (None, [1.0] * 6), (605, [1.0, 2.0]), (606, [3.0, 1.0]), (607, [9.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
     asked = [r for r in rows if r[0] is not None and (r[0] % 7 == 0 or r[0] >= 500)]
-    for block, size in ((4096, 8192), (9, 37)):
-        got = topk.top_k(df, df.where("vec_id % 7 = 0 or vec_id >= 500"), k=5, block=block, rows=size)
+    for least, size in ((1 << 14, 64 << 20), (1, 37 * 48)):
+        got = topk.top_k(df, df.where("vec_id % 7 = 0 or vec_id >= 500"), k=5, least_rows=least, chunk_bytes=size)
         assert sorted(map(tuple, got.collect())) == _search(rows, asked, 5)
     assert topk.top_k(df, df.where("false")).count() == 0
     assert topk.top_k(df.where("false"), df.where("vec_id = 7")).count() == 0
@@ -231,9 +231,38 @@ def test_elimination_saves_work():
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((20, 16)) * 3000
     vectors = np.floor(np.concatenate([c + 60 * rng.standard_normal((400, 16)) for c in centres]))
-    s = topk.Search(np.arange(20), vectors[::400], topk._sample_pivots(vectors[::50], 32), 10)
-    s.add(np.arange(len(vectors)), vectors)
-    assert s.evaluated < 0.5 * 20 * len(vectors)
+    s = topk.Search(np.arange(len(vectors)), vectors, 10)
+    list(s.best(np.arange(20) * 400, vectors[::400]))
+    assert s.evaluated < 0.1 * s.asked
+
+
+def test_elimination_on_the_test_vectors(spark):
+    """These are spread evenly over a sphere, the hardest case: bounds by single pivots leave nine of ten candidates there."""
+    rows = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    ids, vectors = np.array([r["vec_id"] for r in rows]), topk._floored(np.array([r["embedding"] for r in rows], float))
+    s = topk.Search(ids, vectors, 10)
+    asked = np.flatnonzero(ids % 100 == 0)
+    list(s.best(ids[asked], vectors[asked]))
+    assert s.evaluated < 0.35 * s.asked
+
+
+def test_bounds_hold():
+    """Bounds are no lower than the scores and no higher than what single pivots and norms allow."""
+    rng = np.random.default_rng(8)
+    for d in (1, 2, 16, 64):
+        vectors = np.floor(rng.standard_normal((300, d)) * 1000 * rng.random((300, 1)))
+        t = topk.PivotTable(np.arange(300), vectors, 48, 128)
+        upper, scores = t.bounds(vectors), vectors @ vectors.T
+        assert (upper >= scores).all()
+        lower = np.abs(t.distances[:, None] - t.distances[None]).max(2)
+        single = (t.norms[:, None] + t.norms - lower**2) / 2
+        assert (upper <= single + 1e-6 * np.abs(single).max() + 1).all()
+
+
+def test_plan_does_not_grow_with_queries(spark):
+    df = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(300)], "vec_id long, embedding array<double>")
+    plans = [topk.top_k(df, df.where(w))._jdf.queryExecution().executedPlan().toString().count("\n") for w in ("vec_id = 0", "true")]
+    assert abs(plans[0] - plans[1]) <= 2
 
 
 def test_top_k_equals_sql(spark):
