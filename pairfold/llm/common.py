@@ -52,13 +52,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, at: str) -> None:
+    path, fs = _hadoop(spark, at)
+    fs.delete(path, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables written by ``save`` that nothing reads any more."""
     for t in tables:
         path = getattr(t, "_saved_at", None)
         if path:
-            at, fs = _hadoop(t.sparkSession, path)
-            fs.delete(at, True)
+            delete(t.sparkSession, path)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, spread: Column) -> DataFrame:

@@ -15,9 +15,10 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from urllib.parse import quote
 
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairfold.llm.common import attach, blocks, new_path, save
+from pairfold.llm.common import attach, blocks, delete, forget, new_path, save
 
 # The fields of the header lines of both versions, and WARC's profile of revisits.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+# WARC's header of the address, and headers of our own for what version 2 says besides.
+ARC_EXTRA = {"IP-address": "WARC-IP-Address", "Result-code": "ARC-Result-Code", "Checksum": "ARC-Checksum", "Location": "ARC-Location"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -56,40 +59,89 @@ def arc_record(url: str, ip: str, date: str, kind: str, body: bytes, version: in
     return " ".join([*head, str(len(body))]).encode() + b"\n" + body
 
 
-def read_arc(stream) -> Iterator[dict]:
+#: What a header line ends with: an address, a date and a length with fields between them.
+_HEADER_LIKE = re.compile(rb"^\S.* [0-9a-fA-F:.]+ \d{4,14} .*\d+\r?\n?$")
+
+
+def read_arc(stream, reject: Callable[[str, bytes], None] | None = None) -> Iterator[dict]:
     """Records of an ARC stream as dicts of their header fields and ``body``; a version block sets the fields from there on.
 
-    Blank lines between records are passed over.  A header line with another number of fields than its version has, or a
-    body shorter than declared, raises ValueError.
+    Header lines are split from the right, so a URL may hold blanks.  Blank lines between records are passed over.  A header
+    line with too few fields, without a length or without a date, and a body shorter than declared raise ValueError; with
+    ``reject`` they are given to it, with the reason, and reading goes on after the record, or at the next line that looks
+    like a header where the line doesn't tell how long the record is.
     """
     names = ARC_FIELDS[1].split()
     while line := stream.readline():
         if not line.strip():
             continue
-        fields = line.decode("utf-8", "surrogateescape").rstrip("\r\n").split(" ")
-        if line.startswith(b"filedesc:"):
-            size = int(fields[-1])
-            body = stream.read(size)
-            version, _, rest = body.partition(b"\n")
-            names = rest.split(b"\n")[0].decode().split()
-            if names[-1:] != ["Archive-length"]:
-                names = ARC_FIELDS[int(version.split()[0])].split()
-            yield {"URL": fields[0], "Archive-date": fields[2], "Content-type": fields[3], "body": body, "filedesc": True}
+        text = line.decode("utf-8", "surrogateescape").rstrip("\r\n")
+        first = line.startswith(b"filedesc:")
+        fields = text.split(" ") if first else text.rsplit(" ", len(names) - 1)
+        wrong = None
+        if len(fields) < (4 if first else len(names)):
+            wrong = f"a header line has {len(fields)} fields instead of {len(names)}"
+        elif not fields[-1].isdecimal():
+            wrong = "a header line has no length"
+        if wrong:
+            if not reject:
+                raise ValueError(f"{wrong}: {line[:200]!r}")
+            reject(wrong, line)
+            continue_at = _next_header(stream)
+            if continue_at is None:
+                return
+            stream = continue_at
             continue
-        if len(fields) != len(names):
-            raise ValueError(f"a header line has {len(fields)} fields instead of {len(names)}: {line[:200]!r}")
-        record = dict(zip(names, fields, strict=True))
-        size = int(record["Archive-length"])
-        record["body"] = stream.read(size)
-        if len(record["body"]) != size:
-            raise ValueError(f"{record['URL']}: {len(record['body'])} bytes instead of {size}")
-        record["filedesc"] = False
-        yield record
+        size = int(fields[-1])
+        body = stream.read(size)
+        record = {"URL": fields[0], "IP-address": fields[1], "Archive-date": fields[2], "Content-type": fields[3]} if first else dict(zip(names, fields, strict=True))
+        if len(body) != size:
+            wrong = f"{len(body)} bytes instead of {size}"
+        elif warc_date(record["Archive-date"]) is None:
+            wrong = f"no date: {record['Archive-date']}"
+        if wrong:
+            if not reject:
+                raise ValueError(f"{record['URL']}: {wrong}")
+            reject(wrong, line)
+            continue
+        if first:
+            version, _, rest = body.partition(b"\n")
+            names = rest.split(b"\n")[0].decode("utf-8", "surrogateescape").split()
+            if names[-1:] != ["Archive-length"] or "URL" not in names[:1]:
+                names = ARC_FIELDS[2 if version[:1] == b"2" else 1].split()
+        yield record | {"body": body, "filedesc": first}
 
 
-def warc_date(arc_date: str) -> str:
-    """ISO 8601 of an ARC date of 14 digits (or 12, without seconds)."""
-    return datetime.strptime(arc_date.ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+class _Pushed:
+    """A stream with a line put back before it."""
+
+    def __init__(self, line: bytes, stream) -> None:
+        self.line, self.stream = line, stream.stream if isinstance(stream, _Pushed) else stream
+
+    def readline(self) -> bytes:
+        line, self.line = self.line, b""
+        return line or self.stream.readline()
+
+    def read(self, size: int) -> bytes:
+        return self.stream.read(size)
+
+
+def _next_header(stream) -> _Pushed | None:
+    """The stream from the next line on that looks like a header; None at its end."""
+    while line := stream.readline():
+        if line.startswith(b"filedesc:") or _HEADER_LIKE.match(line):
+            return _Pushed(line, stream)
+    return None
+
+
+def warc_date(arc_date: str) -> str | None:
+    """ISO 8601 of an ARC date of 14 digits; of one cut short after a whole part, the beginning of that; None if it is no date."""
+    if not re.fullmatch(r"\d{4}(\d\d){0,5}", arc_date):
+        return None
+    try:
+        return datetime.strptime(arc_date + "00000101000000"[len(arc_date) :], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").zfill(20)
+    except ValueError:
+        return None
 
 
 def convert(record: dict) -> dict:
@@ -109,6 +161,7 @@ def convert(record: dict) -> dict:
     return {
         "type": kind, "id": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{record["URL"]} {date} {block}')}>", "date": date, "uri": record["URL"],
         "content_type": content, "block_digest": block, "payload_digest": base32_sha1(payload), "head": head, "payload": payload,
+        "extra": [(header, value) for field, header in ARC_EXTRA.items() if (value := record.get(field, "-")) != "-"],
     }
 
 
@@ -118,6 +171,7 @@ def warc_record(r: dict, refers_to: tuple[str, str, str] | None = None) -> bytes
     lines = [("WARC-Type", "revisit" if refers_to else r["type"]), ("WARC-Record-ID", r["id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["uri"])]
     if refers_to:
         lines += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", refers_to[0]), ("WARC-Refers-To-Target-URI", refers_to[1]), ("WARC-Refers-To-Date", refers_to[2])]
+    lines += r.get("extra", [])
     lines += [("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Type", r["content_type"]), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode("utf-8", "surrogateescape") + b"\r\n" + block
 
@@ -220,9 +274,25 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None, date: str
     _write(rows.mapInArrow(run, "record binary"), path, "\n")
 
 
+def arc_rejects(spark: SparkSession, arc: str) -> DataFrame:
+    """(path, reason, line) of the records of ARC files that can't be converted."""
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(*(b.column(c).to_pylist() for c in (0, 1)), strict=True):
+                found: list[tuple[str, str, bytes]] = []
+                for _ in read_arc(_open(content), lambda why, line, path=path, found=found: found.append((path, why, line))):
+                    pass
+                yield from _rows(found, pa.schema([("path", pa.string()), ("reason", pa.string()), ("line", pa.binary())]))
+
+    return _files(spark, arc).mapInArrow(run, "path string, reason string, line binary")
+
+
 def convert_arc(spark: SparkSession, arc: str, warc: str, min_bytes: int = 0) -> None:
     """Convert all ARC files of a folder to WARC files.
 
+    Records that can't be converted are left out; :func:`arc_rejects` tells which they are.
+
     Of responses with equal payloads of at least ``min_bytes`` bytes, that with the largest page id (then target) stays a
     response, and the others become revisits.  Other records keep the type that they have.
     """
@@ -231,17 +301,17 @@ def convert_arc(spark: SparkSession, arc: str, warc: str, min_bytes: int = 0) ->
         def run(batches):
             def rows():
                 for stream in _streams(batches):
-                    for r in map(convert, read_arc(stream)):
+                    for r in map(convert, read_arc(stream, lambda why, line: None)):
                         if r["type"] == "response" and len(r["payload"]) >= min_bytes:
                             key = r["payload_digest"]
                         else:
                             key = None
                         full = len(r["head"]).to_bytes(8, "little") + r["head"] + r["payload"] if whole else None
-                        yield key, r["id"], r["uri"], r["date"], r["type"], _page_of(r["uri"]), r["content_type"] if whole else None, full
+                        yield key, r["id"], r["uri"], r["date"], r["type"], _page_of(r["uri"]), r["content_type"] if whole else None, full, json.dumps(r["extra"]) if whole else None
 
-            yield from _rows(rows(), pa.schema([("key", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("type", pa.string()), ("page", pa.int64()), ("content_type", pa.string()), ("record", pa.binary())]))
+            yield from _rows(rows(), pa.schema([("key", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("type", pa.string()), ("page", pa.int64()), ("content_type", pa.string()), ("record", pa.binary()), ("extra", pa.string())]))
 
-        return _files(spark, arc).mapInArrow(run, "key string, id string, uri string, date string, type string, page long, content_type string, record binary")
+        return _files(spark, arc).mapInArrow(run, "key string, id string, uri string, date string, type string, page long, content_type string, record binary, extra string")
 
     order = F.struct(F.coalesce("page", F.lit(-(1 << 63))), "uri", "id")
     first = F.max(F.struct(order.alias("o"), "id", "uri", "date")).alias("first")
@@ -252,15 +322,16 @@ def convert_arc(spark: SparkSession, arc: str, warc: str, min_bytes: int = 0) ->
 
     def run(batches):
         def records():
-            for key, i, uri, date, kind, content, full, a, b, c in (x for cols in blocks(batches, ["key", "id", "uri", "date", "type", "content_type", "record", "to_id", "to_uri", "to_date"]) for x in zip(*cols, strict=True)):
+            for key, i, uri, date, kind, content, full, extra, a, b, c in (x for cols in blocks(batches, ["key", "id", "uri", "date", "type", "content_type", "record", "extra", "to_id", "to_uri", "to_date"]) for x in zip(*cols, strict=True)):
                 cut = 8 + int.from_bytes(full[:8], "little")
-                r = {"type": kind, "id": i, "uri": uri, "date": date, "content_type": content, "head": full[8:cut], "payload": full[cut:]}
+                r = {"type": kind, "id": i, "uri": uri, "date": date, "content_type": content, "head": full[8:cut], "payload": full[cut:], "extra": json.loads(extra)}
                 r["payload_digest"] = key or base32_sha1(r["payload"])
                 yield (warc_record(r, (a, b, c) if a is not None and a != i else None),)
 
         yield from _rows(records(), pa.schema([("record", pa.binary())]))
 
     _write(rows.mapInArrow(run, "record binary"), warc, "\r\n\r\n")
+    forget(groups)
 
 
 def read_pages(spark: SparkSession, warc: str) -> DataFrame:
@@ -304,4 +375,5 @@ def through_archives(pages: DataFrame, min_bytes: int = 0, **columns) -> DataFra
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc, **columns)
     convert_arc(spark, arc, warc, min_bytes)
+    delete(spark, arc)
     return read_pages(spark, warc)

@@ -362,6 +362,43 @@ def test_arc_versions():
         list(warc.read_arc(io.BytesIO(b"http://x 1.2.3.4 text/plain 5\nshort\n")))
 
 
+def test_arc_dates():
+    dates = {"20240203040506": "2024-02-03T04:05:06Z", "202402030405": "2024-02-03T04:05:00Z", "20240203": "2024-02-03T00:00:00Z", "2024": "2024-01-01T00:00:00Z", "00000000000000": None, "20241301000000": None, "202": None, "": None, "2024020304050": None}
+    assert {d: warc.warc_date(d) for d in dates} == dates
+
+
+def test_bad_arc_records_are_rejected(spark, tmp_path):
+    """URLs with blanks are read, and bad records are told of; those around them are converted."""
+    good = lambda k: f"http://x/{k} y 10.0.0.{k} 20240203040506 text/html 4\nbod{k}\n".encode()
+    bad = [b"http://bad 1.2.3.4 20240203040506 text/html many\nabc\n", b"short line\nabc\n", b"http://nodate 1.2.3.4 00000000000000 text/html 3\nabc\n", b"http://cut 1.2.3.4 20240203040506 text/html 500\nabc\n"]
+    raw = warc.arc_version_block("x.arc", "20240101000000", 1) + b"\n" + b"".join(x for k in range(3) for x in (good(k), bad[k])) + good(3) + bad[3]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc/a.arc").write_bytes(raw)
+    (tmp_path / "arc/b.arc.gz").write_bytes(gzip.compress(warc.arc_version_block("b", "2024", 2) + b"\nhttp://v2 1.2.3.4 20240203 text/html 404 abcd http://to 0 b.arc 2\nhi\n"))
+    rejects = warc.arc_rejects(spark, f"file://{tmp_path}/arc").collect()
+    assert sorted((r["line"].split(b"\n")[0][:12], r["reason"].split(":")[0]) for r in rejects) == [
+        (b"http://bad 1", "a header line has no length"), (b"http://cut 1", "4 bytes instead of 500"), (b"http://nodat", "no date"), (b"short line", "a header line has 2 fields instead of 5")]
+    warc.convert_arc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    found = []
+    for f in (tmp_path / "warc").glob("*.gz"):
+        found += list(warc.read_warc(io.BufferedReader(gzip.GzipFile(f))))
+    by = {h["warc-target-uri"]: (h, b) for h, b in found if h["warc-type"] != "warcinfo"}
+    assert {u: b for u, (_, b) in by.items()} == {f"http://x/{k} y": f"bod{k}".encode() for k in range(4)} | {"http://v2": b"hi"}
+    assert by["http://x/2 y"][0]["warc-ip-address"] == "10.0.0.2"
+    h = by["http://v2"][0]
+    assert (h["arc-result-code"], h["arc-checksum"], h["arc-location"], h["warc-date"]) == ("404", "abcd", "http://to", "2024-02-03T00:00:00Z")
+
+
+def test_archives_of_repeated_and_long_pages(spark):
+    long = "<p>ü" * 400_000
+    rows = [(1, "http://a", long), (1, "http://a", long), (2, "http://b", long), (2, "http://b", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.through_archives(df).collect())
+    n = len(long.encode())
+    assert [(i, s, k) for i, s, k, _ in got] == [(1, n, "revisit"), (1, n, "revisit"), (2, 1, "response"), (2, n, "response")]
+    assert [t for *_, t in got] == [2, 2, None, None]
+
+
 def test_archives_of_pages(spark):
     rows = [(1, "http://a", "<p>same</p>"), (5, "http://b#x", "<p>same</p>"), (3, None, None), (4, "http://c d", ""), (7, "http://e", "WARC/1.1\r\n\r\nü\r\n\r\n"), (None, "http://f", "alone")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload_digest string")
