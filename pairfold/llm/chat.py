@@ -32,13 +32,15 @@ class Mapping:
 
     ``each``: (array path, role field, text field) of a list of messages.  ``one``: (role, fields joined by a blank line)
     for each turn, skipped if all its fields are missing.  ``rows``: (conversation, order, role, text) columns of a table
-    with one row per turn.
+    with one row per turn.  ``part``: the field of a message's typed parts that has text, whose texts are put together; a
+    message may still have its text as it is.
     """
 
     name: str
     each: tuple[str, str, str] | None = None
     one: tuple[tuple[str, tuple[str, ...]], ...] = ()
     rows: tuple[str, str, str, str] | None = None
+    part: str | None = None
     optional: frozenset[str] = frozenset()
     roles: dict = field(default_factory=dict, hash=False, compare=False)
 
@@ -46,13 +48,19 @@ class Mapping:
         found = {p for _, fields in self.one for p in fields}
         if self.each:
             array, role, text = self.each
-            found |= {f"{array}[].{role}", f"{array}[].{text}"}
-        return found | set((self.rows or ())[1:])
+            found |= {f"{array}[].{role}", f"{array}[].{text}[].{self.part}" if self.part else f"{array}[].{text}"}
+        return found | self.optional | set((self.rows or ())[1:])
+
+    def needed(self) -> list[set[str]]:
+        """The required paths; for a list of messages also those of an empty one."""
+        must = self.paths() - self.optional
+        return [must, {f"{self.each[0]}[empty]"}] if self.each and not self.part else [must]
 
 
 MAPPINGS = (
     Mapping("turn_rows", rows=("conv_id", "turn", "role", "text")),
     Mapping("messages", each=("messages", "role", "content"), one=(("system", ("system",)),), optional=frozenset({"system"})),
+    Mapping("message_parts", each=("messages", "role", "content"), one=(("system", ("system",)),), part="text", optional=frozenset({"system", "messages[].content", "messages[].content[].type"})),
     Mapping("from_value", each=("conversations", "from", "value"), one=(("system", ("system",)),), optional=frozenset({"system"}), roles=ROLE_NAMES),
     Mapping("instruction", one=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=frozenset({"system", "input"})),
     Mapping("prompt_completion", one=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), optional=frozenset({"system"})),
@@ -67,13 +75,13 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths) & _KNOWN)).encode()).hexdigest()
 
 
-_KNOWN = set().union(*(m.paths() for m in MAPPINGS))
+_KNOWN = set().union(*(m.paths() for m in MAPPINGS), *(n for m in MAPPINGS for n in m.needed()))
 _BY_FINGERPRINT: dict[str, Mapping] = {}
 for _m in MAPPINGS:
-    _must = _m.paths() - _m.optional
-    for _n in range(len(_m.optional) + 1):
-        for _some in itertools.combinations(sorted(_m.optional), _n):
-            _BY_FINGERPRINT.setdefault(fingerprint(_must | set(_some)), _m)
+    for _must in _m.needed():
+        for _n in range(len(_m.optional) + 1):
+            for _some in itertools.combinations(sorted(_m.optional), _n):
+                _BY_FINGERPRINT.setdefault(fingerprint(_must | set(_some)), _m)
 
 
 def schema_paths(schema: T.StructType, prefix: str = "") -> set[str]:
@@ -87,12 +95,13 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> set[str]:
     return out
 
 
-def json_paths(value, prefix: str = "") -> set[str]:
-    """Nested leaf paths of a parsed JSON value; null fields count as missing."""
+def json_paths(value, prefix: str = "", nulls: bool = False) -> set[str]:
+    """Nested leaf paths of a parsed JSON value; fields that are null count with ``nulls``.  A list of nothing is marked [empty]."""
     if isinstance(value, dict):
-        return set().union(*(json_paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items() if v is not None), set())
+        return set().union(*(json_paths(v, f"{prefix}.{k}" if prefix else k, nulls) for k, v in value.items() if nulls or v is not None), set())
     if isinstance(value, list):
-        return set().union(*(json_paths(v, prefix + "[]") for v in value), set())
+        some = [v for v in value if v is not None]
+        return set().union(*(json_paths(v, prefix + "[]", nulls) for v in some), set() if some else {prefix + "[empty]"})
     return {prefix}
 
 
@@ -112,8 +121,11 @@ def _text(value) -> str:
 
 
 def turns_of(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
-    """Layout name and canonical turns of one parsed record; (None, []) if no mapping has its fingerprint."""
-    m = mapping_for(json_paths(record))
+    """Layout name and canonical turns of one parsed record; (None, []) if no mapping has its fingerprint.
+
+    Fields that are null are no part of the fingerprint unless none is found without them.
+    """
+    m = mapping_for(json_paths(record)) or mapping_for(json_paths(record, nulls=True))
     if not m or m.rows:
         return None, []
     out = []
@@ -123,7 +135,8 @@ def turns_of(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
             out.append((role, "\n\n".join(x for x in parts if x)))
     if m.each:
         array, role, text = m.each
-        out += [(m.roles.get(r := _text(x.get(role)), r), _text(x.get(text))) for x in record[array] if isinstance(x, dict)]
+        said = lambda v: "".join(_text(p.get(m.part)) for p in v if isinstance(p, dict)) if m.part and isinstance(v, list) else _text(v)
+        out += [(m.roles.get(r := _text(x.get(role)), r), said(x.get(text))) for x in record[array] if isinstance(x, dict)]
     return m.name, out
 
 
@@ -179,7 +192,11 @@ def turns_from_columns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
             r = F.coalesce(x[role].cast("string"), empty)
             for a, b in m.roles.items():
                 r = F.when(r == a, b).otherwise(r)
-            return F.struct(r.alias("role"), F.coalesce(x[text].cast("string"), empty).alias("text"))
+            if m.part:
+                said = F.array_join(F.transform(x[text], lambda p: F.coalesce(p[m.part].cast("string"), empty)), "")
+            else:
+                said = x[text].cast("string")
+            return F.struct(r.alias("role"), F.coalesce(said, empty).alias("text"))
 
         parts.append(F.transform(F.filter(array, lambda x: x.isNotNull()), turn))
     none = F.array().cast(TURNS)
@@ -237,7 +254,11 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def format_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(id_col, formatted, loss_spans) of a table of canonical turns; no turns give an empty text and no spans."""
+    """(id_col, formatted, loss_spans) of a table of canonical turns; no turns give an empty text and no spans.
+
+    A null turn is left out, and a null role or text is empty.  Each row gives one, those with a null or repeated id too.
+    Other columns are not read.
+    """
 
     def run(batches):
         for ids, convs in blocks(batches, ["id", "turns"]):
@@ -250,12 +271,16 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Digests read from formatted conversations: (id_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
+    """Digests read from formatted conversations: (id_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars).
+
+    A null text is a conversation without turns, and null spans are none.  Each row gives one, those with a null or repeated id
+    too.  A text that the template didn't make raises ValueError.
+    """
 
     def run(batches):
         for ids, texts, masks in blocks(batches, ["id", "formatted", "loss_spans"]):
             rows = []
-            for text, mask in zip(texts, masks, strict=True):
+            for text, mask in zip((t or "" for t in texts), (m or [] for m in masks), strict=True):
                 turns, loss = parse(text), [unescape(text[s["start"] : s["stop"]]) for s in mask]
                 all_turns = hashlib.sha256()
                 for role, said in turns:

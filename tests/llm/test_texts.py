@@ -45,6 +45,14 @@ LAYOUTS = [
     ('{"prompt": "p", "response": "c"}', "prompt_response", [("user", "p"), ("assistant", "c")]),
     ('{"question": "q", "context": "c", "answer": "a"}', "question_answer", [("user", "c\n\nq"), ("assistant", "a")]),
     ('{"prompt": "p", "chosen": "c", "rejected": "r"}', "preference", [("user", "p"), ("assistant", "c")]),
+    ('{"messages": [{"role": "user", "content": null}]}', "messages", [("user", "")]),
+    ('{"messages": [], "system": "s"}', "messages", [("system", "s")]),
+    ('{"messages": [null]}', "messages", []),
+    ('{"conversations": []}', "from_value", []),
+    ('{"prompt": "p", "completion": null, "response": "r"}', "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ('{"prompt": null, "completion": "c"}', "prompt_completion", [("assistant", "c")]),
+    ('{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "x"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}]}', "message_parts", [("user", "ab"), ("assistant", "c")]),
+    ('{"messages": ["a"]}', None, []),
     ('{"foo": 1}', None, []),
     ("no json", None, []),
     (None, None, []),
@@ -64,10 +72,30 @@ def test_typed_layouts(spark):
     m = spark.createDataFrame([(1, [("human", "x"), ("gpt", None)]), (2, None)], "conv_id long, conversations array<struct<`from`:string,value:string>>")
     got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.turns_from_columns(m).collect()}
     assert got == {1: [("user", "x"), ("assistant", "")], 2: []}
+    parts = spark.createDataFrame([(1, [("user", [("text", "x"), ("text", None), ("text", "y")]), ("assistant", None)])], "conv_id long, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")
+    assert [tuple(t) for t in chat.turns_from_columns(parts).first()["turns"]] == [("user", "xy"), ("assistant", "")]
     with pytest.raises(ValueError):
         chat.turns_from_columns(spark.range(3))
 
 
+def test_long_and_clashing_turn_rows(spark):
+    long = "<|im_end|>ü\n" * 300_000
+    rows = [(1, 0, "user", "q", "x", "y", 5, "p", "s"), (1, 1, "assistant", long, "x", "y", 5, "p", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string, layout string, id int, prompt string, system string")
+    made = chat.format_chat(df)
+    assert chat.parse(made.first()["formatted"]) == [("user", "q"), ("assistant", long)]
+    back = chat.read_back(made).first()
+    assert (back["n_turns"], back["loss_chars"]) == (2, len(long)) and back["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_read_back_of_nulls_and_repeats(spark):
+    turns = spark.createDataFrame([(1, [("user", "a"), None, (None, None)]), (1, None), (None, [])], f"conv_id long, turns {chat.TURNS}")
+    got = sorted((str(r["conv_id"]), r["n_turns"]) for r in chat.read_back(chat.format_turns(turns)).collect())
+    assert got == [("1", 0), ("1", 2), ("None", 0)]
+    nothing = spark.createDataFrame([(1, None, None)], "conv_id long, formatted string, loss_spans array<struct<start:long,stop:long>>")
+    assert chat.read_back(nothing).first()["n_turns"] == 0
+
+
 def test_turn_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, None, None, "x"), (None, 0, "user", "lost"), (1, 1, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -264,7 +292,7 @@ SAID = "That is what the man of the house said to the king, and it was not what
 LINKS = "".join(f"<li><a href=/{k}>Link number {k}</a></li>" for k in range(6))
 WIDE = f"{LONG} {SAID}"
 #: Pages without containers, with comments, teasers, forums and left-open furniture: (html, main text).
-LAYOUTS = {
+PAGE_LAYOUTS = {
     # no article, main or content class: the rules alone tell
     "plain": (f"<body><ul>{LINKS}</ul><p>Menu</p><h1>The head of it</h1><p>{WIDE}</p><p>Yes.</p><p>{WIDE}</p><ul>{LINKS}</ul><p>Imprint</p>", f"The head of it\n\n{WIDE}\n\nYes.\n\n{WIDE}"),
     "table": (f"<table><tr><td><a href=1>One</a> <a href=2>Two</a></td></tr><tr><td><b>News</b><p>{WIDE}<p>{WIDE}</td></tr><tr><td><a href=3>Three</a></td></tr><tr><td>(c) us</td></tr></table>", f"News\n\n{WIDE}\n\n{WIDE}"),
@@ -282,24 +310,24 @@ LAYOUTS = {
 }
 
 
-@pytest.mark.parametrize("name", LAYOUTS)
-def test_layouts(name):
-    page, want = LAYOUTS[name]
+@pytest.mark.parametrize("name", PAGE_LAYOUTS)
+def test_page_layouts(name):
+    page, want = PAGE_LAYOUTS[name]
     assert html_text.main_text(page) == want
 
 
 def test_both_passes_count(monkeypatch):
     """Without either pass, pages come out otherwise: undecided blocks are lost, or link lists stay."""
-    right = {k for k, (page, want) in LAYOUTS.items() if html_text.main_text(page) == want}
-    assert right == set(LAYOUTS)
+    right = {k for k, (page, want) in PAGE_LAYOUTS.items() if html_text.main_text(page) == want}
+    assert right == set(PAGE_LAYOUTS)
     with monkeypatch.context() as m:
         m.setattr(html_text, "second_pass", lambda blocks, first: [bool(x) for x, _ in first])
-        lost = {k for k, (page, want) in LAYOUTS.items() if html_text.main_text(page) != want}
+        lost = {k for k, (page, want) in PAGE_LAYOUTS.items() if html_text.main_text(page) != want}
     assert {"plain", "table", "forum", "links within"} <= lost
     for verdict in (True, None):
         with monkeypatch.context() as m:
             m.setattr(html_text, "first_pass", lambda block, v=verdict: (v, False))
-            wrong = {k for k, (page, want) in LAYOUTS.items() if html_text.main_text(page) != want}
+            wrong = {k for k, (page, want) in PAGE_LAYOUTS.items() if html_text.main_text(page) != want}
         assert {"plain", "table", "links within"} <= wrong
 
 
