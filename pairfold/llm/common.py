@@ -65,6 +65,14 @@ def forget(*tables: DataFrame) -> None:
             delete(t.sparkSession, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many "_" behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, spread: Column) -> DataFrame:
     """Left join of ``rows`` with ``groups`` (one row per ``key``) that holds up when one key has a third of the rows.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.llm.common import attach, blocks, forget, save
+from pairfold.llm.common import attach, blocks, forget, free_name, save
 
 _RECORD = "digest binary, content binary, keep_id long, copies long"
 
@@ -167,12 +167,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one id with other texts are judged by their own.  A row with a null id goes if its text has a row with an id, else one
     row of its text stays.  An empty table stays empty.
     """
+    i, sha = free_name(docs, "_id"), free_name(docs, "_sha")
     of_copies = exact_dedup(docs.select(id_col, text_col), id_col, text_col, budget).where("group_size > 1")
-    marked = save(of_copies.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept")), "marked")
-    gone = marked.where(~F.col("_kept")).select("_id", "_sha").distinct()
-    twice = save(marked.where("_kept").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "twice")
-    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    marked = save(of_copies.select(F.col(id_col).alias(i), F.col("text_sha256").alias(sha), "kept"), "marked")
+    gone = marked.where("not kept").select(i, sha).distinct()
+    twice = save(marked.where("kept").groupBy(i, sha).count().where("count > 1").select(i, sha), "twice")
+    same = docs[id_col].cast("long").eqNullSafe(F.col(i)) & (F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256) == F.col(sha))
     if twice.isEmpty():
         return docs.join(gone, same, "left_anti")
     return docs.join(gone.union(twice), same, "left_anti").union(docs.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairfold.llm.common import attach, blocks, forget, save
+from pairfold.llm.common import attach, blocks, forget, free_name, save
 from pairfold.llm.components import components
 
 _SPACE = np.zeros(256, bool)
@@ -315,5 +315,6 @@ def _across(members: DataFrame, of: DataFrame, reps: DataFrame, texts: DataFrame
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that :func:`near_dedup` keeps, with all columns as they came."""
-    gone = near_dedup(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = near_dedup(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")
