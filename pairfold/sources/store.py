@@ -13,13 +13,14 @@ PREFIX, SUFFIX = "simulation_", ".parquet"
 LOG = "seq long, config int, rep int, ndim int, niter int, stress double, confdist array<float>, error string, logged_at timestamp"
 
 
-def _path(spark: SparkSession, path: str):
+def path_of(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop has them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
+    fs, p = path_of(spark, path)
     return fs.exists(p)
 
 
@@ -62,7 +63,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def load_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The latest snapshot of a folder; FileNotFoundError if it has none."""
-    fs, p = _path(spark, folder)
+    fs, p = path_of(spark, folder)
     names = [(s.getPath().getName(),) for s in fs.listStatus(p)] if fs.exists(p) else []
     name = latest(spark.createDataFrame(names, "name string")).first()["name"] if names else None
     if name is None:

@@ -63,9 +63,14 @@ def test_log(spark, tmp_path):
     store.append_outcomes(spark.createDataFrame([(0, 1, 2, 7, 0.25, [2.0], None)], schema), at)
     got = {r["rep"]: (r["niter"], r["error"]) for r in store.load_outcomes(spark, at).collect()}
     assert got == {0: (5, None), 1: (7, None)}
+    assert stream.current(spark, str(tmp_path / "table")).count() == 0
     q = stream.follow(spark, at, str(tmp_path / "table"), str(tmp_path / "checkpoint"))
     q.awaitTermination(120)
     store.append_outcomes(spark.createDataFrame([(0, 0, 2, 9, 0.1, [3.0], None)], schema), at)
     q = stream.follow(spark, at, str(tmp_path / "table"), str(tmp_path / "checkpoint"))
     q.awaitTermination(120)
     assert {r["rep"]: r["niter"] for r in stream.current(spark, str(tmp_path / "table")).collect()} == {0: 9, 1: 7}
+    store.append_outcomes(spark.createDataFrame([(0, 1, 2, 8, 0.1, [3.0], None)], schema), at)
+    stream.follow(spark, at, str(tmp_path / "table"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert {r["rep"]: r["niter"] for r in stream.current(spark, str(tmp_path / "table")).collect()} == {0: 9, 1: 8}
+    assert len(list((tmp_path / "table").glob("version=*"))) == 2
