@@ -27,7 +27,8 @@ from pairfold.llm.common import blocks, save
 
 #: Tail classes: by length in bytes, two lengths to a class, the longest together.
 TAILS = 8
-
+#: Rows of a window whose softmax over classes is done at once.
+_ROWS = 1024
 
 #: Shares of the learning rate for the offsets, which begin as the corpus's own frequencies.
 _PACE = {"bc": np.float32(0.1), "bo": np.float32(0.02)}
@@ -42,8 +43,28 @@ def tail_class(word: bytes) -> int:
     return min((len(word) - 1) // 2, TAILS - 1)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+
+
+def _softmax(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits moved so that their exponentials neither overflow nor vanish, those, and their sums by row.
+
+    One maximum for all rows does, and is much faster, unless some row is so far below it that nothing of it is left.
+    """
+    ones = np.ones(raw.shape[1], np.float32)
+    raw -= raw.max()
+    exp = np.exp(raw)
+    norm = exp @ ones
+    if norm.min() < 1e-20:
+        raw -= raw.max(1, keepdims=True)
+        exp = np.exp(raw)
+        norm = exp @ ones
+    return raw, exp, norm
 
 
 class Vocabulary:
@@ -108,67 +129,85 @@ class Network:
         ``keep`` is 0 where a text begins; with a ``rate`` the parameters take a training step.
         """
         p, h, (steps, lanes) = self.p, self.hidden, tokens.shape
-        before, gates = np.empty((steps, lanes, h), np.float32), (p["wx"] + p["b"])[tokens]
-        trace = [] if rate else None
+        before, gates = np.empty((steps, lanes, h), p["u"].dtype), (p["wx"] + p["b"])[tokens]
+        inner = np.empty_like(gates)  # what the state adds to the gates; gates become their own values on the way
         for t in range(steps):
-            hp = before[t] = state * keep[t][:, None]
-            a, g = hp @ p["u"], gates[t]
-            zr = _sigmoid(g[:, : 2 * h] + a[:, : 2 * h])
-            n = np.tanh(g[:, 2 * h :] + zr[:, h:] * a[:, 2 * h :])
-            state = n + zr[:, :h] * (hp - n)
-            if rate:
-                trace.append((a[:, 2 * h :], zr, n))
+            hp = np.multiply(state, keep[t][:, None], out=before[t])
+            a, g = np.matmul(hp, p["u"], out=inner[t]), gates[t]
+            zr, n = g[:, : 2 * h], g[:, 2 * h :]
+            zr += a[:, : 2 * h]
+            _sigmoid(zr)
+            n += zr[:, h:] * a[:, 2 * h :]
+            np.tanh(n, out=n)
+            state = hp - n
+            state *= zr[:, :h]
+            state += n
         flat, said, seen = before.reshape(-1, h), tokens.ravel(), valid.ravel()
         group = self.group[said]
-        raw = flat @ p["wc"] + p["bc"]
-        raw -= raw.max(1, keepdims=True)
-        exp = np.exp(raw)
-        norm = exp.sum(1)
-        out = raw[np.arange(len(said)), group] - np.log(norm)
+        out = np.empty(len(said), flat.dtype)
         if rate:
-            scale = np.float32(1 / max(1, seen.sum()))
-            err = exp / norm[:, None]
-            err[np.arange(len(said)), group] -= 1
-            err *= (seen * scale)[:, None]
-            grads = {k: np.zeros_like(p[k]) for k in ("wo", "bo")} | {"wc": flat.T @ err, "bc": err.sum(0)}
-            back = err @ p["wc"].T
+            weigh = seen * np.float32(1 / max(1, seen.sum()))
+            grads, back = {k: np.zeros_like(p[k]) for k in ("wc", "bc", "wo", "bo")}, np.empty_like(flat)
+        for a in range(0, len(said), _ROWS):  # as many rows as caches hold
+            x, at, g = flat[a : a + _ROWS], slice(a, a + _ROWS), group[a : a + _ROWS]
+            raw, exp, norm = _softmax(x @ p["wc"] + p["bc"])
+            own = np.arange(len(g)), g
+            out[at] = raw[own] - np.log(norm)
+            if rate:
+                exp *= (weigh[at] / norm)[:, None]
+                exp[own] -= weigh[at]
+                grads["wc"] += x.T @ exp
+                grads["bc"] += np.ones(len(g), np.float32) @ exp
+                back[at] = exp @ p["wc"].T
         order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(self.classes + 1))
+        edges = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
+        order = order[: edges[-1]]  # head words, class by class
+        x, member, inside = flat[order], said[order] % self.members, np.empty(len(order), flat.dtype)
+        rows = np.arange(len(order))
+        if rate:
+            weigh, inner_back = weigh[order], np.empty_like(x)
         for c in range(self.classes):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
+            a, b = edges[c], edges[c + 1]
+            if a == b:
                 continue
-            x, member = flat[at], said[at] % self.members
-            raw = x @ p["wo"][c] + p["bo"][c]
-            raw -= raw.max(1, keepdims=True)
-            exp = np.exp(raw)
-            norm = exp.sum(1)
-            out[at] += raw[np.arange(len(at)), member] - np.log(norm)
+            raw, exp, norm = _softmax(x[a:b] @ p["wo"][c] + p["bo"][c])
+            own = rows[: b - a], member[a:b]
+            inside[a:b] = raw[own] - np.log(norm)
             if rate:
-                err = exp / norm[:, None]
-                err[np.arange(len(at)), member] -= 1
-                err *= (seen[at] * scale)[:, None]
-                grads["wo"][c], grads["bo"][c] = x.T @ err, err.sum(0)
-                back[at] += err @ p["wo"][c].T
+                exp *= (weigh[a:b] / norm)[:, None]
+                exp[own] -= weigh[a:b]
+                np.matmul(x[a:b].T, exp, out=grads["wo"][c])
+                grads["bo"][c] = np.ones(b - a, np.float32) @ exp
+                np.matmul(exp, p["wo"][c].T, out=inner_back[a:b])
+        out[order] += inside
+        if rate:
+            back[order] += inner_back
         if rate:
-            self._backward(tokens, keep, before, trace, back.reshape(steps, lanes, h), grads, rate)
+            self._backward(tokens, keep, before, gates, inner[:, :, 2 * h :], back.reshape(steps, lanes, h), grads, rate)
         return out.reshape(steps, lanes), state
 
-    def _backward(self, tokens, keep, before, trace, back, grads, rate: float) -> None:
+    def _backward(self, tokens, keep, before, gates, inner, back, grads, rate: float) -> None:
         p, h, (steps, lanes) = self.p, self.hidden, tokens.shape
-        dh = np.zeros((lanes, h), np.float32)
-        into_gates, into_state = np.empty((2, steps, lanes, 3 * h), np.float32)
+        z, r, n = gates[:, :, :h], gates[:, :, h : 2 * h], gates[:, :, 2 * h :]
+        # by what the state's error is multiplied on its way into each gate: all steps at once
+        by = np.empty_like(gates)
+        np.multiply(1 - z, 1 - n * n, out=by[:, :, 2 * h :])
+        np.multiply(by[:, :, 2 * h :] * inner, r * (1 - r), out=by[:, :, h : 2 * h])
+        np.multiply(before - n, z * (1 - z), out=by[:, :, :h])
+        dh, ut, into_gates, into_state = np.zeros((lanes, 1, h), back.dtype), np.ascontiguousarray(p["u"].T), by, np.empty_like(gates)
+        back *= keep[:, :, None]
+        z = z * keep[:, :, None]
         for t in range(steps - 1, -1, -1):
-            hp, (a, zr, n) = before[t], trace[t]
-            z, r = zr[:, :h], zr[:, h:]
-            dn = dh * (1 - z) * (1 - n * n)
-            g, s = into_gates[t], into_state[t]
-            g[:, :h] = dh * (hp - n) * z * (1 - z)
-            g[:, h : 2 * h] = dn * a * r * (1 - r)
-            g[:, 2 * h :] = dn
+            g, s, k = into_gates[t], into_state[t], keep[t][:, None]
+            shaped = g.reshape(lanes, 3, h)
+            shaped *= dh
             s[:, : 2 * h] = g[:, : 2 * h]
-            s[:, 2 * h :] = dn * r
-            dh = (dh * z + s @ p["u"].T + back[t]) * keep[t][:, None]
+            np.multiply(g[:, 2 * h :], r[t], out=s[:, 2 * h :])
+            now = s @ ut
+            now *= k
+            now += dh[:, 0] * z[t]
+            now += back[t]
+            dh = now[:, None]
         grads["u"] = before.reshape(-1, h).T @ into_state.reshape(-1, 3 * h)
         flat, said = into_gates.reshape(-1, 3 * h), tokens.ravel()
         grads["b"] = flat.sum(0)
@@ -317,7 +356,7 @@ def _train_round(rows: DataFrame, vocab, start: bytes, hidden: int, lanes: int,
     return start if not seen else sum(np.frombuffer(r["weights"], "<f4") * (r["seen"] / seen) for r in found).astype("<f4").tobytes()
 
 
-def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", known: int = 200_000, classes: int = 32, members: int = 64, hidden: int = 16, rounds: int = 2, rate: float = 0.02, train_lanes: int = 256, train_steps: int = 64, lanes: int = 256, steps: int = 64, block: int = 1 << 22) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", known: int = 200_000, classes: int = 32, members: int = 64, hidden: int = 16, rounds: int = 2, rate: float = 0.03, train_lanes: int = 256, train_steps: int = 32, lanes: int = 256, steps: int = 64, block: int = 1 << 22) -> DataFrame:
     """One row per row of ``docs``: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     ``held_out`` is a boolean column; all other rows are learned from, whole and each in one of ``rounds`` rounds.  Tokens

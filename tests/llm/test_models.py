@@ -58,6 +58,37 @@ def test_held_out_accuracy(spark):
     assert sum(held) / len(held) > 0.99
 
 
+def test_query_rows_by_brute_force(spark):
+    """Every prediction of the query from sets of n-grams, with the examples drawn by hand."""
+    import xxhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    place = lambda i: signed(xxhash.xxh64(b"langid", seed=xxhash.xxh64(str(i).encode(), seed=42).intdigest()).intdigest()) % (1 << 40)
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in docs}
+    examples = sorted((r for r in docs if r["lang"] is not None and not held[r["doc_id"]] and r["text"] and langid.grams(r["text"])), key=lambda r: (r["lang"], place(r["doc_id"])))
+    assert max(Counter(r["lang"] for r in examples).values()) <= 400  # so all of them are
+    model = langid.Model(langid.scaled(langid.presence([r["text"] for r in examples])[0]), [r["lang"] for r in examples], 64, 1e-3)
+    turns, order = Counter(), []
+    for i, r in enumerate(examples):
+        order.append((turns[r["lang"]], r["lang"], i))
+        turns[r["lang"]] += 1
+    landmarks = [_sets(examples[i]["text"]) for *_, i in sorted(order)[:64]]
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_language_id"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        row = got[r["doc_id"]]
+        assert row["held_out"] == held[r["doc_id"]]
+        if not r["text"] or langid.grams(r["text"]) is None:
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        own = _sets(r["text"])
+        kernel = np.array([np.mean([len(x & y) / math.sqrt(len(x) * len(y)) for x, y in zip(own, other, strict=True)]) for other in landmarks])
+        scores = kernel @ model.weights + model.bias
+        assert row["lang_pred"] == model.languages[int(scores.argmax())]
+        assert abs(row["score"] - min(1, max(0, (scores.max() + 1) / 2))) < 1e-3
+
+
 def test_language_edges(spark, documents):
     docs = documents([(1, "the cat and the dog of the house", "en"), (2, "der hund und die katze und das haus", "de"), (3, None, "en"), (4, "12 !", "de"), (5, "the house", None), (None, "und der", None), (1, "the cat and the dog of the house", "en")])
     model = langid.train(docs)
@@ -178,6 +209,69 @@ def test_base_scores_by_brute_force(spark, known):
         assert r["score"] < 0 and math.isfinite(r["score"])
 
 
+def _slow_score(net, v, seen, text):
+    """log10 probability of a text, word by word, by the formulas of a gated recurrent unit and a class-factored softmax."""
+    p, h = {k: x.astype(float) for k, x in net.p.items()}, net.hidden
+    sigmoid, softmax = lambda x: 1 / (1 + np.exp(-x)), lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    heads = {w: i for i, (w, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: v.heads])}
+    state, total = np.zeros(h), 0.0
+    for w in [*lm.words(text), None]:
+        groups = softmax(state @ p["wc"] + p["bc"])
+        if w is None:
+            token, chance = v.size + lm.TAILS, groups[-1]
+        elif w in heads:
+            token = heads[w]
+            c, m = divmod(token, v.members)
+            chance = groups[c] * softmax(state @ p["wo"][c] + p["bo"][c])[m]
+        else:
+            k = lm.tail_class(w)
+            token = v.size + k
+            rest = [x for x in seen if lm.tail_class(x) == k and x not in heads]
+            chance = groups[v.classes + k] * (seen.get(w, 0) + 0.1) / (sum(seen[x] for x in rest) + 0.1 * (len(rest) + 1))
+        total += math.log10(chance)
+        gates, inner = p["wx"][token] + p["b"], state @ p["u"]
+        z, r = sigmoid(gates[:h] + inner[:h]), sigmoid(gates[h : 2 * h] + inner[h : 2 * h])
+        new = np.tanh(gates[2 * h :] + r * inner[2 * h :])
+        state = z * state + (1 - z) * new
+    return total
+
+
+@pytest.mark.parametrize("known", [200_000, 100])
+def test_scores_by_brute_force(spark, documents, monkeypatch, known):
+    """The score column of a network whose weights are known: those of a short training on the same texts."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 900").orderBy("doc_id").limit(25).collect()]
+    rows = list(enumerate([*texts, "", None, "neverseen andneitherthis", texts[0]]))
+    seen, docs = Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            seen.update(lm.words(t or ""))
+            docs += 1
+    at_hand = sorted(seen.items(), key=lambda x: (-x[1], x[0]))
+    tails = [(sum(c for w, c in seen.items() if lm.tail_class(w) == k), sum(lm.tail_class(w) == k for w in seen)) for k in range(lm.TAILS)]
+    v = lm.Vocabulary(at_hand, tails, sum(seen.values()) + docs, len(seen) + 1, docs, 4, 5)
+    net = lm.Network(v, 6)
+    lm.read(net, [v.encode(lm.words(t or ""))[1] for _, t in rows], 4, 8, 0.05)
+    monkeypatch.setattr(lm, "_train_round", lambda *a, raw=net.pack(): raw)
+    got = lm.score_documents(documents(rows), lm.held_out_part(), known=known, classes=4, members=5, hidden=6, rounds=1).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = _slow_score(net, v, seen, rows[r["doc_id"]][1] or "")
+        assert abs(r["score"] - want) < 1e-3 * max(1, abs(want))
+
+
+def test_softmax_of_distant_rows():
+    raw = np.array([[0, 1, 2], [-300, -301, -299], [200, 0, 0]], np.float32)
+    moved, exp, norm = lm._softmax(raw.copy())
+    want = np.exp(raw - raw.max(1, keepdims=True))
+    assert np.allclose(exp / norm[:, None], want / want.sum(1, keepdims=True), atol=1e-6) and np.isfinite(moved - np.log(norm)[:, None]).all()
+
+
+def test_repeated_and_null_ids_are_scored_each(spark, documents):
+    got = lm.score_documents(documents([(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (None, None)]), lm.held_out_part(), rounds=1).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == [("1", 2), ("1", 3), ("1", 3), ("None", 1), ("None", 3)]
+    assert len({round(r["score"], 4) for r in got if r["n_tokens"] == 3}) == 1
+
+
 def test_training_beats_counts_on_held_out_texts(spark):
     rows = queries.QUERIES["op7_lm_score"](spark, f"{DATA}/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
