@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from pairfold.llm.best_fit import best_fit
 from pairfold.llm.bpe import bpe_round_trip
 from pairfold.llm.chat import format_chat, read_back
 from pairfold.llm.exact_dedup import exact_dedup
 from pairfold.llm.html_text import extract_text
+from pairfold.llm.importance import resample
 from pairfold.llm.langid import held_out, identify, train
 from pairfold.llm.lm import held_out_part, score_documents
 from pairfold.llm.near_dedup import near_dedup
 from pairfold.llm.packing import pack
+from pairfold.llm.repair import damage, repair
 from pairfold.llm.topk import top_k
 from pairfold.llm.warc import through_archives
 
@@ -69,7 +72,36 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_text, op3_near_dedup, op4_packing, op5_warc, op6_language_id, op7_lm_score, op8_top_k, op9_exact_dedup, op10_byte_bpe)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    return repair(damage(table), table)
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_html_text, op3_near_dedup, op4_packing, op5_warc, op6_language_id, op7_lm_score, op8_top_k, op9_exact_dedup, op10_byte_bpe,
+        op11_conversation_repair, op12_best_fit, op13_importance,
+    )
+}
+
+
+def _crc32(text: str) -> str:
+    """SQL of the CRC-32 of a string's UTF-8 bytes; ``crc.t`` must be the 256 remainders."""
+    h = f"hex(encode({text}))"
+    steps = f"list_reduce([4294967295] || list_transform(range(1, length({h}) + 1, 2), lambda i: ('0x' || substr({h}, i, 2))::BIGINT), lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1]))"
+    return f"xor({steps}, 4294967295)"
+
+
+_CRC = "crc AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b] || range(0, 8), lambda c, k: xor(c >> 1, (c % 2) * 3988292384))) AS t)"
 
 SQL = {
     "op1_chat_format": r"""
@@ -139,6 +171,89 @@ SQL = {
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
     """,
+    "op11_conversation_repair": rf"""
+        WITH RECURSIVE {_CRC},
+        d AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+            FROM conversations, crc
+        ),
+        r AS (
+            SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(0, CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM d WHERE k != 0
+        ),
+        o AS (
+            SELECT *, row_number() OVER w AS n, lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) AS two, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+            FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+        ),
+        f AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN again THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+        n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS rows FROM f),
+        arc(p, r, q) AS (VALUES ('E', 's', 'S'), ('E', 'u', 'U'), ('S', 'u', 'U'), ('U', 'a', 'A'), ('A', 'u', 'U')),
+        one AS (SELECT p, q, 5 AS cost, 'I' AS e FROM arc WHERE r != 's'),
+        gap AS (SELECT unnest(['E', 'S', 'U', 'A']) AS p, p AS q, 0 AS cost, '' AS e UNION ALL FROM one UNION ALL SELECT x.p, y.q, 10, 'II' FROM one x JOIN one y ON x.q = y.p),
+        act AS (
+            SELECT conv_id, n, p, q, cost, e FROM (
+                SELECT conv_id, n, p, q, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS cost, 'K' AS e FROM n JOIN arc ON r = substr(role, 1, 1) WHERE fault NOT IN ('b', 'd')
+                UNION ALL SELECT conv_id, n, p, q, 1 + CASE WHEN fault = 't' THEN 5 ELSE 0 END, 'R' FROM n JOIN arc ON r != 's' WHERE fault NOT IN ('b', 'd')
+                UNION ALL SELECT conv_id, n, unnest(['E', 'S', 'U', 'A']) AS p, p, 2, 'D' FROM n
+            )
+        ),
+        move AS (SELECT conv_id, n, g.p, a.q, min({{'c': g.cost + a.cost, 'e': g.e || a.e}}) AS m FROM act a JOIN gap g ON g.q = a.p GROUP BY ALL),
+        walk AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS n, 'E' AS s, 0::BIGINT AS cost, '' AS e FROM n
+            UNION ALL
+            SELECT conv_id, n, q, m.c, m.e FROM (
+                SELECT w.conv_id, v.n, v.q, min({{'c': w.cost + v.m.c, 'e': w.e || v.m.e}}) AS m
+                FROM walk w JOIN move v ON v.conv_id IS NOT DISTINCT FROM w.conv_id AND v.n = w.n + 1 AND v.p = w.s GROUP BY ALL
+            )
+        ),
+        best AS (
+            SELECT conv_id, min({{'c': w.cost + g.cost, 'e': w.e || g.e}}) AS m FROM walk w JOIN gap g ON g.p = w.s AND g.q IN ('E', 'A')
+            WHERE n = (SELECT max(n) FROM n WHERE n.conv_id IS NOT DISTINCT FROM w.conv_id) GROUP BY 1
+        ),
+        letter AS (
+            SELECT conv_id, e, i, count(*) FILTER (e != 'I') OVER (PARTITION BY conv_id ORDER BY i) AS n, count(*) FILTER (e != 'D') OVER (PARTITION BY conv_id ORDER BY i) AS place,
+                count(*) FILTER (e != 'D') OVER (PARTITION BY conv_id) % 2 AS odd
+            FROM (SELECT conv_id, m.e[i] AS e, i FROM (SELECT conv_id, m, unnest(range(1, length(m.e) + 1)) AS i FROM best))
+        ),
+        said AS (
+            SELECT l.conv_id, string_agg(CASE WHEN e = 'K' THEN n.role WHEN (l.place - l.odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE n.text END, chr(10) ORDER BY i) AS said
+            FROM letter l LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM l.conv_id AND n.n = l.n WHERE e != 'D' GROUP BY 1
+        ),
+        sums AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b')::BIGINT AS blank, count_if(fault = 'd')::BIGINT AS duplicate,
+                count_if(fault = 't')::BIGINT AS truncated, count_if(two NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+            FROM n GROUP BY 1
+        )
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+            coalesce(illegal, 0)::BIGINT AS illegal, coalesce(m.c, 0)::BIGINT AS cost, coalesce(m.e, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+            LEFT JOIN said t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
+    "op13_importance": rf"""
+        WITH {_CRC},
+        t AS (SELECT doc_id, text, true AS source FROM documents UNION ALL SELECT NULL, text, false FROM benchmark),
+        w AS (
+            SELECT row_number() OVER () AS row, doc_id, source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t
+        ),
+        f AS (SELECT row, source, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+        n AS (SELECT row, source, f, count(*) AS n FROM f GROUP BY ALL),
+        b AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM n), crc),
+        s AS (SELECT bucket, sum(n) FILTER (source) AS s, sum(n) FILTER (NOT source) AS t FROM n JOIN b USING (f) GROUP BY 1),
+        gain AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((sum(s) OVER ()) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(sum(t) OVER (), 0) + 10000)::DOUBLE))) AS gain FROM s
+        ),
+        sums AS (SELECT row, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n)::DOUBLE)::BIGINT AS weight FROM n JOIN b USING (f) JOIN gain USING (bucket) WHERE source GROUP BY 1),
+        scored AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+            FROM w LEFT JOIN sums USING (row) WHERE source
+        ),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS place, count_if(n_words >= 20) OVER () AS able FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM placed
+    """,
 }
 
 
