@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairfold.operators import catalogue as cat
 from pairfold.operators import distances, mds, metrics
 from pairfold.operators import experiments as ex
-from pairfold.plans import plots, study
+from pairfold.plans import picture_files, plots, study
 from pairfold.plans.study import CONNECTED, CONNECTED_ITERS, MAIN, MAX_ITERS, Study
 from pairfold.sources import images, store
 
@@ -209,6 +209,21 @@ def dataset_rejects(spark: SparkSession, d: str) -> DataFrame:
     return images.rejects(study.stand_in_images(spark, d))
 
 
+@query("""WITH files AS (
+        SELECT p_brand || '/' || CASE WHEN p_partkey % 5 = 0 THEN '_new/' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN '_' ELSE '' END || p_name || ' ' || p_partkey
+                || CASE WHEN p_partkey % 10 IN (6, 7) THEN '.jpg' ELSE '.png' END AS path,
+            p_partkey % 10 NOT IN (4, 5, 7, 8) AS sound, (p_partkey % 50 + 1)::INT AS height, p_size AS width,
+            CASE p_partkey % 10 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 1 ELSE 3 END AS n_channels FROM part)
+    SELECT path, CASE WHEN sound THEN height END AS height, CASE WHEN sound THEN width END AS width, CASE WHEN sound THEN n_channels END AS n_channels,
+        CASE WHEN NOT sound THEN 'not readable' WHEN n_channels < 2 THEN 'not three-dimensional' END AS reason FROM files""")
+def scanned_images(spark: SparkSession, d: str) -> DataFrame:
+    """Image files of all parts, sound and broken, written to a folder and scanned."""
+    at = study.scratch(spark, "pictures")
+    picture_files.write_pictures(study.table(spark, d, "part"), at)
+    scanned = images.scan(spark, at, ["png", "jpg"])
+    return scanned.join(images.rejects(scanned), "path", "left").select("path", "height", "width", "n_channels", "reason")
+
+
 @query(f"WITH {_IMAGES} SELECT array_to_string(cats, '/') AS category, n FROM counts")
 def category_counts(spark: SparkSession, d: str) -> DataFrame:
     return cat.as_counts(images.wide(study.stand_in_catalogue(spark, d), 4)).select(_path("cats").alias("category"), "n")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairfold.functions import paths
+from pairfold.sources.image_files import ImageFiles, file_system
 
 CATALOGUE = ["cats", "instance", "height", "width", "n_channels", "has_alpha", "extension", "path"]
 
@@ -23,21 +27,19 @@ def png_header(content: Column) -> dict[str, Column]:
     return {"width": F.when(ok, number(17, 4)), "height": F.when(ok, number(21, 4)), "n_channels": F.when(ok, channels)}
 
 
-def _hidden(spark: SparkSession, fs, base) -> list[str]:
-    """Folders under ``base`` that begin with "_", by one listing for each depth of folders."""
-    path, found, depth = spark._jvm.org.apache.hadoop.fs.Path, [], ""
-    while len(fs.globStatus(path(base, f"{depth}*"))):
-        found += [s.getPath().toString() for s in fs.globStatus(path(base, f"{depth}_*")) if s.isDirectory()]
-        depth += "*/"
-    return found
+def files_of(spark: SparkSession, uri: str, extensions: list[str], check: str = "structure") -> DataFrame:
+    """All image files under a folder, as the data source ``image_files`` has them."""
+    spark.dataSource.register(ImageFiles)
+    return spark.read.format("image_files").options(path=uri, extensions=",".join(extensions), check=check).load()
 
 
-def scan(spark: SparkSession, folder: str, extensions: str | list[str] = "png") -> DataFrame:
-    """(path, height, width, n_channels) of all image files under a folder, of any of the extensions.
+def scan(spark: SparkSession, folder: str, extensions: str | list[str] = "png", check: str = "structure") -> DataFrame:
+    """(path, height, width, n_channels) of all image files under a folder, of any of the extensions (matched as they are).
 
-    PNG files are read by their header alone; other formats go through Spark's image source.  Undecodable files have null
-    sizes.  Folders that begin with "_" are read as well, which Spark's readers pass over unless they are named; files that do
-    are passed over, as those readers leave no way to name them.
+    PNG and JPEG files are read by ranges, by ``image_files``: nulls for a file that is no complete image of one of these
+    formats, or with ``check="whole"`` whose pixel data is damaged.  In stores that Arrow has no file system for, Spark's
+    own readers read whole files: a PNG then counts by its header, other formats by the image source, and names that
+    begin with "_" or "." are passed over.
     """
     names = [extensions] if isinstance(extensions, str) else list(extensions)
     if not names:
@@ -46,24 +48,31 @@ def scan(spark: SparkSession, folder: str, extensions: str | list[str] = "png")
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     if not (fs.exists(base) and fs.getFileStatus(base).isDirectory()):
         raise ValueError(f"{folder} is not a directory")
-    at = [folder, *_hidden(spark, fs, base)]
     root = fs.makeQualified(base).toString().rstrip("/") + "/"
-    root = root.replace("file:///", "file:/") if root.startswith("file:///") else root
+    try:
+        file_system(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return _read_whole(spark, folder, root, names)
+    return files_of(spark, root, names, check).select("path", "height", "width", "n_channels")
+
+
+def _read_whole(spark: SparkSession, folder: str, root: str, names: list[str]) -> DataFrame:
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rel = lambda c: paths.relative(plain(F.col(c)), F.lit(plain_root)).alias("path")
+    plain_root = re.sub("^file:/+", "file:/", root)
+    load = lambda kind, glob: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     parts = []
     if "png" in names:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(at)
-        parts.append(files.select("path", *[c.alias(k) for k, c in png_header(F.col("content")).items()]))
+        parts.append(load("binaryFile", "*.png").select(rel("path"), *[c.alias(k) for k, c in png_header(F.col("content")).items()]))
     others = [x for x in names if x != "png"]
     if others:
         glob = f"*.{{{','.join(others)}}}"
-        names_of = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(at).select("path")
-        image = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(at).select("image.*")
-        seen = image.where("height >= 0").select(F.url_decode(F.regexp_replace("origin", r"\+", "%2B")).alias("origin"), "width", "height", F.col("nChannels").alias("n_channels"))
-        key = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        parts.append(names_of.join(seen, key(names_of["path"]) == key(seen["origin"]), "left").select("path", "width", "height", "n_channels"))
+        image = load("image", glob).select("image.*").where("height >= 0")
+        seen = image.select(F.url_decode(F.regexp_replace("origin", r"\+", "%2B")).alias("origin"), "height", "width", F.col("nChannels").alias("n_channels"))
+        seen = seen.select(rel("origin"), "height", "width", "n_channels")
+        parts.append(load("binaryFile", glob).select(rel("path")).join(seen, "path", "left"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    return out.select(paths.relative(plain(F.col("path")), F.lit(root)).alias("path"), "height", "width", "n_channels")
+    return out.select("path", "height", "width", "n_channels")
 
 
 def _judged(images: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-import struct
-import zlib
+import os
 
+import pyarrow as pa
 import pytest
 
 from pairfold.operators import catalogue as cat
-from pairfold.sources import images
+from pairfold.plans.picture_files import jpeg_bytes, png_bytes
+from pairfold.sources import image_files, images
 
 ROWS = [
     ("animate/animal/dog01.png", 3, ["animate", "animal", "dog"], 1),
@@ -33,10 +34,8 @@ def test_empty_catalogue_keeps_its_schema(spark):
 
 
 def _png(path, width, height, kind, data_ok=True):
-    head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
-    chunk = struct.pack(">I", 13) + b"IHDR" + head + struct.pack(">I", zlib.crc32(b"IHDR" + head))
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_bytes((b"\x89PNG\r\n\x1a\n" + chunk) if data_ok else b"no image")
+    path.write_bytes(png_bytes(width, height, kind) if data_ok else b"no image")
 
 
 def test_folder(spark, tmp_path):
@@ -56,6 +55,90 @@ def test_folder(spark, tmp_path):
         images.scan(spark, str(tmp_path / "none"))
 
 
+def _probe(data, whole=False):
+    file = image_files.Ranges(pa.BufferReader(data))
+    try:
+        return image_files.probe(file, whole), file.read
+    except image_files.Broken as e:
+        return str(e), file.read
+
+
+def test_png_structure():
+    good = png_bytes(30, 20)
+    assert _probe(good)[0] == (20, 30, 3) and _probe(good, True)[0] == (20, 30, 3)
+    assert [_probe(png_bytes(3, 2, c))[0][2] for c in (0, 2, 3, 4, 6)] == [1, 3, 3, 4, 4]
+    assert _probe(png_bytes(3, 2, 3, transparent=True))[0][2] == 4
+    for n in range(len(good)):  # cut off anywhere
+        assert isinstance(_probe(good[:n])[0], str), n
+    for at in range(len(good)):  # any byte damaged: each is under a checksum, or a length, type or signature
+        assert isinstance(_probe(good[:at] + bytes([good[at] ^ 0x55]) + good[at + 1 :])[0], str), at
+    no_data = good[: good.index(b"IDAT") - 4] + good[good.index(b"IEND") - 4 :]
+    assert _probe(no_data)[0] == "there is no pixel data"
+
+
+def test_png_pixels_only_when_asked():
+    rows = (b"\0" + bytes(90)) * 20
+    short, filtered, more = png_bytes(30, 20, pixels=rows[:-1]), png_bytes(30, 20, pixels=b"\5" + rows[1:]), png_bytes(30, 20, pixels=rows + b"\0")
+    for bad in (short, filtered, more):
+        assert _probe(bad)[0] == (20, 30, 3) and isinstance(_probe(bad, True)[0], str)
+    # rows of the passes of an interlaced image of 5 x 3: 1x1, 1x1, none, 1x1 (third row holds none), ...
+    passes = [(1, 1), (1, 1), (0, 0), (1, 1), (3, 1), (2, 2), (5, 1)]
+    laced = b"".join((b"\0" + bytes(3 * w)) * h for w, h in passes)
+    assert _probe(png_bytes(5, 3, laced=1, pixels=laced), True)[0] == (3, 5, 3)
+
+
+def test_big_png_is_walked_not_read():
+    noise = os.urandom(4_000_000)
+    data = png_bytes(1000, 1333, pixels=noise)
+    assert len(data) > 3_900_000 and _probe(data)[0] == (1333, 1000, 3) and _probe(data)[1] < len(data) / 100
+
+
+def test_jpeg_structure():
+    good = jpeg_bytes(30, 20)
+    assert _probe(good)[0] == (20, 30, 3) and _probe(jpeg_bytes(3, 2, 1))[0] == (2, 3, 1) and _probe(jpeg_bytes(3, 2, 4))[0][2] == 4
+    for n in range(len(good)):
+        assert isinstance(_probe(good[:n])[0], str), n
+    assert _probe(good[:2] + b"\xff\xff\xfe\0\4hi" + good[2:] + b"more", True)[0] == (20, 30, 3)  # padding, a comment, what follows
+    assert isinstance(_probe(good[:2] + good[-2:])[0], str) and isinstance(_probe(b"")[0], str)
+
+
+def test_scan_reads_every_file_of_every_folder(spark, tmp_path):
+    """Names that begin with "_" or ".", other cases of extensions, more folders than the driver lists, files without image."""
+    for k in range(30):
+        _png(tmp_path / f"a{k % 6}/_b{k % 5}/.c/x{k}.png", 2, k + 1, 2)
+    for name in ("_x1.png", ".x2.png", "x3.PNG", "x4.jpg.txt"):
+        _png(tmp_path / name, 2, 2, 2)
+    (tmp_path / "e5.png").write_bytes(b"")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "photo6.jpg").write_bytes(jpeg_bytes(7, 8))
+    (tmp_path / "really a jpeg7.png").write_bytes(jpeg_bytes(7, 8))
+    found = {r["path"]: r["height"] for r in images.scan(spark, str(tmp_path), ["png", "jpg"]).collect()}
+    assert found == {f"a{k % 6}/_b{k % 5}/.c/x{k}.png": k + 1 for k in range(30)} | {"_x1.png": 2, ".x2.png": 2, "e5.png": None, "photo6.jpg": 8, "really a jpeg7.png": 8}
+    few = images.files_of(spark, f"file:{tmp_path}", ["png"])
+    reader = image_files.ImageReader({"path": str(tmp_path), "folders": "3", "filesPerPartition": "2"})
+    parts = reader.partitions()
+    assert any(p.folders for p in parts) and max(len(p.files) for p in parts) == 2
+    assert sorted(p for part in parts for b in reader.read(part) for p in b["path"].to_pylist()) == sorted(r["path"] for r in few.collect())
+    assert images.scan(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_whole_check_in_a_scan(spark, tmp_path):
+    (tmp_path / "a1.png").write_bytes(png_bytes(30, 20, pixels=b"\0" * 5))
+    assert images.scan(spark, str(tmp_path)).first()["height"] == 20
+    assert images.scan(spark, str(tmp_path), check="whole").first()["height"] is None
+
+
+def test_readers_of_stores_that_arrow_has_not(spark, tmp_path, monkeypatch):
+    _png(tmp_path / "animate/dog 01.png", 30, 20, 2)
+    _png(tmp_path / "bad4.png", 8, 9, 2, data_ok=False)
+
+    def none(uri):
+        raise pa.ArrowInvalid(uri)
+
+    monkeypatch.setattr(images, "file_system", none)
+    assert {r["path"]: r["height"] for r in images.scan(spark, str(tmp_path), ["png", "jpg"]).collect()} == {"animate/dog 01.png": 20, "bad4.png": None}
+
+
 COUNTS = [(["a", "b", "c"], 2), (["a", "b", "d"], 3), (["a", "b"], 4), (["e"], 5)]
 
 
