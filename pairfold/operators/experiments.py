@@ -81,9 +81,15 @@ def trial_selection(experiments: DataFrame, embeddings: DataFrame, seed: int = 4
 
 
 def trial_pairs(selection: DataFrame) -> DataFrame:
-    """(config, rep, subject, trial, i, j): all pairs i < j within a trial, which has images_per_trial rows alone."""
+    """(config, rep, subject, trial, i, j): all pairs i < j within a trial, which has images_per_trial rows alone.
+
+    A trial has images_per_trial - 1 times as many pairs as half its images, so trials are dealt out by an explicit number of
+    partitions, which adaptive execution leaves as it is, however few bytes there are before.
+    """
     keys = ["config", "rep", "subject", "trial"]
-    x, y = selection.withColumnRenamed("img", "i"), selection.withColumnRenamed("img", "j")
+    spark = selection.sparkSession
+    dealt = selection.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    x, y = dealt.withColumnRenamed("img", "i"), dealt.withColumnRenamed("img", "j")
     return x.join(y, keys).where("i < j").select(*keys, "i", "j")
 
 
@@ -103,14 +109,19 @@ def subject_noises(experiments: DataFrame, spread: DataFrame, seed: int = 42) ->
 def pair_observations(pairs: DataFrame, noises: DataFrame, embeddings: DataFrame, seed: int = 42) -> DataFrame:
     """(config, rep, i, j, dist_sum, n_obs): summed noisy distances of each observed pair, over subjects and trials.
 
-    The vectors of a pair's images are looked up, so no table of all distances takes part.  Noisy distances are cut at 0;
-    a sum of 0 is a missing distance (null), though the pair counts as observed.
+    The vectors of a pair's images are looked up once a pair and experiment, with the errors of all its observations, so no
+    table of all distances takes part.  Noisy distances are cut at 0; a sum of 0 is a missing distance (null), though the pair
+    counts as observed.
     """
+    error = F.when(F.col("noise") == 0, 0.0).otherwise(F.col("noise") * normal(draw_key(seed, "noise", "own", "subject", "trial", "i", "j")))
+    rows = pairs.join(noises, ["config", "rep", "subject"]).groupBy("config", "rep", "i", "j").agg(F.collect_list(error).alias("errors"))
     v = embeddings.select("img", "vec")
-    rows = pairs.join(v.withColumnsRenamed({"img": "i", "vec": "x"}), "i").join(v.withColumnsRenamed({"img": "j", "vec": "y"}), "j").join(noises, ["config", "rep", "subject"])
+    rows = rows.join(v.withColumnsRenamed({"img": "i", "vec": "x"}), "i").join(v.withColumnsRenamed({"img": "j", "vec": "y"}), "j")
     true = euclidean(F.col("x"), F.col("y")).cast("float").cast("double")
-    error = F.when(F.col("noise") == 0, 0.0).otherwise(F.col("noise") * normal(draw_key(seed, "noise", "own", "subject", "trial", "i", "j")))
-    summed = rows.withColumn("noisy", F.greatest(F.lit(0.0), true + error)).groupBy("config", "rep", "i", "j").agg(F.sum("noisy").alias("s"), F.count("*").cast("int").alias("n_obs"))
+    # the distance is part of what the sum begins with, as a lambda would work it out for every error
+    begin = F.struct(F.lit(0.0).alias("s"), true.alias("d"))
+    add = lambda a, e: F.struct((a["s"] + F.greatest(F.lit(0.0), a["d"] + e)).alias("s"), a["d"].alias("d"))
+    summed = rows.select("config", "rep", "i", "j", F.aggregate("errors", begin, add, lambda a: a["s"]).alias("s"), F.size("errors").alias("n_obs"))
     return summed.select("config", "rep", "i", "j", F.when(F.col("s") > 0, F.col("s")).alias("dist_sum"), "n_obs")
 
 

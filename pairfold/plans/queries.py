@@ -11,7 +11,7 @@ from pairfold.operators import catalogue as cat
 from pairfold.operators import distances, mds, metrics
 from pairfold.operators import experiments as ex
 from pairfold.plans import picture_files, plots, study
-from pairfold.plans.study import CONNECTED, CONNECTED_ITERS, MAIN, MAX_ITERS, Study
+from pairfold.plans.study import CONNECTED, CONNECTED_TOL, MAIN, MAX_ITERS, Study
 from pairfold.sources import images, store
 
 QUERIES: dict = {}
@@ -568,13 +568,28 @@ def mds_fit(spark: SparkSession, d: str) -> DataFrame:
     return out.select("config", "rep", "ndim", "niter", F.round("stress", 4).alias("stress"), F.size("confdist").alias("pairs"), "error", "needs_more_iters")
 
 
+def _maps(spark, d):
+    """Outcomes of the solver, run until stress is flat from its default start, over all images and all repetitions of a study that connects them."""
+    return study.scaling_outcomes(spark, _vectors(spark, d), CONNECTED, max_dims=3, tol=CONNECTED_TOL, precalc_init=True)
+
+
 @query()
 def mds_connected(spark: SparkSession, d: str) -> DataFrame:
     """Scaling of all images from a study whose trials are so many and so large that its graph is connected."""
-    out = study.scaling_outcomes(spark, _vectors(spark, d), CONNECTED, max_dims=3, max_iters=CONNECTED_ITERS)
+    out = _maps(spark, d)
     return out.select("config", "rep", "ndim", "niter", F.round("stress", 4).alias("stress"), F.size("confdist").alias("pairs"), "error", "needs_more_iters")
 
 
+@query()
+def mds_connected_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Stress of the solver's maps and how far repetitions agree, by the number of dimensions."""
+    grid, at = CONNECTED.grid(spark), f"{study.scratch(spark, 'maps')}/log"
+    store.append_outcomes(_maps(spark, d), at)
+    outcomes = store.load_outcomes(spark, at)
+    stress = mds.scree(outcomes, grid, MAX_ITERS).withColumnsRenamed({"N": "maps", "mean": "stress_mean", "sem": "stress_sem"})
+    return _rounded(stress.join(mds.embedding_stability(outcomes, grid, MAX_ITERS).withColumnRenamed("N", "comparisons"), [*ex.PARAMS, "ndim"]), 4)
+
+
 @query(f"""WITH RECURSIVE {_MASKED}, weighted AS (SELECT * FROM masked WHERE w > 0), {_parts('weighted')}
     SELECT config, rep, ndim::INT AS ndim, NULL::INT AS niter, 'The distance graph has ' || coalesce(num_connected_components, (SELECT count(*) FROM embeddings)) || ' connected components.' AS error
     FROM experiments LEFT JOIN parts USING (config, rep), (SELECT unnest(range(2, 5)) AS ndim)""")

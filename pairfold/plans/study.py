@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pairfold.functions.draws import draw_key, uniform
 from pairfold.operators import distances, mds, metrics
 from pairfold.operators import experiments as ex
-from pairfold.sources import images, store
+from pairfold.sources import frames, images, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +48,9 @@ class Study:
 MAIN = Study()
 MAX_ITERS = 500
 #: Trials so many and so large that up to some thousand images are connected.
-CONNECTED = Study(num_subjects=(12,), trials_per_subject=(30,), images_per_trial=(80,), subjects_noise_scale=(0.5,), subjects_noise_df=(5,), reps=1)
-CONNECTED_ITERS = 25
+CONNECTED = Study(num_subjects=(12,), trials_per_subject=(30,), images_per_trial=(80,), subjects_noise_scale=(0.5,), subjects_noise_df=(5,), reps=3)
+#: Vectors of many independent dimensions go on gaining some 1e-6 of stress an iteration in a map of two or three for thousands of them.
+CONNECTED_TOL = 1e-5
 
 
 def create_simulation(spark: SparkSession, folder: str, n_images: int, n_dims: int, study: Study) -> str:
@@ -61,28 +62,50 @@ def create_simulation(spark: SparkSession, folder: str, n_images: int, n_dims: i
     return store.write_snapshot(study.observations(spark, vectors).join(grid, "config").drop("config"), folder)
 
 
-def scaling_outcomes(spark: SparkSession, vectors: DataFrame, study: Study = MAIN, max_dims: int | None = None, max_iters: int = MAX_ITERS) -> DataFrame:
+def scaling_outcomes(spark: SparkSession, vectors: DataFrame, study: Study = MAIN, max_dims: int | None = None, max_iters: int = MAX_ITERS, tol: float = 1e-6, precalc_init: bool = False) -> DataFrame:
     """Outcomes of the scaling sweep over a study: mask, gate, solver, failures as rows; up to the vectors' own dimensions if none are given."""
     max_dims = distances.size_of(vectors).first()["dimensions"] if max_dims is None else max_dims
     experiments = study.experiments(spark)
     masked = mds.mask(study.observations(spark, vectors))
     gates = mds.gate(masked, experiments, vectors)
-    return mds.run_mds(masked, ex.mds_tasks(experiments, max_dims), gates, max_iters, precalc_init=False, seed=study.seed)
+    return mds.run_mds(masked, ex.mds_tasks(experiments, max_dims), gates, max_iters, tol, precalc_init, study.seed)
 
 
-def sweep(spark: SparkSession, log: str, observations: DataFrame, experiments: DataFrame, images: DataFrame, max_dims: int, max_iters: int = MAX_ITERS, seed: int = 42, precalc_init: bool = False) -> DataFrame:
-    """Run the scaling tasks that ``log`` lacks, one number of dimensions after the other, and give the log's outcomes.
+def sweep(spark: SparkSession, log: str, observations: DataFrame, experiments: DataFrame, images: DataFrame, max_dims: int, max_iters: int = MAX_ITERS, seed: int = 42, precalc_init: bool = False,
+          max_seconds: float | None = None, claim_seconds: float = 3600.0) -> DataFrame:
+    """Run the scaling tasks that ``log`` lacks and give the log's outcomes.
 
-    Each batch is appended when it is done, so a sweep that was broken off goes on from there.  ``observations`` are read once
-    for each batch and should be those of a store.
+    Each executor puts the outcome of a task in the folder ``_solved`` of the log, as a framed record, when the task is done:
+    if the sweep is broken off, the next one goes on from what was solved, and only tasks under way are lost.  At its end, and
+    at the next one's beginning, those records become a batch of the log.  Tasks that another sweep began less than
+    ``claim_seconds`` ago are left to that one.  ``observations`` are read twice and should be those of a store.  The log must be in a folder that Arrow
+    can write to from executors.
     """
-    masked = mds.mask(observations)
-    gates = mds.gate(masked, experiments, images)
+    solved, claims, own = f"{log}/_solved", f"{log}/_claims", uuid.uuid4().hex
+    name = "-".join
     keys = ["config", "rep", "ndim"]
-    for ndim in range(2, max_dims + 1):
-        tasks = experiments.select("config", "rep", F.lit(ndim).alias("ndim")).join(store.load_outcomes(spark, log).select(*keys), keys, "left_anti")
-        if not tasks.isEmpty():
-            store.append_outcomes(mds.run_mds(masked, tasks, gates, max_iters, precalc_init=precalc_init, seed=seed), log)
+
+    def fold() -> DataFrame:
+        new = store.framed_outcomes(spark, solved).join(store.load_outcomes(spark, log).select(*keys), keys, "left_anti")
+        names = [name(map(str, r)) for r in new.select(*keys).collect()]
+        if names:
+            store.append_outcomes(new, log)
+            frames.delete(solved, names)
+        return store.load_outcomes(spark, log)
+
+    tasks = ex.mds_tasks(experiments.select("config", "rep"), max_dims).join(fold().select(*keys), keys, "left_anti")
+    if not tasks.isEmpty():
+        masked = mds.mask(observations)
+        gates = mds.gate(masked, experiments, images)
+        ask = lambda task: frames.claim(claims, name(map(str, task)), own, claim_seconds)
+        put = lambda task, *outcome: frames.write_record(solved, name(map(str, task)), store.record_of(*task, *outcome))
+        done = mds.run_mds(masked, tasks, gates, max_iters, precalc_init=precalc_init, seed=seed, max_seconds=max_seconds, claim=ask, sink=put)
+        at = scratch(spark, "stopped")
+        done.withColumn("confdist", F.lit(None).cast("array<float>")).drop("needs_more_iters").write.mode("overwrite").parquet(at)
+        # what was solved has its record; the rest are the gate's errors
+        stopped = spark.read.parquet(at).join(fold().select(*keys), keys, "left_anti")
+        if not stopped.isEmpty():
+            store.append_outcomes(stopped, log)
     return store.load_outcomes(spark, log)
 
 

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import struct
+import uuid
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairfold.operators import experiments as ex
+from pairfold.sources import commits, frames
 
 PREFIX, SUFFIX = "simulation_", ".parquet"
+EXPERIMENTS = f"{ex.GRID.removeprefix('config int, ')}, rep int"
+STORED = f"i long, j long, dist_sum double, n_obs int, run_at timestamp, {EXPERIMENTS}"
 LOG = "seq long, config int, rep int, ndim int, niter int, stress double, confdist array<float>, error string, logged_at timestamp"
 
 
@@ -55,9 +63,9 @@ def write_snapshot(observations: DataFrame, folder: str, started: datetime | Non
     return path
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+def read_snapshot(spark: SparkSession, *path: str, base: str | None = None) -> DataFrame:
     types = {"subjects_noise_scale": "double"}
-    df = spark.read.parquet(path)
+    df = spark.read.options(**({"basePath": base} if base else {})).parquet(*path)
     return df.select(*[F.col(c).cast(types.get(c, "int")).alias(c) if c in ex.PARAMS else F.col(c) for c in df.columns])
 
 
@@ -91,11 +99,46 @@ def get_experiment(store: DataFrame, **params) -> DataFrame:
     return rows_where(store, **{k: v for k, v in params.items() if k in ex.PARAMS})
 
 
-def _run(todo: DataFrame, embeddings: DataFrame, store: str, seed: int) -> None:
-    """Simulate experiments (config, params, rep) and append their observations, with the time, to a store."""
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """All committed observations of a store, with their parameters; no rows before the first commit.
+
+    A commit names its batch of files and the experiments that count in it, so what a writer left behind that never
+    committed, or ran although another one was quicker, is not read.
+    """
+    found = commits.entries(spark, f"{store}/commits")
+    if not found:
+        return spark.createDataFrame([], STORED)
+    counted = spark.createDataFrame([(e["batch"], *x) for _, e in found for x in e["experiments"]], f"batch string, {EXPERIMENTS}")
+    paths = [f"{store}/data/batch={e['batch']}" for _, e in found if e["experiments"]]
+    rows = read_snapshot(spark, *paths, base=f"{store}/data").withColumn("batch", F.col("batch").cast("string"))
+    return rows.join(F.broadcast(counted), ["batch", *ex.PARAMS, "rep"], "left_semi").select(*[c.split()[0] for c in STORED.split(", ")])
+
+
+def _keys(experiments: DataFrame) -> list[list]:
+    """The experiments of a grid as lists (parameters, rep)."""
+    return [list(r) for r in experiments.select(*ex.PARAMS, "rep").distinct().collect()]
+
+
+def _run(spark: SparkSession, todo: DataFrame, embeddings: DataFrame, store: str, seed: int) -> list[list]:
+    """Simulate experiments (config, params, rep) and commit their observations, with the time, to a store.
+
+    Gives those that this call committed: an experiment that another writer committed meanwhile is left to that one, whose
+    observations are the same.
+    """
     todo = todo.select("config", *ex.PARAMS, "rep")
+    batch, own = f"b{uuid.uuid4().hex}", _keys(todo)
     new = ex.simulate(todo, embeddings, seed).join(F.broadcast(todo), ["config", "rep"]).drop("config")
-    new.withColumn("run_at", F.current_timestamp()).write.mode("append").partitionBy(*ex.PARAMS).parquet(store)
+    new.withColumn("run_at", F.current_timestamp()).write.partitionBy(*ex.PARAMS).parquet(f"{store}/data/batch={batch}")
+    counted: list[list] = []
+
+    def decide(before: list[dict]) -> dict | None:
+        nonlocal counted
+        have = {tuple(x) for e in before for x in e["experiments"]}
+        counted = [x for x in own if tuple(x) not in have]
+        return {"batch": batch, "experiments": counted} if counted else None
+
+    commits.commit(spark, f"{store}/commits", decide)
+    return counted
 
 
 def _of_grid(rows: DataFrame, grid: DataFrame) -> DataFrame:
@@ -103,45 +146,76 @@ def _of_grid(rows: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def run_experiment(spark: SparkSession, store: str, grid: DataFrame, embeddings: DataFrame, seed: int = 42) -> DataFrame:
-    """One more repetition of each configuration of ``grid``, appended to the store; gives its observations.
+    """One more repetition of each configuration of ``grid``, committed to the store; gives its observations.
 
-    A repetition's number is one more than the largest that the store has of its configuration, from 0 on.
+    A repetition's number is one more than the largest that the store has of its configuration, from 0 on.  Where another
+    writer commits that repetition first, the next one is run.
     """
-    if exists(spark, store):
-        last = read_snapshot(spark, store).groupBy(*ex.PARAMS).agg(F.max("rep").alias("last"))
-        todo = grid.join(last, ex.PARAMS, "left").withColumn("rep", F.coalesce(F.col("last") + 1, F.lit(0))).drop("last")
-    else:
-        todo = grid.withColumn("rep", F.lit(0))
-    # the numbers as they are now: the store is read again below, when it has the new rows
-    todo = spark.createDataFrame(todo.select("config", *ex.PARAMS, "rep").collect(), f"{ex.GRID}, rep int")
-    _run(todo, embeddings, store, seed)
-    return _of_grid(read_snapshot(spark, store).join(F.broadcast(todo.select(*ex.PARAMS, "rep")), [*ex.PARAMS, "rep"], "left_semi"), grid)
+    left, mine = grid, []
+    while True:
+        have = [x for _, e in commits.entries(spark, f"{store}/commits") for x in e["experiments"]]
+        last = spark.createDataFrame([tuple(x) for x in have], EXPERIMENTS).groupBy(*ex.PARAMS).agg(F.max("rep").alias("last"))
+        todo = left.join(last, ex.PARAMS, "left").withColumn("rep", F.coalesce(F.col("last") + 1, F.lit(0)).cast("int")).drop("last")
+        mine += _run(spark, todo, embeddings, store, seed)
+        done = spark.createDataFrame([tuple(x) for x in mine], EXPERIMENTS)
+        left = grid.join(done, ex.PARAMS, "left_anti")
+        if left.isEmpty():
+            return _of_grid(read_store(spark, store).join(F.broadcast(done), [*ex.PARAMS, "rep"], "left_semi"), grid)
 
 
 def get_or_run(spark: SparkSession, store: str, grid: DataFrame, embeddings: DataFrame, reps: int, seed: int = 42) -> DataFrame:
-    """Observations of ``reps`` repetitions of each configuration; those that the store lacks are run and appended.
+    """Observations of ``reps`` repetitions of each configuration; those that the store lacks are run and committed.
 
     A configuration's draws depend on its parameters alone, so a repetition is the same whichever grid asked for it.
     """
-    if exists(spark, store):
-        have = read_snapshot(spark, store)
-        todo = ex.missing_reps(grid, reps, have)
-    else:
-        todo = ex.repetitions(grid, reps)
+    have = [tuple(x) for _, e in commits.entries(spark, f"{store}/commits") for x in e["experiments"]]
+    todo = ex.missing_reps(grid, reps, spark.createDataFrame(have, EXPERIMENTS))
     if not todo.isEmpty():
-        _run(todo, embeddings, store, seed)
-    return _of_grid(read_snapshot(spark, store).where(F.col("rep") < reps), grid)
+        _run(spark, todo, embeddings, store, seed)
+    return _of_grid(read_store(spark, store).where(F.col("rep") < reps), grid)
+
+
+#: A batch of the log has at most so many files, so the places of its rows (2**33 for each file) stay below 2**44.
+_FILES, _BATCH = 1024, 44
 
 
 def append_outcomes(outcomes: DataFrame, path: str) -> None:
-    """Append a batch of outcomes, with the time; later batches have larger ``seq``."""
+    """Append a batch of outcomes, with the time; ``seq`` is unique, and a batch that begins later has a larger one.
+
+    The batch's number is reserved before its rows are written, so two writers never share one, and a batch that is
+    broken off leaves a number unused.
+    """
     spark = outcomes.sparkSession
-    last = spark.read.schema(LOG).parquet(path).agg(F.max("seq")).first()[0] if exists(spark, path) else None
-    start = 0 if last is None else last + 1
-    rows = outcomes.select((F.monotonically_increasing_id() + start).alias("seq"), *[F.col(c.split()[0]) for c in LOG.split(", ")[1:-1]], F.current_timestamp().alias("logged_at"))
+    number = commits.commit(spark, f"{path}/_numbers", lambda before: {})
+    at = F.monotonically_increasing_id() + F.lit(number << _BATCH)
+    rows = outcomes.coalesce(_FILES).select(at.alias("seq"), *[F.col(c.split()[0]) for c in LOG.split(", ")[1:-1]], F.current_timestamp().alias("logged_at"))
     rows.write.mode("append").parquet(path)
 
 
+def record_of(config: int, rep: int, ndim: int, niter, stress, confdist, error) -> bytes:
+    """An outcome as the payload of a frame."""
+    head = json.dumps([int(config), int(rep), int(ndim), None if niter is None else int(niter), None if stress is None else float(stress), error]).encode()
+    return struct.pack("<I?", len(head), confdist is not None) + head + (b"" if confdist is None else np.asarray(confdist, "<f4").tobytes())
+
+
+def framed_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """(config, rep, ndim, niter, stress, confdist, error) of the sound records of a folder of frames, one for each task."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for payload in b["payload"].to_pylist():
+                size, known = struct.unpack_from("<I?", payload)
+                numbers = np.frombuffer(payload, "<f4", offset=5 + size) if known else None
+                rows.append((*json.loads(payload[5 : 5 + size]), numbers))
+            config, rep, ndim, niter, stress, error, confdist = zip(*rows, strict=True) if rows else ((),) * 7
+            ints = [pa.array(c, pa.int32()) for c in (config, rep, ndim, niter)]
+            yield pa.record_batch([*ints, pa.array(stress, pa.float64()), pa.array(confdist, pa.list_(pa.float32())), pa.array(error, pa.string())], ["config", "rep", "ndim", "niter", "stress", "confdist", "error"])
+
+    rows = frames.read_frames(spark, folder).mapInArrow(run, "config int, rep int, ndim int, niter int, stress double, confdist array<float>, error string")
+    return rows.dropDuplicates(["config", "rep", "ndim"])
+
+
 def compact(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """The row of the largest ``seq`` of each key: one hash aggregation, no sort of the log."""
     rest = [c for c in log.columns if c not in keys]
@@ -151,6 +225,7 @@ def compact(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 def load_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """The log's outcomes, the last one of each task; none if there is no log."""
-    if not exists(spark, path):
+    fs, p = path_of(spark, f"{path}/*.parquet")
+    if not fs.globStatus(p):
         return spark.createDataFrame([], LOG)
     return compact(spark.read.schema(LOG).parquet(path), ["config", "rep", "ndim"])

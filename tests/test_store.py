@@ -1,10 +1,12 @@
+import threading
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 
 from pairfold.operators import distances
 from pairfold.plans.study import Study, create_simulation
-from pairfold.sources import store
+from pairfold.sources import commits, frames, store
 from pairfold.streaming import log as stream
 
 TINY = Study(num_subjects=(2,), trials_per_subject=(2,), images_per_trial=(4,), subjects_noise_scale=(0.0,), subjects_noise_df=(1,), reps=2)
@@ -43,7 +45,7 @@ def test_one_more(spark, tmp_path):
     grid = TINY.grid(spark)
     for rep in range(3):
         assert {r["rep"] for r in store.run_experiment(spark, at, grid, vectors).collect()} == {rep}
-    rows = store.read_snapshot(spark, at)
+    rows = store.read_store(spark, at)
     assert rows.where("run_at is null").count() == 0
     assert store.get_or_run(spark, at, grid, vectors, reps=3).count() == rows.count()
     with pytest.raises(ValueError):
@@ -74,3 +76,110 @@ def test_log(spark, tmp_path):
     stream.follow(spark, at, str(tmp_path / "table"), str(tmp_path / "checkpoint")).awaitTermination(120)
     assert {r["rep"]: r["niter"] for r in stream.current(spark, str(tmp_path / "table")).collect()} == {0: 9, 1: 8}
     assert len(list((tmp_path / "table").glob("version=*"))) == 2
+
+
+def test_one_number_for_each_of_many_writers(spark, tmp_path):
+    at, got = f"file:{tmp_path}/numbers", []
+
+    def write(who):
+        for k in range(4):
+            got.append(commits.commit(spark, at, lambda before: {"who": who, "k": k, "before": len(before)}))
+
+    writers = [threading.Thread(target=write, args=(w,)) for w in range(4)]
+    [w.start() for w in writers]
+    [w.join() for w in writers]
+    assert sorted(got) == list(range(16))
+    found = commits.entries(spark, at)
+    assert [n for n, _ in found] == list(range(16)) and all(e["before"] == n for n, e in found)
+    assert {(e["who"], e["k"]) for _, e in found} == {(w, k) for w in range(4) for k in range(4)}
+    assert commits.commit(spark, at, lambda before: None) is None and len(commits.entries(spark, at)) == 16
+
+
+def test_two_sweeps_of_one_store(spark, tmp_path, monkeypatch):
+    """A writer that was overtaken leaves the experiments to the other one: none is lost, none is there twice."""
+    vectors, at, grid = distances.make_embeddings(spark, 10, 3), str(tmp_path / "store"), TINY.grid(spark)
+    commit, overtaken = commits.commit, []
+
+    def late(*args):
+        if not overtaken:
+            overtaken.append(1)
+            store.get_or_run(spark, at, grid, vectors, reps=1)
+        return commit(*args)
+
+    monkeypatch.setattr(commits, "commit", late)
+    both = store.get_or_run(spark, at, grid, vectors, reps=2)
+    alone = store.get_or_run(spark, str(tmp_path / "alone"), grid, vectors, reps=2)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, alone.collect()))
+    assert [len(e["experiments"]) for _, e in commits.entries(spark, f"{at}/commits")] == [1, 1]
+    overtaken.clear()
+
+    def one_more(*args):
+        if not overtaken:
+            overtaken.append(1)
+            store.run_experiment(spark, at, grid, vectors)
+        return commit(*args)
+
+    monkeypatch.setattr(commits, "commit", one_more)
+    assert {r["rep"] for r in store.run_experiment(spark, at, grid, vectors).collect()} == {3}
+    rows = store.read_store(spark, at)
+    assert rows.groupBy(*store.ex.PARAMS, "rep", "i", "j").count().where("count > 1").isEmpty() and {r["rep"] for r in rows.select("rep").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_uncommitted_files_are_not_read(spark, tmp_path):
+    vectors, at = distances.make_embeddings(spark, 10, 3), str(tmp_path / "store")
+    rows = sorted(map(tuple, store.get_or_run(spark, at, TINY.grid(spark), vectors, reps=1).collect()))
+    store.read_store(spark, at).write.partitionBy(*store.ex.PARAMS).parquet(f"{at}/data/batch=bad")
+    assert sorted(map(tuple, store.get_or_run(spark, at, TINY.grid(spark), vectors, reps=1).collect())) == rows
+    assert store.read_store(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_two_writers_of_one_log(spark, tmp_path):
+    at, schema = str(tmp_path / "log"), "config int, rep int, ndim int, niter int, stress double, confdist array<float>, error string"
+    write = lambda w: store.append_outcomes(spark.createDataFrame([(w, k, 2, 1, 0.5, None, None) for k in range(50)], schema), at)
+    writers = [threading.Thread(target=write, args=(w,)) for w in range(3)]
+    [w.start() for w in writers]
+    [w.join() for w in writers]
+    rows = spark.read.schema(store.LOG).parquet(at)
+    assert rows.count() == rows.select("seq").distinct().count() == store.load_outcomes(spark, at).count() == 150
+
+
+def test_torn_file_gives_its_prefix(spark, tmp_path):
+    """Cut off or damaged anywhere, a file gives exactly the records before that."""
+    sent = [b"one", b"", b"three" * 100, b"four"]
+    whole = b"".join(map(frames.frame, sent))
+    ends = [len(b"".join(map(frames.frame, sent[:k]))) for k in range(5)]
+    for n in range(len(whole) + 1):
+        assert list(frames.records(pa.BufferReader(whole[:n]))) == sent[: sum(e <= n for e in ends) - 1]
+    for at in range(0, len(whole), 7):
+        bad = whole[:at] + bytes([whole[at] ^ 0x10]) + whole[at + 1 :]
+        assert list(frames.records(pa.BufferReader(bad))) == sent[: sum(e <= at for e in ends) - 1]
+    folder = tmp_path / "frames"
+    assert frames.read_frames(spark, str(folder)).count() == 0
+    folder.mkdir()
+    (folder / "a.frames").write_bytes(whole)
+    (folder / "b.frames").write_bytes(whole[: ends[2] + 3])
+    (folder / "c.frames").write_bytes(b"\xff" * 50)
+    (folder / "d.frames").write_bytes(b"")
+    (folder / ".own.frames").write_bytes(whole)
+    rows = frames.read_frames(spark, str(folder), 2).collect()
+    assert sorted((r["file"], r["place"], bytes(r["payload"])) for r in rows) == sorted([("a.frames", k, p) for k, p in enumerate(sent)] + [("b.frames", k, p) for k, p in enumerate(sent[:2])])
+
+
+def test_records_of_outcomes(spark, tmp_path):
+    at = str(tmp_path / "solved")
+    assert store.framed_outcomes(spark, at).count() == 0
+    frames.write_record(at, "0-1-2", store.record_of(0, 1, 2, 7, 0.25, [1.5, 2.0], None))
+    frames.write_record(at, "0-1-3", store.record_of(0, 1, 3, None, None, None, "bad: é"))
+    frames.write_record(at, "0-1-3", store.record_of(0, 1, 3, None, None, None, "bad: é"))
+    (tmp_path / "solved" / "0-1-4.frames").write_bytes(frames.frame(store.record_of(0, 1, 4, 1, 0.5, [], None))[:-1])
+    got = {r["ndim"]: tuple(r) for r in store.framed_outcomes(spark, at).collect()}
+    assert got == {2: (0, 1, 2, 7, 0.25, [1.5, 2.0], None), 3: (0, 1, 3, None, None, None, "bad: é")}
+    frames.delete(at, ["0-1-2", "none"])
+    assert [r["ndim"] for r in store.framed_outcomes(spark, at).collect()] == [3]
+
+
+def test_claims(tmp_path):
+    at = str(tmp_path / "claims")
+    assert frames.claim(at, "t", "me", 60) and frames.claim(at, "t", "me", 60) and not frames.claim(at, "t", "you", 60)
+    assert frames.claim(at, "t", "you", 0) and not frames.claim(at, "t", "me", 60) and frames.claim(at, "u", "me", 60)
+    assert sorted(p.name for p in (tmp_path / "claims").iterdir()) == ["t", "u"]

@@ -1,4 +1,6 @@
 import math
+import shutil
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -133,23 +135,118 @@ def test_rank_edges(spark):
     assert abs(got[0][1] - math.sqrt(0.75)) < 1e-12  # ranks 1.5, 1.5, 3 and 1, 2, 3
 
 
+def listed(square):
+    """The pairs i < j of a square form and their values."""
+    i, j = np.triu_indices(len(square), 1)
+    return i, j, square[i, j]
+
+
+def smacof(d, w, *how, **more):
+    """The solver on square forms."""
+    i, j, values = listed(d)
+    return mds.smacof(len(d), i, j, values, w[i, j], *how, **more)
+
+
+def brute_smacof(d, w, ndim, max_iters, tol, x):
+    """Majorization by the whole inverse on square forms, from a start."""
+    n = len(d)
+    w = np.where(d > 0, w, 0.0)
+    delta = d * np.sqrt(n * (n - 1) / (w * d**2).sum())
+    inverse = np.linalg.pinv(np.diag(w.sum(1)) - w)
+    gaps = lambda x: np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    x = x * (w * delta * gaps(x)).sum() / (w * gaps(x) ** 2).sum()
+    off = lambda x: (w * (delta - gaps(x)) ** 2).sum() / (n * (n - 1))
+    for k in range(1, max_iters + 1):
+        g = gaps(x)
+        b = -np.divide(w * delta, g, out=np.zeros_like(g), where=g > 0)
+        np.fill_diagonal(b, -(b.sum(1) - np.diag(b)))
+        before, x = off(x), inverse @ (b @ x)
+        if before - off(x) < tol:
+            break
+    return k, np.sqrt(off(x)), x
+
+
+def brute_nonmetric(d, ndim, max_iters, tol, seed=42):
+    """The non-metric start with all pairs."""
+    n = len(d)
+    i, j, values = listed(d)
+    order = np.argsort(values, kind="stable")
+    order = order[values[order] > 0]
+    before, x = np.inf, np.random.default_rng(seed).standard_normal((n, ndim))
+    for _ in range(max_iters):
+        gaps = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
+        wanted = gaps.copy()
+        wanted[order] = mds.isotonic(gaps[order])
+        wanted *= np.sqrt((gaps**2).sum() / (wanted**2).sum())
+        stress = np.sqrt(((gaps - wanted) ** 2).sum() / (gaps**2).sum())
+        if before - stress < tol:
+            break
+        before, b = stress, np.zeros((n, n))
+        b[i, j] = -wanted / gaps
+        b += b.T
+        np.fill_diagonal(b, -b.sum(1))
+        x = b @ x / n
+    return x
+
+
+def some_pairs(n, share, seed):
+    """Noisy distances of points in space, a share of them observed, all points connected."""
+    rng = np.random.default_rng(seed)
+    y = rng.standard_normal((n, 4))
+    d = np.sqrt(((y[:, None] - y) ** 2).sum(-1)) * np.exp(0.2 * rng.standard_normal((n, n)))
+    w = np.triu(rng.random((n, n)) < share, 1).astype(float)
+    w[np.arange(n - 1), np.arange(1, n)] = 1
+    return np.triu(d, 1) + np.triu(d, 1).T, w + w.T
+
+
+@pytest.mark.parametrize("share", [0.02, 0.2, 1.0])
+def test_both_solvers_are_the_dense_one(share):
+    d, w = some_pairs(120, share, 8)
+    start = np.random.default_rng(1).standard_normal((120, 2))
+    niter, stress, x = brute_smacof(d, w, 2, 60, 1e-9, start)
+    for dense in (1000, 0):
+        got = smacof(d, w, 2, 60, 1e-9, start, dense=dense)
+        assert got[0] == niter and abs(got[1] - stress) < 1e-9 and np.abs(got[2] - x).max() < 1e-6
+
+
+def test_sparse_start_is_the_dense_one():
+    d, w = some_pairs(60, 0.3, 9)
+    d = d * (w > 0)
+    i, j, values = listed(d)
+    assert np.abs(mds.nonmetric_start(60, i, j, values, 2, 25, 1e-6) - brute_nonmetric(d, 2, 25, 1e-6)).max() < 1e-9
+
+
+def test_many_images_take_the_memory_of_their_pairs():
+    """20,000 images of which 1 % of pairs were observed: a square form would be 3.2 GB."""
+    n, rng = 20_000, np.random.default_rng(10)
+    i, j = rng.integers(0, n, (2, 2_000_000))
+    i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+    y = rng.standard_normal((n, 2))
+    d = mds.Pairs(n, i, j).gaps(y)
+    tracemalloc.start()
+    _, stress, x = mds.smacof(n, i, j, d, np.ones(len(d)), 2, 3, 0.0, y + 0.1 * rng.standard_normal(y.shape))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert stress < 0.1 and peak < 400e6
+
+
 def test_smacof_recovers_a_configuration():
     x = np.random.default_rng(0).standard_normal((40, 3))
     d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
     w = np.ones_like(d) - np.eye(40)
-    best = min(mds.smacof(d, w, 3, seed=s)[1] for s in range(5, 9))
+    best = min(smacof(d, w, 3, seed=s)[1] for s in range(5, 9))
     assert best < 5e-3  # stress falls by less than the tolerance from there on
-    niter, stress, _ = mds.smacof(d, w, 2, seed=5)
+    niter, stress, _ = smacof(d, w, 2, seed=5)
     assert stress > 0.05 and niter > 1
-    assert mds.smacof(d, w, 3, start=x)[1] < 1e-6  # from the solution it stays there
+    assert smacof(d, w, 3, start=x)[1] < 1e-6  # from the solution it stays there
 
 
 def test_smacof_of_closed_forms():
     """A triangle of equal sides lies flat without stress; on a line, equal distances of three points have a known one."""
     d = np.ones((3, 3)) - np.eye(3)
-    assert mds.smacof(d, d, 2, tol=1e-12, seed=1)[1] < 1e-5
+    assert smacof(d, d, 2, tol=1e-12, seed=1)[1] < 1e-5
     # points at -a, 0, a: disparities 1, gaps a, a, 2a, best a = 2/3: raw stress 2 * (1/3)**2 + (1/3)**2 = 1/3 of 3 pairs
-    assert abs(mds.smacof(d, d, 1, tol=1e-12, seed=1)[1] - math.sqrt(1 / 9)) < 1e-6
+    assert abs(smacof(d, d, 1, tol=1e-12, seed=1)[1] - math.sqrt(1 / 9)) < 1e-6
 
 
 def test_smacof_ends_where_stress_is_flat():
@@ -158,7 +255,7 @@ def test_smacof_ends_where_stress_is_flat():
     w = np.triu(rng.random((15, 15)) < 0.7, 1).astype(float)
     w[np.arange(14), np.arange(1, 15)] = 1  # connected
     w += w.T
-    _, stress, x = mds.smacof(d, w, 2, max_iters=5000, tol=1e-14, seed=3)
+    _, stress, x = smacof(d, w, 2, max_iters=5000, tol=1e-14, seed=3)
     delta = np.where(w > 0, d, 0) * np.sqrt(15 * 14 / 2 / ((w * d**2).sum() / 2))
 
     def raw(x):
@@ -184,12 +281,12 @@ def test_isotonic():
 def test_nonmetric_start(monkeypatch):
     x = np.random.default_rng(6).standard_normal((30, 2))
     d = np.sqrt(((x[:, None] - x) ** 2).sum(-1)) ** 3  # only the order counts
-    start = mds.nonmetric_start(d, 2, 50, 1e-6)
+    start = mds.nonmetric_start(30, *listed(d), 2, 50, 1e-6)
     gaps, upper = np.sqrt(((start[:, None] - start) ** 2).sum(-1)), np.triu_indices(30, 1)
     assert np.corrcoef(gaps[upper].argsort().argsort(), d[upper].argsort().argsort())[0, 1] > 0.9
     asked = []
-    monkeypatch.setattr(mds, "nonmetric_start", lambda d, ndim, n, tol: asked.append((n, tol)) or 1 / 0)
-    assert mds._start(d, 2, 1000, 1e-6) is None and mds._start(d, 2, 100, 0.1) is None  # so the start is random
+    monkeypatch.setattr(mds, "nonmetric_start", lambda n, i, j, d, ndim, cap, tol: asked.append((cap, tol)) or 1 / 0)
+    assert mds._start(30, *listed(d), 2, 1000, 1e-6) is None and mds._start(30, *listed(d), 2, 100, 0.1) is None  # so the start is random
     assert asked == [(50, 1e-6), (10, 1e-3)]
 
 
@@ -209,18 +306,53 @@ def test_scaling_sweep(spark):
     assert [tuple(r) for r in mds.failure_counts(stopped, 500).collect()] == [("connected components", 1, 100.0)]
 
 
+def _sweep_study(spark):
+    cloud = distances.make_embeddings(spark, 12, 3, seed=5)
+    study = Study(num_subjects=(6,), trials_per_subject=(6,), images_per_trial=(6,), subjects_noise_scale=(0.0,), subjects_noise_df=(5,), reps=2)
+    return study.observations(spark, cloud), study.experiments(spark), cloud
+
+
 def test_sweep_goes_on(spark, tmp_path, monkeypatch):
     """Tasks that the log has are not run again."""
     from pairfold.plans.study import sweep
 
-    cloud = distances.make_embeddings(spark, 12, 3, seed=5)
-    study = Study(num_subjects=(6,), trials_per_subject=(6,), images_per_trial=(6,), subjects_noise_scale=(0.0,), subjects_noise_df=(5,), reps=2)
-    how = (str(tmp_path / "log"), study.observations(spark, cloud), study.experiments(spark), cloud)
+    how = (str(tmp_path / "log"), *_sweep_study(spark))
     first = {(r["rep"], r["ndim"]): r["logged_at"] for r in sweep(spark, *how, 2).collect()}
     ran, run_mds = [], mds.run_mds
     monkeypatch.setattr(mds, "run_mds", lambda masked, tasks, *a, **b: ran.append(tasks.count()) or run_mds(masked, tasks, *a, **b))
     both = {(r["rep"], r["ndim"]): r["logged_at"] for r in sweep(spark, *how, 3).collect()}
     assert ran == [2] and len(both) == 4 and all(both[k] == t for k, t in first.items())
+    assert not list((tmp_path / "log/_solved").iterdir())
+
+
+def test_broken_sweep_keeps_what_was_solved(spark, tmp_path, monkeypatch):
+    """The job fails at one task: the others' outcomes are in the log after the next sweep, which runs that one alone."""
+    from pairfold.plans.study import sweep
+
+    how = (str(tmp_path / "log"), *_sweep_study(spark))
+    (tmp_path / "log/_solved/0-1-3.frames/in the way").mkdir(parents=True)  # so the executor can't put its record there
+    with pytest.raises(Exception, match="0-1-3"):
+        sweep(spark, *how, 3, claim_seconds=0)
+    shutil.rmtree(tmp_path / "log/_solved/0-1-3.frames")
+    left = sorted(p.name for p in (tmp_path / "log/_solved").glob("[0-9]*"))
+    assert left and "0-1-3.frames" not in left
+    (tmp_path / "log/_solved/0-0-2.frames").write_bytes(b"torn")  # whatever was there is run again
+    ran, run_mds = [], mds.run_mds
+    monkeypatch.setattr(mds, "run_mds", lambda masked, tasks, *a, **b: ran.extend(map(tuple, tasks.select("config", "rep", "ndim").collect())) or run_mds(masked, tasks, *a, **b))
+    rows = sweep(spark, *how, 3, claim_seconds=0).collect()
+    assert {(r["rep"], r["ndim"]) for r in rows} == {(a, b) for a in (0, 1) for b in (2, 3)} and all(r["error"] is None for r in rows)
+    assert set(ran) == {(0, 0, 2), (0, 1, 3)} | {(0, a, b) for a in (0, 1) for b in (2, 3) if f"0-{a}-{b}.frames" not in left}
+
+
+def test_sweep_leaves_claimed_tasks_and_ends_long_ones(spark, tmp_path):
+    from pairfold.plans.study import sweep
+    from pairfold.sources import frames
+
+    log, *how = str(tmp_path / "log"), *_sweep_study(spark)
+    assert frames.claim(f"{log}/_claims", "0-0-2", "another", 1e6)
+    rows = sweep(spark, log, *how, 2, max_seconds=0.0).collect()
+    assert [(r["rep"], r["error"]) for r in rows] == [(1, "TimeoutError: not at an end after 0 seconds")]
+    assert [r["rep"] for r in sweep(spark, log, *how, 2, claim_seconds=0).where("error is null").collect()] == [0]
 
 
 def test_status(spark):
