@@ -93,7 +93,8 @@ def numbered(embeddings: DataFrame, span: int = 4096) -> DataFrame:
 
 def condensed_index(i: Column, j: Column, n: Column) -> Column:
     """Place of pair i < j in the condensed order of n images numbered from 0."""
-    return (n * i - (i * (i + 1)) / F.lit(2) + (j - i - 1)).cast("long")
+    i, j, n = (c.cast("long") for c in (i, j, n))
+    return n * i - F.shiftright(i * (i + 1), 1) + (j - i - 1)
 
 
 def condensed(square: DataFrame, value: str = "d") -> DataFrame:

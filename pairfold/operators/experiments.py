@@ -24,9 +24,9 @@ def check_params(num_subjects: int, trials_per_subject: int, images_per_trial: i
     """Raises ValueError for parameters that no experiment can have."""
     for name, value in (("num_subjects", num_subjects), ("trials_per_subject", trials_per_subject), ("subjects_noise_df", subjects_noise_df)):
         if value <= 0:
-            raise ValueError(f"{name} must be positive (got {value})")
+            raise ValueError(f"an experiment needs {name} > 0, not {value}")
     if subjects_noise_scale < 0:
-        raise ValueError(f"subjects_noise_scale must be non-negative (got {subjects_noise_scale})")
+        raise ValueError(f"noise can't be scaled by {subjects_noise_scale}, as that is below 0")
     if images_per_trial <= 0:
         raise ValueError(f"a trial needs at least one image (got images_per_trial={images_per_trial})")
     if n_images is not None and images_per_trial >= n_images:

@@ -347,9 +347,24 @@ def condensed_view(spark: SparkSession, d: str) -> DataFrame:
     return distances.condensed(square_view(spark, d))
 
 
-@query(f"WITH {_GRID} SELECT * FROM grid")
+_OWN_GRID = """
+    own AS (
+        SELECT (row_number() OVER (ORDER BY num_subjects, subjects_noise_scale, subjects_noise_df) - 1)::INT AS config, num_subjects, 5 AS trials_per_subject, 10 AS images_per_trial, subjects_noise_scale, subjects_noise_df
+        FROM (SELECT DISTINCT l_linenumber::INT AS num_subjects FROM lineitem), (SELECT DISTINCT l_discount::DOUBLE AS subjects_noise_scale FROM lineitem), (SELECT DISTINCT (l_suppkey % 5 + 1)::INT AS subjects_noise_df FROM lineitem)
+    )
+"""
+
+
+def _own_grid(spark, d):
+    """All combinations of the parameter values that the order lines have."""
+    rows = study.table(spark, d, "lineitem").agg(F.collect_set(F.col("l_linenumber").cast("int")), F.collect_set(F.col("l_discount").cast("double")), F.collect_set((F.col("l_suppkey") % 5 + 1).cast("int")))
+    subjects, scales, dfs = map(sorted, rows.first())
+    return ex.param_grid(spark, subjects, (5,), (10,), scales, dfs)
+
+
+@query(f"WITH {_OWN_GRID} SELECT * FROM own")
 def param_grid(spark: SparkSession, d: str) -> DataFrame:
-    return MAIN.grid(spark)
+    return _own_grid(spark, d)
 
 
 @query(f"WITH {_GRID}, m AS (SELECT max(len(embedding)) AS m FROM embeddings) SELECT e.*, unnest(range(2, m + 1))::INT AS ndim FROM experiments e, m")
@@ -383,11 +398,13 @@ def pair_observations(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_observations(spark, d), 5)
 
 
-@query(f"WITH {_GRID} SELECT * FROM experiments WHERE NOT (config < 4 AND rep < 2)")
+@query(f"""WITH {_OWN_GRID}, wanted AS (SELECT own.*, unnest(range(0, 97))::INT AS rep FROM own)
+    SELECT * FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber = num_subjects AND l_discount = subjects_noise_scale AND l_suppkey % 5 + 1 = subjects_noise_df AND l_orderkey % 97 = rep)""")
 def missing_reps(spark: SparkSession, d: str) -> DataFrame:
-    """A store that has the first two repetitions of half the configurations is topped up to all three."""
-    have = MAIN.experiments(spark).where("config < 4 and rep < 2")
-    return ex.missing_reps(MAIN.grid(spark), MAIN.reps, have)
+    """A store whose repetitions are those that the order lines have is topped up to 97 of each configuration."""
+    names = [F.col("l_linenumber").cast("int"), F.lit(5), F.lit(10), F.col("l_discount").cast("double"), (F.col("l_suppkey") % 5 + 1).cast("int")]
+    have = study.table(spark, d, "lineitem").select(*[c.alias(p) for c, p in zip(names, ex.PARAMS, strict=True)], (F.col("l_orderkey") % 97).cast("int").alias("rep"))
+    return ex.missing_reps(_own_grid(spark, d), 97, have)
 
 
 _STORED = "config, rep, i, j, round(dist_sum, 5) AS dist_sum, n_obs, num_subjects, trials_per_subject, images_per_trial, subjects_noise_scale, subjects_noise_df"
@@ -715,7 +732,7 @@ def facet_means(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(plots.on_facets(rows, MAIN.grid(spark)))
 
 
-@query(f"""WITH {_GRID} SELECT num_subjects, subjects_noise_scale, subjects_noise_df FROM (SELECT DISTINCT num_subjects FROM grid),
-    (SELECT DISTINCT subjects_noise_scale, subjects_noise_df FROM grid)""")
+@query(f"""WITH {_OWN_GRID} SELECT num_subjects, subjects_noise_scale, subjects_noise_df FROM (SELECT DISTINCT num_subjects FROM own),
+    (SELECT DISTINCT subjects_noise_scale, subjects_noise_df FROM own)""")
 def facet_grid(spark: SparkSession, d: str) -> DataFrame:
-    return plots.facets(MAIN.grid(spark))
+    return plots.facets(_own_grid(spark, d))

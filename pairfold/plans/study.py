@@ -65,8 +65,9 @@ def create_simulation(spark: SparkSession, folder: str, n_images: int, n_dims: i
 def scaling_outcomes(spark: SparkSession, vectors: DataFrame, study: Study = MAIN, max_dims: int | None = None, max_iters: int = MAX_ITERS, tol: float = 1e-6, precalc_init: bool = False) -> DataFrame:
     """Outcomes of the scaling sweep over a study: mask, gate, solver, failures as rows; up to the vectors' own dimensions if none are given."""
     max_dims = distances.size_of(vectors).first()["dimensions"] if max_dims is None else max_dims
-    experiments = study.experiments(spark)
-    masked = mds.mask(study.observations(spark, vectors))
+    experiments, at = study.experiments(spark), scratch(spark, "observed")
+    study.observations(spark, vectors).write.mode("overwrite").parquet(at)  # the gate and the solver read them
+    masked = mds.mask(spark.read.parquet(at))
     gates = mds.gate(masked, experiments, vectors)
     return mds.run_mds(masked, ex.mds_tasks(experiments, max_dims), gates, max_iters, tol, precalc_init, study.seed)
 
