@@ -79,16 +79,36 @@ def distance_spread(embeddings: DataFrame, per_block: int = 512) -> DataFrame:
     return sums.select("pairs", F.sqrt(F.try_divide(F.greatest(square, F.lit(0.0)), F.col("pairs"))).alias("sd"))
 
 
-def numbered(embeddings: DataFrame, span: int = 4096) -> DataFrame:
-    """(img, place): images numbered from 0 in the order of their ids.
+#: Parts that a range of ids is cut into, and each of these again.
+PARTS, FINER = 4096, 64
 
-    Ids are numbered within stretches of ``span`` ids; the running count of stretches alone is made in one task.
+
+def _part(img: str, low: str, high: str, parts: int) -> Column:
+    """Which of ``parts`` equal parts of low..high an id is in: never falls as ids rise, whatever rounding does."""
+    low, high = F.col(low).cast("double"), F.col(high).cast("double")
+    share = (F.col(img).cast("double") - low) / (high - low)
+    return F.when(low == high, 0).otherwise(F.least(F.lit(parts - 1), F.floor(share * parts))).cast("int")
+
+
+def numbered(embeddings: DataFrame) -> DataFrame:
+    """(img, place): images numbered from 0 in the order of their ids, repeated ids one after the other; null ids have no place.
+
+    The range of ids is cut into PARTS, and that of each part's own ids into FINER, so sparse ids and dense ones with some far
+    off spread alike.  What lies before a part comes from tables of at most PARTS and PARTS * FINER counts, which are
+    broadcast; ids are sorted within the finer parts alone.
     """
-    own = embeddings.select(F.col("img").cast("long").alias("img")).withColumn("stretch", F.floor(F.col("img") / span))
-    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.groupBy("stretch").agg(F.count("*").alias("n")).select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    turn = F.row_number().over(Window.partitionBy("stretch").orderBy("img"))
-    return own.withColumn("turn", turn).join(starts, "stretch").select("img", (F.col("start") + F.col("turn") - 1).alias("place"))
+    ids = embeddings.select(F.col("img").cast("long").alias("img")).where("img is not null")
+    ends = ids.agg(F.min("img").alias("low"), F.max("img").alias("high"))
+    own = ids.join(F.broadcast(ends)).select("img", _part("img", "low", "high", PARTS).alias("part"))
+    parts = own.groupBy("part").agg(F.min("img").alias("low"), F.max("img").alias("high"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.join(F.broadcast(parts.select("part", "low", "high", before.alias("before"))), "part").withColumn("finer", _part("img", "low", "high", FINER))
+    finer = own.groupBy("part", "finer").agg(F.first("before").alias("before"), F.count("*").alias("n"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("finer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = finer.select("part", "finer", (F.col("before") + within).alias("start"))
+    turn = F.row_number().over(Window.partitionBy("part", "finer").orderBy("img"))
+    placed = own.select("part", "finer", "img").join(F.broadcast(starts), ["part", "finer"])
+    return placed.select("img", (F.col("start") + turn - 1).alias("place"))
 
 
 def condensed_index(i: Column, j: Column, n: Column) -> Column:

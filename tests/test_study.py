@@ -100,6 +100,15 @@ def test_coverage_identities(spark, vectors, observed):
         assert r["num_connected_components"] >= 1 + round(N * (1 - r["img_coverage"] / 100))
 
 
+def test_numbers_of_sparse_ids(spark):
+    """Hashes over the whole range, a dense run with ids far off, repeated and null ids, one id, none."""
+    rng = np.random.default_rng(3)
+    far = [-(1 << 63), (1 << 63) - 1]
+    for ids in (rng.integers(-(1 << 63), 1 << 63, 3000).tolist(), [*range(2000), *far], [5, 5, 7, None, 5], [9], [], far):
+        got = distances.numbered(spark.createDataFrame([(i,) for i in ids], "img long")).collect()
+        assert sorted((r["place"], r["img"]) for r in got) == list(enumerate(sorted(i for i in ids if i is not None)))
+
+
 def test_noise_means(spark, vectors):
     spread = distances.distance_spread(vectors)
     sd = spread.first()["sd"]
