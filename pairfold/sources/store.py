@@ -1,4 +1,4 @@
-"""Simulation snapshots, the result store and the append log of scaling outcomes, all as Parquet."""
+"""Simulation snapshots, the result store with numbered commits, and the append log of scaling outcomes, as Parquet."""
 
 from __future__ import annotations
 
