@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.functions.stats import average_rank, pearson, percent, sem
+from pairfold.functions.stats import average_rank, pearson, sem
 from pairfold.operators.experiments import PARAMS
 
 EXPERIMENT = ["config", "rep"]
@@ -114,8 +114,3 @@ def describe(rows: DataFrame, column: str) -> DataFrame:
     q = F.percentile(column, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
     out = rows.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
     return out.select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
-
-
-def observed_share(observations: DataFrame, keys: list[str] = EXPERIMENT) -> DataFrame:
-    """(keys, percent_missing): observed pairs whose distance is missing, in percent."""
-    return observations.groupBy(*keys).agg(percent(F.col("dist_sum").isNull()).alias("percent_missing"))

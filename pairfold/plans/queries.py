@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairfold.functions import paths
 from pairfold.operators import catalogue as cat
 from pairfold.operators import distances, mds, metrics
 from pairfold.operators import experiments as ex
@@ -255,6 +256,22 @@ def newick(spark: SparkSession, d: str) -> DataFrame:
     return cat.newick(cat.as_counts(study.stand_in_catalogue(spark, d)))
 
 
+@query(f"WITH {_IMAGES}, {_fold(4)} SELECT text || ';' AS newick FROM t0")
+def newick_file(spark: SparkSession, d: str) -> DataFrame:
+    """The tree's Newick text as a file, read again."""
+    at = f"{study.scratch(spark, 'newick')}/tree"
+    cat.write_newick(cat.as_counts(study.stand_in_catalogue(spark, d)), at)
+    return spark.read.text(at).withColumnRenamed("value", "newick")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus != 'F' THEN o_clerk || '/' || o_orderkey || '.png' END AS path FROM (SELECT o_orderkey, o_orderstatus, 'c' || (o_custkey % 10) AS o_clerk FROM orders)""")
+def relative_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths made from orders: those of one status lie outside the base folder, though their names begin alike."""
+    name = F.concat(F.lit("c"), (F.col("o_custkey") % 10).cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".png"))
+    path = F.concat(F.when(F.col("o_orderstatus") == "F", "/images-old/").when(F.col("o_orderkey") % 2 == 0, "/images//").otherwise("/images/"), name)
+    return study.table(spark, d, "orders").select("o_orderkey", paths.relative(path, F.lit("/images/")).alias("path"))
+
+
 @query(f"""WITH {_IMAGES}, named_nodes AS (SELECT node, coalesce(node[-1], 'ROOT') || '-' || n AS name FROM nodes)
     SELECT c.name, p.name AS parent FROM named_nodes c LEFT JOIN named_nodes p ON len(c.node) > 0 AND p.node = c.node[:-2]""")
 def parsed_newick(spark: SparkSession, d: str) -> DataFrame:
@@ -436,6 +453,15 @@ def one_more_repetition(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(store.run_experiment(spark, at, MAIN.grid(spark), vectors, MAIN.seed), 5)
 
 
+@query(f"WITH {_OBSERVED} SELECT {_STORED} FROM observed JOIN grid USING (config) WHERE num_subjects = 6 AND subjects_noise_scale = 0.5 AND subjects_noise_df = 1")
+def stored_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """One configuration of a store that has the whole study."""
+    at, grid = f"{study.scratch(spark, 'store')}/store", MAIN.grid(spark)
+    store.get_or_run(spark, at, grid, _vectors(spark, d), MAIN.reps, MAIN.seed)
+    found = store.get_experiment(store.read_store(spark, at), num_subjects=6, subjects_noise_scale=0.5, subjects_noise_df=1)
+    return _rounded(found.join(F.broadcast(grid), ex.PARAMS), 5).select("config", "rep", "i", "j", "dist_sum", "n_obs", *ex.PARAMS)
+
+
 # --- metrics ----------------------------------------------------------------------------------------------------------
 
 

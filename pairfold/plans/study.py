@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairfold.functions.draws import draw_key, uniform
-from pairfold.operators import distances, mds, metrics
+from pairfold.operators import distances, mds
 from pairfold.operators import experiments as ex
 from pairfold.sources import frames, images, store
 
@@ -169,7 +169,3 @@ def stand_in_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = last.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("v", F.round(common + own, 6).cast("float"))
     found = long.where("error is null").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("confdist"))
     return last.join(found, "seq", "left").select("config", "rep", "ndim", "niter", "stress", "confdist", "error")
-
-
-def stand_in_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.coverage(MAIN.observations(spark, image_vectors(spark, sf_dir)), image_vectors(spark, sf_dir))
