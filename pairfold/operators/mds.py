@@ -15,9 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.functions.stats import pearson, sem
+from pairfold.functions.stats import sem
+from pairfold.operators import ranks
 from pairfold.operators.experiments import PARAMS
-from pairfold.operators.metrics import EXPERIMENT, connected_components, ranked
+from pairfold.operators.metrics import EXPERIMENT, connected_components
 
 OUTCOME = "niter int, stress double, confdist array<float>, error string"
 
@@ -321,12 +322,7 @@ def scree(outcomes: DataFrame, grid: DataFrame, max_iters: int) -> DataFrame:
 
 def embedding_correlations(outcomes: DataFrame, max_iters: int) -> DataFrame:
     """(config, ndim, rep1, rep2, n, r): rank correlations of the configurations' distances between repetitions."""
-    long = successes(outcomes, max_iters).select("config", "ndim", "rep", F.posexplode("confdist").alias("place", "v"))
-    x = long.select("config", "ndim", F.col("rep").alias("rep1"), "place", F.col("v").alias("x"))
-    y = long.select("config", "ndim", F.col("rep").alias("rep2"), "place", F.col("v").alias("y"))
-    keys = ["config", "ndim", "rep1", "rep2"]
-    joint = x.join(y, ["config", "ndim", "place"]).where("rep1 < rep2")
-    return ranked(joint, keys).groupBy(*keys).agg(F.count("*").alias("n"), pearson(F.col("rx"), F.col("ry")).alias("r"))
+    return ranks.array_correlations(successes(outcomes, max_iters), ["config", "ndim"], "rep", "confdist")
 
 
 def embedding_stability(outcomes: DataFrame, grid: DataFrame, max_iters: int) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.functions.stats import average_rank, pearson, sem
+from pairfold.functions.stats import sem
+from pairfold.operators import ranks
 from pairfold.operators.experiments import PARAMS
 
 EXPERIMENT = ["config", "rep"]
@@ -91,26 +92,12 @@ def joint_pairs(means: DataFrame) -> DataFrame:
     return x.join(y, ["config", "i", "j"]).where("rep1 < rep2").select("config", "rep1", "rep2", "i", "j", "x", "y")
 
 
-def ranked(joint: DataFrame, keys: list[str]) -> DataFrame:
-    """Joint pairs with average ranks rx and ry within each comparison."""
-    return joint.withColumn("rx", average_rank("x", *keys)).withColumn("ry", average_rank("y", *keys))
-
-
 def spearman(joint: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, n, r): rank correlations; comparisons of fewer than two pairs have no row, constant ones a null r."""
-    keys = keys or ["config", "rep1", "rep2"]
-    found = ranked(joint, keys).groupBy(*keys).agg(F.count("*").alias("n"), pearson(F.col("rx"), F.col("ry")).alias("r"))
-    return found.where("n >= 2")
+    return ranks.spearman(joint, keys or ["config", "rep1", "rep2"]).where("n >= 2")
 
 
 def stability(correlations: DataFrame, grid: DataFrame) -> DataFrame:
     """(params, r_mean, r_sem): configurations without any correlation stay, with nulls."""
     means = correlations.groupBy("config").agg(F.avg("r").alias("r_mean"), sem(F.col("r")).alias("r_sem"))
     return grid.join(means, "config", "left").select(F.col("num_subjects").alias("n_subjects"), *PARAMS[1:], "r_mean", "r_sem")
-
-
-def describe(rows: DataFrame, column: str) -> DataFrame:
-    """One row: count, mean, std (ddof 1), min, exact quartiles, max; nulls don't count."""
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    out = rows.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
-    return out.select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairfold.functions import paths
 from pairfold.operators import catalogue as cat
-from pairfold.operators import distances, mds, metrics
+from pairfold.operators import distances, mds, metrics, ranks
 from pairfold.operators import experiments as ex
 from pairfold.plans import picture_files, plots, study
 from pairfold.plans.study import CONNECTED, CONNECTED_TOL, MAIN, MAX_ITERS, Study
@@ -500,7 +500,7 @@ def mean_distances(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_JOINT} SELECT config, rep1, rep2, i, j, rx, ry FROM ranked")
 def average_rank(spark: SparkSession, d: str) -> DataFrame:
     joint = metrics.joint_pairs(metrics.mean_distances(_observations(spark, d)))
-    return metrics.ranked(joint, ["config", "rep1", "rep2"]).select("config", "rep1", "rep2", "i", "j", "rx", "ry")
+    return ranks.ranked(joint, ["config", "rep1", "rep2"], ["x", "y"]).select("config", "rep1", "rep2", "i", "j", "rx", "ry")
 
 
 def _correlations(spark, d):
@@ -532,7 +532,38 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_JOINT} SELECT count(r) AS count, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS min, round(quantile_cont(r, 0.25), 6) AS q25,
     round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75, round(max(r), 6) AS max FROM correlations""")
 def describe_corrs(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.describe(_correlations(spark, d), "r"))
+    return _rounded(ranks.describe(_correlations(spark, d), "r"))
+
+
+_PLACED = """placed AS (
+    SELECT *, rank() OVER (PARTITION BY l_linestatus ORDER BY x) + (count(*) OVER (PARTITION BY l_linestatus, x) - 1) / 2::DOUBLE AS rx,
+        rank() OVER (PARTITION BY l_linestatus ORDER BY y) + (count(*) OVER (PARTITION BY l_linestatus, y) - 1) / 2::DOUBLE AS ry
+    FROM (SELECT l_linestatus, l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)
+)"""
+#: So few rows a range that the smallest tables have some.
+_RANGE = 1 << 11
+
+
+def _items(spark, d):
+    return study.table(spark, d, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+
+
+@query(f"WITH {_PLACED} SELECT l_linestatus, l_orderkey, l_linenumber, rx, ry FROM placed")
+def ranks_by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Average ranks of two comparisons over all order lines, by ranges: one side has 50 values, so ties are in many ranges."""
+    return ranks.ranked(_items(spark, d), ["l_linestatus"], ["x", "y"], _RANGE).select("l_linestatus", "l_orderkey", "l_linenumber", "rx", "ry")
+
+
+@query(f"WITH {_PLACED} SELECT l_linestatus, count(*) AS n, round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 6) AS r FROM placed GROUP BY ALL")
+def correlation_by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ranks.spearman(_items(spark, d), ["l_linestatus"], per_part=_RANGE))
+
+
+@query("""SELECT count(v) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, min(v) AS min, round(quantile_cont(v, 0.25), 4) AS q25,
+    round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75, max(v) AS max FROM (SELECT l_extendedprice::DOUBLE AS v FROM lineitem)""")
+def describe_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Quartiles of all prices by steps of counts; no buffer holds more than 1,024 values."""
+    return _rounded(ranks.describe(study.table(spark, d, "lineitem"), "l_extendedprice", held=1 << 10), 4)
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity) / sqrt(count(*)), 6) AS sem FROM lineitem GROUP BY 1, 2""")
@@ -716,7 +747,7 @@ def embedding_stability(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_SUCCESS} SELECT count(r) AS count, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS min, round(quantile_cont(r, 0.25), 6) AS q25,
     round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75, round(max(r), 6) AS max FROM corrs""")
 def describe_embedding_corrs(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.describe(mds.embedding_correlations(_outcomes(spark, d), MAX_ITERS), "r"))
+    return _rounded(ranks.describe(mds.embedding_correlations(_outcomes(spark, d), MAX_ITERS), "r"))
 
 
 # --- figures ----------------------------------------------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pairfold.functions.draws import draw_key, uniform
 from pairfold.operators import distances, mds
 from pairfold.operators import experiments as ex
+from pairfold.session import scratch
 from pairfold.sources import frames, images, store
 
 
@@ -110,21 +110,6 @@ def sweep(spark: SparkSession, log: str, observations: DataFrame, experiments: D
     return store.load_outcomes(spark, log)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a query that writes and reads again, in the shared folder of the session; its own one only in local mode."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = f"file://{tempfile.gettempdir()}/scratch"
-    own = f"{at.rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(own)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return own
-
-
 def stand_in_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, height, width, n_channels): paths of three depths made from parts, customers and suppliers."""
     part = table(spark, sf_dir, "part").select(

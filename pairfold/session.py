@@ -1,8 +1,11 @@
-"""Session settings that the engine is written for."""
+"""Session settings that the engine is written for, and the folder for tables that are written and read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution re-plans joins and splits skewed partitions; UTC keeps results equal everywhere.
 SETTINGS = {
@@ -15,3 +18,25 @@ SETTINGS = {
 
 def get_session(app: str = "pairfold", **more: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=SETTINGS | more).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query that writes and reads again, in the shared folder of the session; its own one only in local mode."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"file://{tempfile.gettempdir()}/scratch"
+    own = f"{at.rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return own
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again: it is worked out once, and a lost executor loses none of it."""
+    at = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
