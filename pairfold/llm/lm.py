@@ -323,23 +323,30 @@ def vocabulary(counts: DataFrame, docs: int, known: int, classes: int, members:
     return Vocabulary([(bytes(r["word"]), r["c"]) for r in top], [tails.get(k, (0, 0)) for k in range(TAILS)], total, distinct, docs, classes, members)
 
 
-def _train_round(rows: DataFrame, vocab, start: bytes, hidden: int, lanes: int, steps: int, rate: float, block: int) -> bytes:
-    """One pass of every task over its encoded texts from the same weights; the mean of the weights by tokens seen."""
+def _train_round(rows: DataFrame, vocab, start: bytes, hidden: int, lanes: int, steps: int, rate: float, block: int, shards: int) -> bytes:
+    """One pass over the encoded texts (shard, place, tokens), each shard from the same weights; their mean by tokens seen.
+
+    A shard's texts come in the order of their places and are read as they come, in blocks, so a task holds one block.
+    """
 
     def run(batches):
         v = vocab.value
-        net, seen, docs, held = Network(v, hidden).unpack(start), 0, [], 0
-        for (texts,) in blocks(batches, ["tokens"]):
-            for tokens in texts:
+        net, own, seen, docs, held = None, None, 0, [], 0
+        for numbers, texts in blocks(batches, ["shard", "tokens"]):
+            for k, tokens in zip(numbers, texts, strict=True):
+                if k != own or held >= block:
+                    if net:
+                        read(net, docs, lanes, steps, rate)
+                    seen, docs, held = seen + held, [], 0
+                if k != own:
+                    if net:
+                        yield pa.record_batch([pa.array([float(seen)]), pa.array([net.pack()], pa.binary())], ["seen", "weights"])
+                    net, own, seen = Network(v, hidden).unpack(start), k, 0
                 docs.append(np.frombuffer(tokens, "<u2").astype(np.int64))
                 held += len(docs[-1])
-            if held >= block:
-                read(net, docs, lanes, steps, rate)
-                seen, docs, held = seen + held, [], 0
-        read(net, docs, lanes, steps, rate)
-        seen += held
-        if seen:
-            yield pa.record_batch([pa.array([float(seen)]), pa.array([net.pack()], pa.binary())], ["seen", "weights"])
+        if net:
+            read(net, docs, lanes, steps, rate)
+            yield pa.record_batch([pa.array([float(seen + held)]), pa.array([net.pack()], pa.binary())], ["seen", "weights"])
 
     def add(batches):
         total, seen = 0.0, 0.0
@@ -350,13 +357,14 @@ def _train_round(rows: DataFrame, vocab, start: bytes, hidden: int, lanes: int,
             yield pa.record_batch([pa.array([seen]), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["seen", "weights"])
 
     parts = max(1, math.isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    trained = rows.select("tokens").mapInArrow(run, "seen double, weights binary")
+    dealt = rows.select("shard", "place", "id", "tokens").repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "id", "tokens")
+    trained = dealt.select("shard", "tokens").mapInArrow(run, "seen double, weights binary")
     found = trained.repartition(parts).mapInArrow(add, "seen double, weights binary").collect()  # bounded by the root of the shuffle partitions
     seen = sum(r["seen"] for r in found)
     return start if not seen else sum(np.frombuffer(r["weights"], "<f4") * (r["seen"] / seen) for r in found).astype("<f4").tobytes()
 
 
-def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", known: int = 200_000, classes: int = 32, members: int = 64, hidden: int = 16, rounds: int = 2, rate: float = 0.03, train_lanes: int = 256, train_steps: int = 32, lanes: int = 256, steps: int = 64, block: int = 1 << 22) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", known: int = 200_000, classes: int = 32, members: int = 64, hidden: int = 16, rounds: int = 2, rate: float = 0.03, train_lanes: int = 256, train_steps: int = 32, lanes: int = 256, steps: int = 64, block: int = 1 << 22, shard: int = 1 << 22) -> DataFrame:
     """One row per row of ``docs``: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     ``held_out`` is a boolean column; all other rows are learned from, whole and each in one of ``rounds`` rounds.  Tokens
@@ -364,6 +372,10 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     base_score is the log10 probability by add-0.1 counts of all training tokens; score is the network's.  With nothing to
     learn from, all counts are 0.  Repeated rows and null ids each give a row; an empty table gives none.
 
+    A round's texts are dealt by a hash of id and text into shards of about ``shard`` tokens, in which they have a fixed order.
+    A shard is trained by one task from the round's weights, and the shards' weights are averaged, so the scores are the same,
+    to rounding, whatever the input's partitions are; more input means more shards, not larger ones.
+
     The most frequent ``known`` words go to every task with their counts, a bound that does not depend on the input; the
     counts of all other words are looked up by a join.
     """
@@ -399,9 +411,10 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base double, shares double, tokens binary, words array<binary>, times array<int>"
     encoded = save(rows.mapInArrow(encode, schema), "encoded")
     weights = Network(vocab.value, hidden).pack()
-    turn = F.pmod(F.xxhash64("id", "tokens"), F.lit(rounds))
+    place, shards = F.xxhash64("id", "tokens"), max(1, round(vocab.value.total / rounds / shard))
+    texts = encoded.where(~F.col("held_out")).select("id", "tokens", place.alias("place"), F.pmod(place, F.lit(rounds)).alias("turn"), F.pmod(F.shiftright(place, 16), F.lit(shards)).cast("int").alias("shard"))
     for k in range(rounds):
-        weights = _train_round(encoded.where(~F.col("held_out") & (turn == k)), vocab, weights, hidden, train_lanes, train_steps, rate, block)
+        weights = _train_round(texts.where(F.col("turn") == k), vocab, weights, hidden, train_lanes, train_steps, rate, block, shards)
 
     def score(batches):
         net = Network(vocab.value, hidden).unpack(weights)

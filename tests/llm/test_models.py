@@ -277,6 +277,17 @@ def test_training_beats_counts_on_held_out_texts(spark):
     assert rows[0] > rows[1]
 
 
+@pytest.mark.parametrize("shard", [1 << 22, 3000])
+def test_scores_do_not_depend_on_partitions(spark, shard):
+    """One shard a round or several, texts in other partitions and another order, with repeated rows and null ids among them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id < 9").selectExpr("CAST(NULL AS LONG) AS doc_id", "text"))
+    found = [sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score_documents(docs.repartition(n), lm.held_out_part(), shard=shard).collect()) for n in (1, 6, 64)]
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert max(abs(x[2] - y[2]) / abs(y[2]) for x, y in zip(other, found[0], strict=True)) < 1e-4
+
+
 def test_model_edges(spark, documents):
     rows = [(1, "a b"), (2, None), (3, ""), (None, "A b"), (4, "a b"), (5, "word " * 30_000)]
     got = {r["doc_id"]: r for r in lm.score_documents(documents(rows), lm.held_out_part(), rounds=1).collect()}
