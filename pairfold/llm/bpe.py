@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,10 @@ from pairfold.llm.common import blocks
 
 _NONE = 1 << 40
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Longer pieces are not kept: they are unlikely to come again.
+_KEPT_CHARS = 1024
+#: What an entry of the cache takes beside its key and its value.
+_ENTRY_BYTES = 100
 
 #: Code points of the texts that ``_SIMPLE`` below splits as the full pattern does: ASCII without the information
 #: separators, and the letters of Latin-1 and Latin Extended-A.
@@ -31,9 +36,13 @@ _L, _S = "A-Za-zÀ-ÖØ-öø-ſ", r"\t-\r "
 
 
 class Encoder:
-    """Encodes texts by a rank file; ``pattern`` splits a text into pieces that are encoded separately."""
+    """Encodes texts by a rank file; ``pattern`` splits a text into pieces that are encoded separately.
 
-    def __init__(self, path: str, pattern: str, keep: int = 400_000) -> None:
+    Pieces are kept in two generations of at most ``budget`` bytes each, and one block's pieces more; the older one goes when
+    the newer is full.
+    """
+
+    def __init__(self, path: str, pattern: str, budget: int = 64 << 20) -> None:
         import re
 
         with open(path, "rb") as f:
@@ -45,7 +54,7 @@ class Encoder:
         self.split_any = regex.compile(pattern).findall
         simple = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_S}{_L}0-9]").replace(r"\p{L}", f"[{_L}]").replace(r"\p{N}", "[0-9]").replace(r"\s", f"[{_S}]").replace(r"\S", f"[^{_S}]")
         self.split_simple = None if r"\p" in simple else re.compile(simple).findall
-        self.keep, self.new, self.old = keep, {}, {}
+        self.budget, self.size, self.new, self.old = budget, 0, {}, {}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self._pair_table()
 
@@ -199,8 +208,8 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Token ids of texts as little-endian unsigned 32-bit integers."""
-        if len(self.new) >= self.keep:
-            self.old, self.new = {k: v for k, v in self.new.items() if len(k) <= 64}, {}
+        if self.size >= self.budget:
+            self.old, self.new, self.size = self.new, {}, 0
         get, out, pending, missing = self.new.get, [], [], set()
         for text in texts:
             pieces = self.pieces(text)
@@ -214,6 +223,11 @@ class Encoder:
         self._learn(missing)
         for i, pieces in pending:
             out[i] = b"".join(map(self.new.__getitem__, pieces))
+        for p in missing:
+            if len(p) > _KEPT_CHARS:
+                del self.new[p]
+            else:
+                self.size += sys.getsizeof(p) + sys.getsizeof(self.new[p]) + _ENTRY_BYTES
         return out
 
     def encode(self, text: str) -> bytes:
@@ -262,7 +276,12 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass: (id_col, n_tokens, ids_sha256, decoded_sha256)."""
+    """Encodes and decodes in one pass: (id_col, n_tokens, ids_sha256, decoded_sha256).
+
+    One row per row of ``docs``, repeated rows and null ids too.  A null text counts as empty; an empty text has no ids, and
+    both hashes are those of no bytes.  Texts are encoded whole, however long.  An empty table gives none; other columns are
+    not read.
+    """
 
     def run(batches):
         decode = encoder(path, pattern).decode

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import random
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -139,6 +140,19 @@ def test_bpe_equals_tiktoken(spark):
         assert own.merge(piece) == other.encode_single_token(piece) if piece in own.ranks else own.merge(piece) == [x for x in other._encode_single_piece(piece)]
 
 
+def test_bpe_cache_is_bounded_by_bytes():
+    own, other, rng = bpe.Encoder(RANKS, P.PATTERN, budget=200_000), _tiktoken(), random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = [word(20_000) for _ in range(10)] + [" ".join(word(rng.randrange(1, 900)) for _ in range(20)) for _ in range(150)]
+    peak = 0
+    for t in texts + texts[:20]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == other.encode_ordinary(t)
+        held = {**own.old, **own.new}
+        assert all(len(p) <= 1024 for p in held)
+        peak = max(peak, sum(sys.getsizeof(p) + sys.getsizeof(x) for p, x in held.items()))
+    assert 200_000 < peak < 2 * 200_000 + 100_000  # two generations and a text's pieces
+
+
 def test_bpe_tables(spark, documents):
     docs = documents([(1, "Hello world"), (2, None), (None, ""), (1, "Hello world")])
     got = bpe.bpe_encode(docs, RANKS, P.PATTERN)
