@@ -51,19 +51,20 @@ def _sigmoid(x: np.ndarray) -> None:
     x += 0.5
 
 
-def _softmax(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits moved so that their exponentials neither overflow nor vanish, those, and their sums by row.
+def _softmax(raw: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of (choice, row) moved so that their exponentials neither overflow nor vanish, those, and their sums by row.
 
     One maximum for all rows does, and is much faster, unless some row is so far below it that nothing of it is left.
     """
-    ones = np.ones(raw.shape[1], np.float32)
+    ones = np.ones(len(raw), np.float32)
+    raw += offset[:, None]
     raw -= raw.max()
     exp = np.exp(raw)
-    norm = exp @ ones
+    norm = ones @ exp
     if norm.min() < 1e-20:
-        raw -= raw.max(1, keepdims=True)
+        raw -= raw.max(0)
         exp = np.exp(raw)
-        norm = exp @ ones
+        norm = ones @ exp
     return raw, exp, norm
 
 
@@ -129,40 +130,44 @@ class Network:
         ``keep`` is 0 where a text begins; with a ``rate`` the parameters take a training step.
         """
         p, h, (steps, lanes) = self.p, self.hidden, tokens.shape
-        before, gates = np.empty((steps, lanes, h), p["u"].dtype), (p["wx"] + p["b"])[tokens]
-        inner = np.empty_like(gates)  # what the state adds to the gates; gates become their own values on the way
+        kind = p["u"].dtype
+        # by gate (update, reset, new), so that what a step works on lies together
+        before, gates = np.empty((steps, lanes, h), kind), np.empty((3, steps, lanes, h), kind)
+        for own, table in zip(gates, self._by_gate(p["wx"] + p["b"]), strict=True):
+            np.take(table, tokens, axis=0, out=own, mode="clip")
+        u, added = self._by_gate(p["u"]), np.empty((2, lanes, h), kind)
+        inner = np.empty((steps, lanes, h), kind)  # what the state adds to the new gate
         for t in range(steps):
             hp = np.multiply(state, keep[t][:, None], out=before[t])
-            a, g = np.matmul(hp, p["u"], out=inner[t]), gates[t]
-            zr, n = g[:, : 2 * h], g[:, 2 * h :]
-            zr += a[:, : 2 * h]
+            zr, n = gates[:2, t], gates[2, t]
+            zr += np.matmul(hp, u[:2], out=added)
             _sigmoid(zr)
-            n += zr[:, h:] * a[:, 2 * h :]
+            n += np.multiply(zr[1], np.matmul(hp, u[2], out=inner[t]), out=added[1])
             np.tanh(n, out=n)
             state = hp - n
-            state *= zr[:, :h]
+            state *= zr[0]
             state += n
         flat, said, seen = before.reshape(-1, h), tokens.ravel(), valid.ravel()
         group = self.group[said]
-        out = np.empty(len(said), flat.dtype)
+        out = np.empty(len(said), kind)
         if rate:
             weigh = seen * np.float32(1 / max(1, seen.sum()))
             grads, back = {k: np.zeros_like(p[k]) for k in ("wc", "bc", "wo", "bo")}, np.empty_like(flat)
         for a in range(0, len(said), _ROWS):  # as many rows as caches hold
             x, at, g = flat[a : a + _ROWS], slice(a, a + _ROWS), group[a : a + _ROWS]
-            raw, exp, norm = _softmax(x @ p["wc"] + p["bc"])
-            own = np.arange(len(g)), g
+            raw, exp, norm = _softmax(p["wc"].T @ x.T, p["bc"])
+            own = g, np.arange(len(g))
             out[at] = raw[own] - np.log(norm)
             if rate:
-                exp *= (weigh[at] / norm)[:, None]
+                exp *= weigh[at] / norm
                 exp[own] -= weigh[at]
-                grads["wc"] += x.T @ exp
-                grads["bc"] += np.ones(len(g), np.float32) @ exp
-                back[at] = exp @ p["wc"].T
+                grads["wc"] += x.T @ exp.T
+                grads["bc"] += exp @ np.ones(len(g), np.float32)
+                np.matmul(exp.T, p["wc"].T, out=back[at])
         order = np.argsort(group, kind="stable")
         edges = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
         order = order[: edges[-1]]  # head words, class by class
-        x, member, inside = flat[order], said[order] % self.members, np.empty(len(order), flat.dtype)
+        x, member, inside = np.take(flat, order, axis=0), said[order] % self.members, np.empty(len(order), kind)
         rows = np.arange(len(order))
         if rate:
             weigh, inner_back = weigh[order], np.empty_like(x)
@@ -170,51 +175,56 @@ class Network:
             a, b = edges[c], edges[c + 1]
             if a == b:
                 continue
-            raw, exp, norm = _softmax(x[a:b] @ p["wo"][c] + p["bo"][c])
-            own = rows[: b - a], member[a:b]
+            raw, exp, norm = _softmax(p["wo"][c].T @ x[a:b].T, p["bo"][c])
+            own = member[a:b], rows[: b - a]
             inside[a:b] = raw[own] - np.log(norm)
             if rate:
-                exp *= (weigh[a:b] / norm)[:, None]
+                exp *= weigh[a:b] / norm
                 exp[own] -= weigh[a:b]
-                np.matmul(x[a:b].T, exp, out=grads["wo"][c])
-                grads["bo"][c] = np.ones(b - a, np.float32) @ exp
-                np.matmul(exp, p["wo"][c].T, out=inner_back[a:b])
+                np.matmul(x[a:b].T, exp.T, out=grads["wo"][c])
+                grads["bo"][c] = exp @ np.ones(b - a, np.float32)
+                np.matmul(exp.T, p["wo"][c].T, out=inner_back[a:b])
         out[order] += inside
         if rate:
             back[order] += inner_back
-        if rate:
-            self._backward(tokens, keep, before, gates, inner[:, :, 2 * h :], back.reshape(steps, lanes, h), grads, rate)
+            self._backward(tokens, keep, before, gates, inner, back.reshape(steps, lanes, h), grads, rate)
         return out.reshape(steps, lanes), state
 
+    def _by_gate(self, x: np.ndarray) -> np.ndarray:
+        """(3, rows, hidden) of a matrix whose columns are those of the three gates."""
+        return np.ascontiguousarray(x.reshape(len(x), 3, self.hidden).swapaxes(0, 1))
+
     def _backward(self, tokens, keep, before, gates, inner, back, grads, rate: float) -> None:
         p, h, (steps, lanes) = self.p, self.hidden, tokens.shape
-        z, r, n = gates[:, :, :h], gates[:, :, h : 2 * h], gates[:, :, 2 * h :]
+        z, r, n = gates
         # by what the state's error is multiplied on its way into each gate: all steps at once
         by = np.empty_like(gates)
-        np.multiply(1 - z, 1 - n * n, out=by[:, :, 2 * h :])
-        np.multiply(by[:, :, 2 * h :] * inner, r * (1 - r), out=by[:, :, h : 2 * h])
-        np.multiply(before - n, z * (1 - z), out=by[:, :, :h])
-        dh, ut, into_gates, into_state = np.zeros((lanes, 1, h), back.dtype), np.ascontiguousarray(p["u"].T), by, np.empty_like(gates)
+        np.multiply(1 - z, 1 - n * n, out=by[2])
+        np.multiply(by[2] * inner, r * (1 - r), out=by[1])
+        np.multiply(before - n, z * (1 - z), out=by[0])
+        ut, dh = self._by_gate(p["u"]).swapaxes(1, 2).copy(), np.zeros((lanes, h), back.dtype)
+        into_inner, part = np.empty_like(inner), np.empty_like(dh)
         back *= keep[:, :, None]
         z = z * keep[:, :, None]
         for t in range(steps - 1, -1, -1):
-            g, s, k = into_gates[t], into_state[t], keep[t][:, None]
-            shaped = g.reshape(lanes, 3, h)
-            shaped *= dh
-            s[:, : 2 * h] = g[:, : 2 * h]
-            np.multiply(g[:, 2 * h :], r[t], out=s[:, 2 * h :])
-            now = s @ ut
-            now *= k
-            now += dh[:, 0] * z[t]
-            now += back[t]
-            dh = now[:, None]
-        grads["u"] = before.reshape(-1, h).T @ into_state.reshape(-1, 3 * h)
-        flat, said = into_gates.reshape(-1, 3 * h), tokens.ravel()
-        grads["b"] = flat.sum(0)
+            g, s = by[:, t], into_inner[t]
+            g *= dh
+            now = np.multiply(dh, z[t])
+            np.multiply(g[2], r[t], out=s)
+            np.matmul(g[0], ut[0], out=dh)
+            dh += np.matmul(g[1], ut[1], out=part)
+            dh += np.matmul(s, ut[2], out=part)
+            dh *= keep[t][:, None]
+            dh += now
+            dh += back[t]
+        state = before.reshape(-1, h).T
+        grads["u"] = np.concatenate([state @ g.reshape(-1, h) for g in (by[0], by[1], into_inner)], axis=1)
+        flat, said = np.concatenate(by.reshape(3, -1, h), axis=1), tokens.ravel()
+        grads["b"] = np.ones(len(flat), flat.dtype) @ flat
         order = np.argsort(said, kind="stable")
         starts = np.flatnonzero(np.diff(said[order], prepend=-1))
         grads["wx"] = np.zeros_like(p["wx"])
-        grads["wx"][said[order][starts]] = np.add.reduceat(flat[order], starts)
+        grads["wx"][said[order][starts]] = np.add.reduceat(np.take(flat, order, axis=0), starts)
         self._adam(grads, rate)
 
     def _adam(self, grads, rate: float, b1: float = 0.9, b2: float = 0.99) -> None:
