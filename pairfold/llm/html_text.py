@@ -3,7 +3,9 @@
 Markup is cut into blocks of text.  The first pass decides each block by its link density, its density of stop words, its
 length and where it stands: what is in page furniture (menus, page headers and footers, sidebars, notices, adverts, forms,
 comments of readers), as tags, roles, classes and ids tell, is no main text, and in articles, main and content containers
-the limits are wider.  Short blocks and blocks with few stop words stay ambiguous.  The second pass gives each of them the
+the limits are wider.  A class or id tells that if it speaks of furniture alone ("share-buttons"); where furniture is one of its
+words among others ("market-share"), it speaks against a block only, and long prose is main text all the same.  On pages of
+languages whose stop words aren't known, and in scripts without spaces, length and links decide.  Short blocks and blocks with few stop words stay ambiguous.  The second pass gives each of them the
 label of the nearest decided neighbour.  In a container, neighbours are the container's own blocks, without furniture;
 elsewhere they are all blocks of the page.  An ambiguous block of a container in which nothing is decided is main text
 if it has no link.  If a page has articles or main elements, only what is in one can be main text.
@@ -54,6 +56,18 @@ _PAGE_HINTS = frozenset("header masthead footer colophon topbar bottombar meta t
 _OTHERS = frozenset(
     "comment comments commentlist respond replies reply disqus related recommended recommendations trending popular teaser share sharing social".split()
 )
+# Words that tell nothing in a class or id, and words of furniture whatever stands beside them.
+_PLAIN = frozenset(
+    """
+    a an and the this that on in of by for to is has no js css col row grid list lists box boxes block blocks bar bars wrap wrapper wrapped container
+    inner outer area section item items unit slot button buttons btn btns link links icon icons panel body text content title heading
+    header head footer author avatar date meta user users reader readers post posts page site main top bottom left right side global
+    full small large big mini sticky fixed hidden open closed primary secondary widget widgets group tools card cards feed thread threads
+    article articles entry story stories news blog more you now most read input field fields label submit query count counter
+    facebook fb twitter tw linkedin whatsapp email mail print google video image img box inline new old first last odd even
+    """.split()
+)
+_SURE = frozenset("adsense adslot adbox advert adverts advertisement advertising nav navbar navigation breadcrumb breadcrumbs sidebar gdpr newsletter commentlist disqus pagination pager submenu comments".split())
 _LEFT_OPEN = "!"  # before the tag of a furniture element whose closing tag is missing
 _CONTENT_HINTS = frozenset("content article post entry story main articlebody maincontent".split())
 
@@ -66,36 +80,50 @@ _ODD_QUOTES = 16
 _DEPTH = 512
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW}
 _MARKS = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/]|$))""", re.I)
+_ENDS = re.compile("[.!?\u061f\u06d4\u0964\u2026\u3002\uff01\uff1f]")  # of sentences
 _WORDS = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _marks(attributes: str) -> tuple[set[str], bool]:
-    """Words of class and id, and whether the element is furniture by role or hidden."""
-    found, gone = set(), False
+def _hints(words: list[str]) -> tuple[bool, bool]:
+    """Whether the words of one class or id mark furniture, and whether they only speak against what has it."""
+    hints = [w for w in words if w in _HINTS]
+    if not hints:
+        return False, False
+    sure = any(w in _SURE or w in ("ad", "ads") for w in hints) or all(w in _HINTS or w in _PLAIN or w in _PAGE_HINTS or len(w) == 1 for w in words)
+    return sure, not sure
+
+
+def _marks(attributes: str) -> tuple[set[str], bool, bool]:
+    """Words of class and id, whether it is furniture by these, by role or hidden, and whether it may be."""
+    found, gone, doubt = set(), False, False
     for name, value in _MARKS.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name in ("class", "id"):
-            found.update(w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", value)))
+            for one in value.split():
+                said = [w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", one))]
+                sure, maybe = _hints(said)
+                gone, doubt = gone or sure, doubt or maybe
+                found.update(said)
         elif name == "role":
             gone |= not _ROLES.isdisjoint(value.lower().split())
         elif name == "style":
             gone |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
             gone |= name == "hidden" or value.lower() == "true"
-    return found, gone
+    return found, gone, doubt
 
 
 class _Page:
-    """Cuts a page into blocks: (text, characters in links, container, furniture).
+    """Cuts a page into blocks: (text, characters in links, container, furniture, doubt).
 
     Articles and main elements are containers 1, 2, ...; elements whose class or id speaks of content are -1, -2, ...,
     which tell less; 0 is outside any.
     """
 
     def __init__(self, page: str) -> None:
-        self.blocks: list[tuple[str, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, furniture, container
+        self.blocks: list[tuple[str, int, int, bool, bool]] = []
+        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, furniture, container, doubt
         self.open: Counter[str] = Counter()  # tags of the stack
         self.text: list[str] = []
         self.linked, self.in_link, self.containers, self.contents = 0, False, 0, 0
@@ -116,8 +144,8 @@ class _Page:
             self._say(page[at:])
         self._flush()
 
-    def _state(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def _state(self) -> tuple[bool, int, bool]:
+        return self.stack[-1][1:] if self.stack else (False, 0, False)
 
     def _say(self, raw: str) -> None:
         if not self.loose:
@@ -129,13 +157,13 @@ class _Page:
     def _flush(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                away, container = self._state()
-                self.blocks.append((text, self.linked, container, away))
+                away, container, doubt = self._state()
+                self.blocks.append((text, self.linked, container, away, doubt))
             self.text = []
         self.linked, self.loose = 0, False
 
     def _pop_to(self, i: int) -> None:
-        self.open.subtract(t for t, _, _ in self.stack[i:])
+        self.open.subtract(t for t, *_ in self.stack[i:])
         del self.stack[i:]
 
     def _open(self, tag: str, attributes: str, closed: bool) -> None:
@@ -154,35 +182,35 @@ class _Page:
                 if self.stack[i][0] == tag or {tag, self.stack[i][0]} in ({"dt", "dd"}, {"td", "th"}):
                     self._pop_to(i)
                     break
-        words, gone = _marks(attributes) if "=" in attributes or "hidden" in attributes else ((), False)
-        away, container = self._state()
+        words, gone, maybe = _marks(attributes) if "=" in attributes or "hidden" in attributes else ((), False, False)
+        away, container, doubt = self._state()
         if tag not in _STRUCTURE:
-            if (gone or not _HINTS.isdisjoint(words)) and not self.loose:
+            if gone and not self.loose:
                 self.loose, self.loose_tag = True, tag
             return
         if len(self.stack) >= _DEPTH:
             return
+        doubt |= maybe
         if tag in ("article", "main"):
-            gone |= not _HINTS.isdisjoint(words)
             if not gone and container <= 0:
                 away &= not self._left_open()
                 if not away:
                     self.containers += 1
                     container = self.containers
         else:
-            gone |= tag in _FURNITURE or not _HINTS.isdisjoint(words) or not container and (tag == "header" or not _PAGE_HINTS.isdisjoint(words)) or "footer" in words
+            gone |= tag in _FURNITURE or not container and (tag == "header" or not _PAGE_HINTS.isdisjoint(words)) or "footer" in words
             if gone and not closed and tag not in _FURNITURE and _OTHERS.isdisjoint(words):
                 tag = _LEFT_OPEN + tag
             if not container and not gone and not away and not _CONTENT_HINTS.isdisjoint(words):
                 self.contents += 1
                 container = -self.contents
-        self.stack.append((tag, away or gone, container))
+        self.stack.append((tag, away or gone, container, doubt))
         self.open[tag] += 1
 
     def _left_open(self) -> bool:
         """Whether all furniture that is open are adverts and the like whose closing tag is missing in the page."""
         inner = False
-        for tag, away, _ in self.stack:  # furniture makes all that it holds furniture
+        for tag, away, *_ in self.stack:  # furniture makes all that it holds furniture
             if away and not inner and not tag.startswith(_LEFT_OPEN) or tag in _FURNITURE:
                 return False
             inner = away
@@ -246,20 +274,36 @@ def _closed(tags: list[tuple]) -> set[int]:
     return out
 
 
-def first_pass(block: tuple[str, int, int, bool]) -> tuple[bool | None, bool]:
-    """True for main text, False for other text, None if ambiguous; and whether it leans to main text."""
-    text, linked, container, away = block
+def stop_share(found: list[tuple]) -> float:
+    """Share of stop words in the words of a page's blocks that are no furniture and mostly no links."""
+    own = [w.lower() for text, linked, _, away, _ in found if not away and linked <= 0.3 * len(text) for w in _WORDS.findall(text)]
+    return sum(w in STOP_WORDS for w in own) / max(1, len(own))
+
+
+def first_pass(block: tuple[str, int, int, bool, bool], known: bool = True) -> tuple[bool | None, bool]:
+    """True for main text, False for other text, None if ambiguous; and whether it leans to main text.
+
+    ``known`` is whether the page's stop words are; if not, blocks from a length on count as
+    dense in them if they hold the end of a sentence or are in a script without spaces.
+    """
+    text, linked, container, away, doubt = block
     inside = container != 0
     if away:
         return False, False
     size = len(text) - text.count(" ")
     found = _WORDS.findall(text)
-    stops = sum(w.lower() in STOP_WORDS for w in found) / max(1, len(found))
     if linked > (0.6 if inside else 0.3) * size:
         return False, False
-    if len(text) < 70 or not found:
+    unspaced = not known and size > 12 * max(1, len(found))  # a letter says as much as several of an alphabet
+    if unspaced:
+        size *= 3
+    stops = sum(w.lower() in STOP_WORDS for w in found) / max(1, len(found)) if known else 0.2 * (size >= 100 and (unspaced or bool(_ENDS.search(text))))
+    length = size if unspaced else len(text)
+    if doubt and (length < 140 or stops < 0.2 or linked > 0.3 * size):
+        return False, False
+    if length < 70 or not found:
         return None, False
-    if stops >= 0.2 and (len(text) >= 140 or inside):
+    if stops >= 0.2 and (length >= 140 or inside):
         return True, True
     return (None if inside or stops >= 0.08 else False), stops >= 0.2
 
@@ -270,7 +314,7 @@ def second_pass(blocks: list[tuple], first: list[tuple]) -> list[bool]:
     Of two that are as near, one that is main text counts; a block that leans to main text follows a farther one as well.
     """
     own: dict[int, list[int]] = {0: list(range(len(blocks)))}  # blocks among which those of a container have neighbours
-    for i, (_, _, container, away) in enumerate(blocks):
+    for i, (_, _, container, away, _) in enumerate(blocks):
         if container and not away:
             own.setdefault(container, []).append(i)
     out = [bool(label) for label, _ in first]
@@ -294,9 +338,10 @@ def second_pass(blocks: list[tuple], first: list[tuple]) -> list[bool]:
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by blank lines; empty if there are none."""
     found = _Page(page).blocks
-    if any(c > 0 and not away for _, _, c, away in found):
+    if any(c > 0 and not away for _, _, c, away, _ in found):
         found = [b for b in found if b[2] > 0]
-    labels = second_pass(found, [first_pass(b) for b in found])
+    known = stop_share(found) >= 0.08
+    labels = second_pass(found, [first_pass(b, known) for b in found])
     return "\n\n".join(text for (text, *_), label in zip(found, labels, strict=True) if label)
 
 

@@ -324,6 +324,26 @@ PAGE_LAYOUTS = {
 }
 
 
+FINNISH = "Vanha talo seisoi kaukana metsässä, jossa kukaan ei ollut vuosiin kulkenut. Sen ikkunat olivat rikki, ja tuuli lauloi huoneissa kuin kadonnut lapsi."
+JAPANESE = "昔々あるところにお爺さんとお婆さんが住んでいました。お爺さんは山へ柴刈りに、お婆さんは川へ洗濯に行きました。ある日、大きな桃が流れてきました。"
+PAGE_LAYOUTS |= {
+    # a word of furniture among others doesn't decide alone
+    "market share": (f"<ul>{LINKS}</ul><div class='market-share'><p>{WIDE}</p></div>", WIDE),
+    "art form": (f"<article><h1>Title</h1><section id='art-form'><p>{WIDE}</p></section></article>", f"Title\n\n{WIDE}"),
+    "cookie recipe": (f"<main class='cookie-recipe'><p>{WIDE}</p></main>", WIDE),
+    "paragraph": (f"<article><p class='search-of-truth'>{LONG}</p></article>", LONG),
+    "named advert": (f"<article><p>{LONG}</p><div class='promo-spring-sale'>Buy now for less</div><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+    # words of furniture alone, or with words that tell nothing, do
+    "share buttons": (f"<article><p>{LONG}</p><div class='share-buttons top'><p>{WIDE}</p></div></article>", LONG),
+    "user comment": (f"<article><p>{LONG}</p></article><div class='user-comment js-item'><p>{WIDE}</p></div>", LONG),
+    "notice": (f"<div id='siteNotice'><p>{WIDE}</p></div><div><p>{WIDE}</p></div>", WIDE),
+    # languages without known stop words
+    "finnish": (f"<ul>{LINKS}</ul><div>{FINNISH}</div><div>{FINNISH}</div><ul>{LINKS}</ul>", f"{FINNISH}\n\n{FINNISH}"),
+    "japanese": (f"<ul>{LINKS}</ul><div>{JAPANESE}</div><div>{JAPANESE}</div><ul>{LINKS}</ul>", f"{JAPANESE}\n\n{JAPANESE}"),
+    "words in a row": (f"<ul>{LINKS}</ul><div>{'alpha beta gamma delta ' * 12}</div>", ""),
+}
+
+
 @pytest.mark.parametrize("name", PAGE_LAYOUTS)
 def test_page_layouts(name):
     page, want = PAGE_LAYOUTS[name]
@@ -340,7 +360,7 @@ def test_both_passes_count(monkeypatch):
     assert {"plain", "table", "forum", "links within"} <= lost
     for verdict in (True, None):
         with monkeypatch.context() as m:
-            m.setattr(html_text, "first_pass", lambda block, v=verdict: (v, False))
+            m.setattr(html_text, "first_pass", lambda block, known, v=verdict: (v, False))
             wrong = {k for k, (page, want) in PAGE_LAYOUTS.items() if html_text.main_text(page) != want}
         assert {"plain", "table", "links within"} <= wrong
 
