@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairfold.llm.common import save
+
 #: Bytes of vectors in a chunk at most.
 _CHUNK_BYTES = 64 << 20
 #: Rows of a chunk that are worth a task of their own.
@@ -137,15 +139,18 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, pivots: int =
     each chunk, whose task holds it and lets them pass by.  Nothing is broadcast or collected but the number of rows and
     the largest length.  What chunks find, k rows a query, is merged by query.  Each chunk draws ``pivots`` pivots, three
     quarters of the dimensions at most, from ``sample`` of its rows; they affect the work alone, never the result.
+
+    Rows are numbered once, in tables saved to the shared folder, so a task that runs again after a lost executor deals
+    them as before, whatever order the input's own tasks give them in.
     """
-    candidates, asked = _valid(embeddings, id_col, vec_col), _valid(queries, id_col, vec_col)
+    number = F.monotonically_increasing_id()
+    candidates, asked = (save(_valid(df, id_col, vec_col).withColumn("number", number), name) for df, name in ((embeddings, "candidates"), (queries, "asked")))
     rows, longest = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
     tasks = embeddings.sparkSession.sparkContext.defaultParallelism
     each = max(1, min(chunk_bytes // (8 * (longest or 1)), max(least_rows, -(-rows // (4 * tasks)))))
     chunks = max(1, -(-rows // each))
-    number = F.monotonically_increasing_id()
-    own = candidates.select(F.pmod(number, F.lit(chunks)).cast("int").alias("chunk"), F.lit(None).cast("long").alias("query"), "id", "v")
-    every = asked.withColumn("query", number).select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "query", "id", "v")
+    own = candidates.select(F.pmod("number", F.lit(chunks)).cast("int").alias("chunk"), F.lit(None).cast("long").alias("query"), "id", "v")
+    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.col("number").alias("query"), "id", "v")
     dealt = own.union(every).repartition(chunks, "chunk").sortWithinPartitions("chunk", F.col("query").asc_nulls_first())
     done = dealt.mapInArrow(_pass(k, pivots, sample), "query long, query_id long, vec_id long, score decimal(38,0)")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

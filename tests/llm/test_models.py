@@ -371,5 +371,15 @@ def test_plan_does_not_grow_with_queries(spark):
     assert abs(plans[0] - plans[1]) <= 2
 
 
+def test_top_k_numbers_rows_once(spark):
+    """Of an input in no fixed order, tasks that run again must deal rows as before, so the plan itself numbers nothing."""
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 200")
+    shuffled = df.repartition(7)
+    found = topk.top_k(shuffled, shuffled.where("vec_id % 20 = 0"), k=3, least_rows=16)
+    assert "monotonically" not in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: tuple(r)
+    assert sorted(found.collect(), key=key) == sorted(topk.top_k(df, df.where("vec_id % 20 = 0"), k=3).collect(), key=key)
+
+
 def test_top_k_equals_sql(spark):
     same_rows(queries.QUERIES["op8_top_k"](spark, SF), queries.SQL["op8_top_k"], SF)
