@@ -34,6 +34,24 @@ def test_pairs_are_all_pairs(spark, vectors):
     assert tuple(distances.distance_spread(vectors.where("img < 1")).first()) == (0, None) == tuple(distances.distance_spread(vectors.where("false")).first())
 
 
+def test_vectors_are_sent_to_few_blocks(spark):
+    """What is sent grows as the vectors do: each goes to at most 24 blocks, however many there are; ids that are not in a row, near copies and far-off vectors."""
+    rng = np.random.default_rng(5)
+    ids, x = rng.permutation(600) * 1000 - 300, rng.standard_normal((600, 3))
+    x[50:90] = x[:40] + 1e-9 * rng.standard_normal((40, 3))
+    x[90:120] = x[:30] + 1e6
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "img long, vec array<double>")
+    sent = distances._block_pairs(rows, 2).groupBy("img").count().agg({"count": "max"}).first()[0]
+    assert sent == distances.BLOCKS
+    want = {(a, b): np.float32(np.sqrt(((x[m] - x[k]) ** 2).sum())) for k, a in enumerate(ids) for m, b in enumerate(ids) if a < b}
+    got = {(r["i"], r["j"]): r["d"] for r in distances.pairs(rows, per_block=2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-6 * want[k] for k in want)
+    spread = distances.distance_spread(rows, per_block=2).first()
+    assert spread["pairs"] == len(want) and abs(spread["sd"] / np.std(np.array([*want.values()], np.float64)) - 1) < 1e-9
+    assert {tuple(r) for r in distances.id_pairs(rows, per_block=2).collect()} == want.keys()
+    assert all(r["d"] == math.floor(float(got[r["i"], r["j"]]) * 1e3 + 0.5) / 1e3 for r in distances.pairs(rows, per_block=100, digits=3).limit(500).collect())
+
+
 def test_numbering(spark):
     ids = [5, 4096, -3, 10**12, 4095, 17, 4097]
     rows = distances.numbered(spark.createDataFrame([(i,) for i in ids], "img long")).collect()
