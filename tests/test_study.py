@@ -52,6 +52,18 @@ def test_vectors_are_sent_to_few_blocks(spark):
     assert all(r["d"] == math.floor(float(got[r["i"], r["j"]]) * 1e3 + 0.5) / 1e3 for r in distances.pairs(rows, per_block=100, digits=3).limit(500).collect())
 
 
+def test_paired_forms_are_those_of_the_square(spark):
+    """Missing, differing and null entries: a form made of pairs is the one that the square's rows give."""
+    rows = spark.createDataFrame([(0, 1, 2.0, 2.0, True), (0, 2, 3.0, 4.0, True), (1, 2, None, None, True), (1, 3, 5.0, None, True), (2, 3, 6.0, 6.0, False)], "i int, j int, d double, m double, there boolean")
+    entries = rows.select("i", "j", "d").union(rows.where("there").selectExpr("j", "i", "m"))
+    form = distances.paired(rows, "d", rows["m"], rows["there"])
+    assert sorted(map(str, form.collect())) == sorted(map(str, distances.mirrored(entries).collect()))
+    want = {(0, 2), (2, 0), (1, 3), (3, 1), (2, 3)}
+    assert {tuple(r) for r in distances.asymmetric_of(form).collect()} == want == {tuple(r) for r in distances.asymmetric(entries).collect()}
+    with pytest.raises(Exception, match="not symmetric"):
+        distances.condensed_of(form.where("i = 1 and j = 3")).collect()
+
+
 def test_numbering(spark):
     ids = [5, 4096, -3, 10**12, 4095, 17, 4097]
     rows = distances.numbered(spark.createDataFrame([(i,) for i in ids], "img long")).collect()
