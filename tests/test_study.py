@@ -52,6 +52,19 @@ def test_vectors_are_sent_to_few_blocks(spark):
     assert all(r["d"] == math.floor(float(got[r["i"], r["j"]]) * 1e3 + 0.5) / 1e3 for r in distances.pairs(rows, per_block=100, digits=3).limit(500).collect())
 
 
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_forms_of_distances_are_not_sent(spark):
+    """Square and condensed forms and their comparison take no exchange beyond that of the vectors, and no join."""
+    from pairfold.plans import queries
+
+    for name in ("asymmetric_pairs", "square_view", "condensed_view", "gt_distances"):
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert _exchanges(df) == 1 and "Join" not in df._jdf.queryExecution().executedPlan().toString(), name
+
+
 def test_paired_forms_are_those_of_the_square(spark):
     """Missing, differing and null entries: a form made of pairs is the one that the square's rows give."""
     rows = spark.createDataFrame([(0, 1, 2.0, 2.0, True), (0, 2, 3.0, 4.0, True), (1, 2, None, None, True), (1, 3, 5.0, None, True), (2, 3, 6.0, 6.0, False)], "i int, j int, d double, m double, there boolean")
