@@ -29,6 +29,8 @@ from pairfold.llm.components import components
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Most rounds in which buckets with members outside their largest component get another centre.
+ROUNDS = 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -250,16 +252,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         forget(likely)
         return out
 
-    linked = links(stars)
-    of = components(linked)
-    rest = _across(members, of, reps, texts, stars, shingle, percent)
+    linked = first = links(stars)
+    of, compared, turns, asked, found = components(linked), stars, [], 1, 1
+    while found * 50 >= asked and len(turns) < ROUNDS * 2:
+        fresh = _next_stars(members, of, compared, len(turns) // 2)
+        more = links(fresh)
+        turns += [fresh, more]
+        asked, found, compared = fresh.count(), more.count(), compared.union(fresh)
+        if not found:
+            break
+        linked, parts = linked.union(more), of
+        of = components(linked)
+        forget(parts)
+    rest = _across(members, of, reps, texts, compared, shingle, percent)
     if rest is not None:
         more = links(rest)
         if not more.isEmpty():
             parts, of = of, components(linked.union(more))
             forget(parts)
         forget(rest, more)
-    forget(members, buckets, stars, texts, linked)
+    forget(members, buckets, stars, texts, first, *turns)
 
     merged = classes.join(of, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"), "id")
     merged = save(merged.where("n > 1 or component != id").select("digest", "n", "component"), "merged")
@@ -269,9 +281,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), "n_shingles", part.alias("component_id"), F.col("id").eqNullSafe(part).alias("kept"))
 
 
+def _placed(members: DataFrame, of: DataFrame) -> DataFrame:
+    return members.select("key", "id").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+
+
+def _next_stars(members: DataFrame, of: DataFrame, compared: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b), not compared yet, of each bucket's members outside its largest component with one drawn member of that."""
+    placed = _placed(members, of)
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64(F.lit(turn), "key", "id")).alias("centre"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by(F.struct("component", "centre"), "n").alias("at")).where("parts > 1")
+    mixed = save(mixed.select("key", "n", F.col("at.component").alias("largest"), F.col("at.centre").alias("centre")), "mixed")
+    total = mixed.agg(F.sum("n")).first()[0] or 0
+    met = attach(placed, mixed, "key", "n", total, F.col("id")).where("component != largest")
+    pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    out = save(pairs.join(compared, ["a", "b"], "left_anti"), "stars")
+    forget(mixed)
+    return out
+
+
 def _across(members: DataFrame, of: DataFrame, reps: DataFrame, texts: DataFrame, compared: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Pairs in different components that may reach the threshold and are not compared yet; None if no bucket is mixed."""
-    placed = members.select("key", "id").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = _placed(members, of)
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = save(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("component", "n").alias("largest")).where("parts > 1"), "mixed")
     if mixed.isEmpty():

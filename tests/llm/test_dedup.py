@@ -102,6 +102,40 @@ def test_near_against_brute_force(spark, documents):
         assert sorted(map(tuple, got.collect()), key=str) == _near(rows, k, percent)
 
 
+def test_near_copies_of_one_text_meet_few(spark, monkeypatch):
+    """Near copies about the threshold from each other, half of them not linked with the first: further centres take in most of
+    them before pairs are made from common shingles, which would be nearly all pairs of the group."""
+    from pairfold.llm import near_dedup as near
+
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{i}" for i in range(320)], []
+    for m in range(240):
+        own = list(base)
+        for at in rng.choice(320, 5 if m < 120 else 1, replace=False):
+            own[at] = f"x{m}y{at}"
+        texts.append(" ".join(own))
+    sets = [near.shingle_set(near.words(t), 5) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    met, save = [], near.save
+
+    def counted(df, name):
+        out = save(df, name)
+        if name == "rest":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "save", counted)
+    rows = near.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == root
+    assert sum(met) < 2 * len(texts), met
+
+
 def test_near_links_repeated_words(spark, documents):
     """Texts of several lengths whose only shingle is one word over and over are the same set; shorter ones are not."""
     rows = [(10 * n + k, " ".join([w] * n)) for n in (1, 2, 3, 4, 5, 6, 9, 40, 5000) for k, w in enumerate(("ha", "HO"))]
