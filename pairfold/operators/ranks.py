@@ -14,6 +14,8 @@ from pairfold.session import saved
 
 #: Rows that one window partition may have; comparisons of more are cut into ranges of about as many.
 PER_PART = 1 << 20
+#: Ranges that rows are cut into at most until these hold PER_PART rows each: finding their borders sends some rows of each to the driver.
+RANGES = 256
 
 
 def ranked(rows: DataFrame, keys: list[str], values: list[str], per_part: int = PER_PART) -> DataFrame:
@@ -40,7 +42,8 @@ def _by_ranges(rows: DataFrame, keys: list[str], value: str, to: str, per_part:
     Ranks are counted within a range alone.  What lies before a range, and how often its first and last value are in others,
     comes from one row a range and comparison: the least count before a value is that of the first range that has it.
     """
-    parts = -(-rows.count() // per_part)
+    n = rows.count()
+    parts = min(-(-n // per_part), max(RANGES, -(-n // PER_PART)))
     turned = rows.withColumn("_turn", F.monotonically_increasing_id())  # the rows are a saved table, so a lost task has the same turns
     cut = turned.repartitionByRange(parts, *keys, value, "_turn").drop("_turn").withColumn("_part", F.spark_partition_id())
     own = Window.partitionBy("_part", *keys)

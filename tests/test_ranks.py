@@ -79,3 +79,24 @@ def test_places_with_a_coarse_sketch(spark):
     rows = spark.createDataFrame([(float(v),) for v in values], "v double")
     places = [0, 17, 1999, 2000, 3999]
     assert ranks.at_places(rows, "v", len(values), places, accuracy=20, held=5) == {p: np.sort(values)[p] for p in places}
+
+
+def test_ranges_are_few(spark, monkeypatch):
+    """However small the ranges asked for are, there are at most 256 until they are full, so the driver gets no more of more rows."""
+    parts, saved = [], ranks.saved
+
+    def seen(df, name):
+        out = saved(df, name)
+        if name == "ranges":
+            parts.append(out.select("_part").distinct().count())
+        return out
+
+    monkeypatch.setattr(ranks, "saved", seen)
+    rows = spark.range(1200).selectExpr("id", "id % 2 AS k", "(id * 7919) % 300 AS x")
+    got = {r["id"]: r["rx"] for r in ranks.ranked(rows, ["k"], ["x"], 2).collect()}
+    x = np.array([(i * 7919) % 300 for i in range(1200)])
+    for k in (0, 1):
+        own = x[k::2]
+        want = [(own < v).sum() + ((own == v).sum() + 1) / 2 for v in own]
+        assert [got[i] for i in range(k, 1200, 2)] == want
+    assert parts and max(parts) <= ranks.RANGES
