@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairfold.operators import distances
 from pairfold.operators import experiments as ex
 from pairfold.sources import commits, frames
 
@@ -119,7 +120,7 @@ def _keys(experiments: DataFrame) -> list[list]:
     return [list(r) for r in experiments.select(*ex.PARAMS, "rep").distinct().collect()]
 
 
-def _run(spark: SparkSession, todo: DataFrame, embeddings: DataFrame, store: str, seed: int) -> list[list]:
+def _run(spark: SparkSession, todo: DataFrame, embeddings: DataFrame, store: str, seed: int, spread: DataFrame | None = None) -> list[list]:
     """Simulate experiments (config, params, rep) and commit their observations, with the time, to a store.
 
     Gives those that this call committed: an experiment that another writer committed meanwhile is left to that one, whose
@@ -127,7 +128,7 @@ def _run(spark: SparkSession, todo: DataFrame, embeddings: DataFrame, store: str
     """
     todo = todo.select("config", *ex.PARAMS, "rep")
     batch, own = f"b{uuid.uuid4().hex}", _keys(todo)
-    new = ex.simulate(todo, embeddings, seed).join(F.broadcast(todo), ["config", "rep"]).drop("config")
+    new = ex.simulate(todo, embeddings, seed, spread).join(F.broadcast(todo), ["config", "rep"]).drop("config")
     new.withColumn("run_at", F.current_timestamp()).write.partitionBy(*ex.PARAMS).parquet(f"{store}/data/batch={batch}")
     counted: list[list] = []
 
@@ -145,33 +146,35 @@ def _of_grid(rows: DataFrame, grid: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(grid), ex.PARAMS).select("config", "rep", "i", "j", "dist_sum", "n_obs", *ex.PARAMS)
 
 
-def run_experiment(spark: SparkSession, store: str, grid: DataFrame, embeddings: DataFrame, seed: int = 42) -> DataFrame:
+def run_experiment(spark: SparkSession, store: str, grid: DataFrame, embeddings: DataFrame, seed: int = 42, spread: DataFrame | None = None) -> DataFrame:
     """One more repetition of each configuration of ``grid``, committed to the store; gives its observations.
 
     A repetition's number is one more than the largest that the store has of its configuration, from 0 on.  Where another
-    writer commits that repetition first, the next one is run.
+    writer commits that repetition first, the next one is run.  ``spread`` is that of the embeddings, if it is known.
     """
     left, mine = grid, []
+    spread = spread if spread is not None else distances.known_spread(embeddings)
     while True:
         have = [x for _, e in commits.entries(spark, f"{store}/commits") for x in e["experiments"]]
         last = spark.createDataFrame([tuple(x) for x in have], EXPERIMENTS).groupBy(*ex.PARAMS).agg(F.max("rep").alias("last"))
         todo = left.join(last, ex.PARAMS, "left").withColumn("rep", F.coalesce(F.col("last") + 1, F.lit(0)).cast("int")).drop("last")
-        mine += _run(spark, todo, embeddings, store, seed)
+        mine += _run(spark, todo, embeddings, store, seed, spread)
         done = spark.createDataFrame([tuple(x) for x in mine], EXPERIMENTS)
         left = grid.join(done, ex.PARAMS, "left_anti")
         if left.isEmpty():
             return _of_grid(read_store(spark, store).join(F.broadcast(done), [*ex.PARAMS, "rep"], "left_semi"), grid)
 
 
-def get_or_run(spark: SparkSession, store: str, grid: DataFrame, embeddings: DataFrame, reps: int, seed: int = 42) -> DataFrame:
+def get_or_run(spark: SparkSession, store: str, grid: DataFrame, embeddings: DataFrame, reps: int, seed: int = 42, spread: DataFrame | None = None) -> DataFrame:
     """Observations of ``reps`` repetitions of each configuration; those that the store lacks are run and committed.
 
-    A configuration's draws depend on its parameters alone, so a repetition is the same whichever grid asked for it.
+    A configuration's draws depend on its parameters alone, so a repetition is the same whichever grid asked for it.  ``spread`` is that
+    of the embeddings, if it is known.
     """
     have = [tuple(x) for _, e in commits.entries(spark, f"{store}/commits") for x in e["experiments"]]
     todo = ex.missing_reps(grid, reps, spark.createDataFrame(have, EXPERIMENTS))
     if not todo.isEmpty():
-        _run(spark, todo, embeddings, store, seed)
+        _run(spark, todo, embeddings, store, seed, spread)
     return _of_grid(read_store(spark, store).where(F.col("rep") < reps), grid)
 
 

@@ -52,6 +52,22 @@ def test_one_more(spark, tmp_path):
         store.run_experiment(spark, at, grid, distances.make_embeddings(spark, 4, 3))
 
 
+def test_one_spread_for_all_runs(spark, tmp_path, monkeypatch):
+    """All pairs of vectors are compared once, though several repetitions are run one after the other."""
+    from __spark_entry__ import queries
+
+    found, own = [], distances.distance_spread
+    monkeypatch.setattr(distances, "distance_spread", lambda *a, **b: found.append(1) or own(*a, **b))
+    for name in ("one_more_repetition", "top_up"):
+        found.clear()
+        assert queries()[name](spark, "/root/testdata/sf0.001").columns and len(found) == 1
+    vectors, at = distances.make_embeddings(spark, 12, 3), str(tmp_path / "s")
+    spread = distances.known_spread(vectors)
+    found.clear()
+    rows = [sorted(map(tuple, store.run_experiment(spark, at, TINY.grid(spark), vectors, spread=spread).collect())) for _ in range(2)]
+    assert not found and rows[0] != rows[1]
+
+
 def test_rows_where(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
     assert [r["x"] for r in store.rows_where(df, y=None).collect()] == [2] and store.rows_where(df, x=1, y="b").count() == 0

@@ -52,6 +52,25 @@ def test_vectors_are_sent_to_few_blocks(spark):
     assert all(r["d"] == math.floor(float(got[r["i"], r["j"]]) * 1e3 + 0.5) / 1e3 for r in distances.pairs(rows, per_block=100, digits=3).limit(500).collect())
 
 
+def test_spread_of_tiles(spark):
+    """Blocks of several tiles with repeated ids across their edges, sent to one and to several blocks."""
+    rng = np.random.default_rng(6)
+    ids, x = np.sort(np.arange(700) // np.where(np.arange(700) < 400, 3, 1)), rng.standard_normal((700, 4))
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "img long, vec array<double>")
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))[ids[:, None] < ids].astype(np.float32).astype(np.float64)
+    for per_block in (1024, 100):
+        spread = distances.distance_spread(rows, per_block).first()
+        assert spread["pairs"] == len(gaps) and abs(spread["sd"] - gaps.std()) < 1e-12
+
+
+def test_spread_is_worked_out_once(spark, vectors, monkeypatch):
+    """The plan of observations has the spread as a number, however often it is read; it is that of the lazy row."""
+    plan = SMALL.observations(spark, vectors)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
+    assert tuple(distances.known_spread(vectors).first()) == tuple(distances.distance_spread(vectors).first())
+    assert tuple(distances.known_spread(vectors.where("img < 1")).first()) == (0, None)
+
+
 def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
