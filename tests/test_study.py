@@ -63,7 +63,7 @@ def test_spread_of_tiles(spark):
         assert spread["pairs"] == len(gaps) and abs(spread["sd"] - gaps.std()) < 1e-12
 
 
-def test_spread_is_worked_out_once(spark, vectors, monkeypatch):
+def test_spread_is_worked_out_once(spark, vectors):
     """The plan of observations has the spread as a number, however often it is read; it is that of the lazy row."""
     plan = SMALL.observations(spark, vectors)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" not in plan
