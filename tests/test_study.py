@@ -63,6 +63,27 @@ def test_spread_of_tiles(spark):
         assert spread["pairs"] == len(gaps) and abs(spread["sd"] - gaps.std()) < 1e-12
 
 
+def test_close_vectors_of_a_tile():
+    """Copies, near copies, a far-off and a broken vector anywhere in a tile: distances are those by differences, and a few close pairs take no other form of the whole tile."""
+    rng = np.random.default_rng(7)
+    x, y = rng.standard_normal((300, 8)), rng.standard_normal((280, 8))
+    y[[3, 90, 250]], y[200], x[5], y[7] = x[[200, 4, 131]], x[131] + 1e-9, 1e6, np.nan
+    gaps = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    for tall, wide in ((256, 256), (64, 128), (1, 280)):
+        got = np.full(gaps.shape, -1.0)
+        for own, at, d in distances._tiles(x, y, False, tall, wide):
+            got[own, at] = d
+        np.testing.assert_allclose(got, gaps, rtol=1e-9, atol=1e-15)
+    a, b = rng.standard_normal((2, 256, 8))
+    b[40] = a[170]
+    tracemalloc.start()
+    tiles = distances._tiles(a, b, False, 256, 256)
+    assert next(tiles)[2][170, 40] == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 256 * 256 * 8  # the tile's own buffer and little else
+
+
 def test_spread_is_worked_out_once(spark, vectors):
     """The plan of observations has the spread as a number, however often it is read; it is that of the lazy row."""
     plan = SMALL.observations(spark, vectors)._jdf.queryExecution().optimizedPlan().toString()
