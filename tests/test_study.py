@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from pairfold.operators import distances, mds, metrics
 from pairfold.operators import experiments as ex
@@ -63,6 +64,15 @@ def test_spread_of_tiles(spark):
         assert spread["pairs"] == len(gaps) and abs(spread["sd"] - gaps.std()) < 1e-12
 
 
+def test_each_pair_of_blocks_is_a_partition(spark):
+    """No partition has two pairs of blocks and none is empty; the vectors are sent once."""
+    rows = distances.make_embeddings(spark, 200, 2)
+    dealt = distances._block_pairs(rows, 20).select("turn", "lo", "hi", spark_partition_id().alias("at")).distinct().collect()
+    assert len(dealt) == 55 == len({r["at"] for r in dealt}) == len({(r["lo"], r["hi"]) for r in dealt})
+    assert all(r["at"] == r["turn"] and (r["turn"] >= 45) == (r["lo"] == r["hi"]) for r in dealt)
+    assert _exchanges(distances.pairs(rows, 20)) == 1
+
+
 def test_close_vectors_of_a_tile():
     """Copies, near copies, a far-off and a broken vector anywhere in a tile: distances are those by differences, and a few close pairs take no other form of the whole tile."""
     rng = np.random.default_rng(7)
