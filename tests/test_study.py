@@ -115,6 +115,16 @@ def test_forms_of_distances_are_not_sent(spark):
         assert _exchanges(df) == 1 and "Join" not in df._jdf.queryExecution().executedPlan().toString(), name
 
 
+def test_square_form_comes_in_runs(spark):
+    """Both entries of every pair, those of one side of the diagonal tile after tile, so that ids stay the same from row to row."""
+    from pairfold.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in queries.square_view(spark, d).collect()]
+    assert sorted(rows) == sorted(map(tuple, distances.square(queries.gt_distances(spark, d)).collect()))
+    assert sum(a[0] != b[0] and a[1] != b[1] for a, b in zip(rows, rows[1:], strict=False)) < len(rows) / 100
+
+
 def test_paired_forms_are_those_of_the_square(spark):
     """Missing, differing and null entries: a form made of pairs is the one that the square's rows give."""
     rows = spark.createDataFrame([(0, 1, 2.0, 2.0, True), (0, 2, 3.0, 4.0, True), (1, 2, None, None, True), (1, 3, 5.0, None, True), (2, 3, 6.0, 6.0, False)], "i int, j int, d double, m double, there boolean")
