@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.functions import spark_partition_id
 
 from pairfold.operators import distances, mds, metrics
@@ -137,6 +138,25 @@ def test_paired_forms_are_those_of_the_square(spark):
         distances.condensed_of(form.where("i = 1 and j = 3")).collect()
 
 
+def test_only_uneven_entries_become_rows(spark):
+    """Mirrored entries that differ, are missing or have no number, of one and of several blocks: the entries that the form as rows gives."""
+    rng = np.random.default_rng(8)
+    ids, x = rng.permutation(40) * 3 - 50, rng.standard_normal((40, 3))
+    x[7, 1] = math.nan
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "img long, vec array<double>")
+    for per_block in (9, 100):
+        rows = distances.pairs(vectors, per_block)
+        total = rows["i"] + rows["j"]
+        form = distances.paired(rows, "d", F.when(total % 5 == 0, rows["d"] * 2).when(total % 11 == 0, math.nan).otherwise(rows["d"]), total % 3 != 0)
+        want = sorted(map(tuple, distances.asymmetric_of(form).collect()))
+        mirror = lambda i, j, v: np.where((i + j) % 5 == 0, v * 2, np.where((i + j) % 11 == 0, np.float32(math.nan), v))
+        assert sorted(map(tuple, distances.uneven_pairs(vectors, mirror, lambda i, j: (i + j) % 3 != 0, per_block).collect())) == want
+    from pairfold.plans import queries
+
+    plan = queries.asymmetric_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert " d#" not in plan and plan.count("Generate") == 1, "pairs leave the kernel with their distances"  # vectors are dealt out by one
+
+
 def test_numbering(spark):
     ids = [5, 4096, -3, 10**12, 4095, 17, 4097]
     rows = distances.numbered(spark.createDataFrame([(i,) for i in ids], "img long")).collect()
