@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairfold.session import spread
 from pairfold.sources.image_files import PNG_SAMPLES, file_system
 
 #: What a part's key modulo their number makes of it.
@@ -65,4 +66,6 @@ def write_pictures(parts: DataFrame, folder: str) -> int:
                     out.write(contents(kind, width, height))
             yield pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"])
 
+    # one task may read a table of a few MB, which has names for very many files
+    rows = rows.repartition(spread(parts.sparkSession), "path")
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairfold.functions import paths
-from pairfold.sources.image_files import ImageFiles, file_system
+from pairfold.session import spread
+from pairfold.sources.image_files import SCHEMA, ImageFiles, file_system, look
 
 CATALOGUE = ["cats", "instance", "height", "width", "n_channels", "has_alpha", "extension", "path"]
 
@@ -28,9 +30,16 @@ def png_header(content: Column) -> dict[str, Column]:
 
 
 def files_of(spark: SparkSession, uri: str, extensions: list[str], check: str = "structure") -> DataFrame:
-    """All image files under a folder, as the data source ``image_files`` has them."""
+    """All image files under a folder, as the data source ``image_files`` has them; each folder is listed once, and its files are dealt to all tasks."""
     spark.dataSource.register(ImageFiles)
-    return spark.read.format("image_files").options(path=uri, extensions=",".join(extensions), check=check).load()
+    names = spark.read.format("image_files").options(path=uri, extensions=",".join(extensions), check="none").load().select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = file_system(uri)
+        for b in batches:
+            yield from look(fs, base, (f"{base.rstrip('/')}/{path}" for path in b["path"].to_pylist()), check == "whole")
+
+    return names.repartition(spread(spark), "path").mapInArrow(run, SCHEMA)
 
 
 def scan(spark: SparkSession, folder: str, extensions: str | list[str] = "png", check: str = "structure") -> DataFrame:
@@ -75,7 +84,8 @@ def _read_whole(spark: SparkSession, folder: str, root: str, names: list[str]) -
     return out.select("path", "height", "width", "n_channels")
 
 
-def _judged(images: DataFrame) -> DataFrame:
+def judged(images: DataFrame) -> DataFrame:
+    """The rows with the ``reason`` why the catalogue leaves them out, null for those that it has."""
     rel = F.col("path")
     reason = (
         F.when(rel.isNull(), "outside the base folder")
@@ -90,7 +100,7 @@ def _judged(images: DataFrame) -> DataFrame:
 def catalogue(images: DataFrame) -> DataFrame:
     """Valid rows of (path relative to the base, height, width, n_channels) with categories, instance and extension."""
     rel = F.col("path")
-    return _judged(images).where("reason is null").select(
+    return judged(images).where("reason is null").select(
         paths.categories(rel).alias("cats"), paths.instance(rel).alias("instance"), "height", "width", "n_channels",
         (F.col("n_channels") == 4).alias("has_alpha"), paths.extension(rel).alias("extension"), "path",
     )
@@ -98,7 +108,7 @@ def catalogue(images: DataFrame) -> DataFrame:
 
 def rejects(images: DataFrame) -> DataFrame:
     """(path, reason) of the rows that the catalogue leaves out; each row is judged on its own."""
-    return _judged(images).where("reason is not null").select("path", "reason")
+    return judged(images).where("reason is not null").select("path", "reason")
 
 
 def wide(rows: DataFrame, depth: int) -> DataFrame:

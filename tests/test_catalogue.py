@@ -2,6 +2,7 @@ import os
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairfold.operators import catalogue as cat
 from pairfold.plans.picture_files import jpeg_bytes, png_bytes
@@ -122,6 +123,31 @@ def test_scan_reads_every_file_of_every_folder(spark, tmp_path):
     assert images.scan(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_driver_holds_few_names(spark, tmp_path):
+    """Folders with more files or subfolders than the driver may hold are listed by tasks, and their files are dealt to several."""
+    for k in range(40):
+        _png(tmp_path / f"big/x{k}.png", 2, k + 1, 2)
+        _png(tmp_path / f"big/deep{k % 2}/{k}/y{k}.png", 2, 1, 2)
+        _png(tmp_path / f"many/{k}/z{k}.png", 2, 1, 2)
+    _png(tmp_path / "r1.png", 2, 2, 2)
+    (tmp_path / "big/broken link9.png").symlink_to(tmp_path / "nothing")
+    want = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.png") if p.is_file())
+    for names in (0, 1, 10, 45, 100, 50000):
+        reader = image_files.ImageReader({"path": str(tmp_path), "names": str(names), "folders": "100"})
+        parts = reader.partitions()
+        assert sum(len(p.files) + len(p.folders) + len(p.flat) for p in parts) <= names + 4, names
+        assert sorted(p for part in parts for b in reader.read(part) for p in b["path"].to_pylist()) == want, names
+    found = images.scan(spark, str(tmp_path / "big"))
+    assert found.groupBy(F.spark_partition_id()).count().count() > 1 and found.count() == 80
+
+
+def test_pictures_are_scanned_once(spark):
+    from pairfold.plans import queries
+
+    plan = queries.scanned_images(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("image_files") == 1 and "Join" not in plan
+
+
 def test_whole_check_in_a_scan(spark, tmp_path):
     (tmp_path / "a1.png").write_bytes(png_bytes(30, 20, pixels=b"\0" * 5))
     assert images.scan(spark, str(tmp_path)).first()["height"] == 20
